@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import json_value, wildcard_match
 from trailmark.params import SCOPE
+from trailmark.sources.definitions import local_table
 
-# Up to this many distinct rules are compiled into one expression; beyond it rules are joined as data.
+# Rule rows the driver will read, and distinct rules it will compile; beyond either, rules are joined as data.
+DEFINITION_ROW_LIMIT = 20_000
 COMPILED_RULE_LIMIT = 400
 
 FUNNEL_COLUMNS = ["funnel_id", "funnel_version_id", "window_days", "total_steps"]
@@ -20,65 +22,68 @@ FUNNEL_COLUMNS = ["funnel_id", "funnel_version_id", "window_days", "total_steps"
 def match_funnel_events(events: DataFrame, definitions: DataFrame, mode: str = "auto") -> DataFrame:
     """One row per (event, funnel) with the matched step, for every published funnel of its workspace.
 
-    `definitions` has a row per rule (Definitions.load). Only its distinct rule bodies come to the driver,
-    and only up to a limit: funnels built from the same steps share one compiled expression, and an
-    equi-join on the workspace gives the funnels that use it. Above the limit the rules stay a table.
+    `definitions` has a row per rule (Definitions.load). It comes to the driver only while it stays under a
+    limit: funnels built from the same steps then share one compiled expression, and an equi-join on the
+    workspace gives the funnels that use it. Above the limit the rules stay a table that events join.
     """
     if mode not in ("auto", "compiled", "joined"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode != "joined":
-        shapes = _shapes(definitions)
-        rows = _distinct_shapes(shapes)
-        if mode == "compiled" or rows is not None:
-            return _compiled(events, shapes, rows if rows is not None else _distinct_shapes(shapes, None))
+        rules = definitions.limit(DEFINITION_ROW_LIMIT + 1).collect()
+        shapes = _shapes(rules)
+        small = len(rules) <= DEFINITION_ROW_LIMIT and sum(len(s) for s in shapes) <= COMPILED_RULE_LIMIT
+        if small:
+            return _compiled(events, shapes)
+        if mode == "compiled":
+            raise ValueError("too many rules to compile")
     return _joined(events, definitions)
 
 
 # ------------------------------------------------------------------ compiled
-def _shapes(definitions: DataFrame) -> DataFrame:
-    """One row per funnel; `shape` is the JSON text of its ordered steps and rules."""
-    rule = F.struct("order_index", "step_type", "kind", "rules")
+def _shapes(rules: list[Row]) -> dict[tuple, list[tuple]]:
+    """Distinct step lists (order, type, kind, rules) -> the funnels that use them."""
+    by_funnel: dict[tuple, set] = defaultdict(set)
+    for r in rules:
+        key = tuple(r[c] for c in [*SCOPE, *FUNNEL_COLUMNS])
+        by_funnel[key].add((r.order_index, r.step_type, r.kind or "", r.rules or ""))
+    shapes: dict[tuple, list[tuple]] = defaultdict(list)
+    for funnel, steps in by_funnel.items():
+        shapes[tuple(sorted(steps))].append(funnel)
+    return shapes
+
+
+def _first_step(steps: tuple) -> Column | None:
+    by_order: dict[int, list[tuple]] = defaultdict(list)
+    for step in steps:
+        by_order[step[0]].append(step)
+    first = None
+    for order in sorted(by_order):
+        hit = F.lit(False)
+        for _, _, kind, rules in by_order[order]:
+            if kind:
+                hit = hit | F.coalesce(_predicate(kind, json.loads(rules)), F.lit(False))
+        found = F.struct(F.lit(order).alias("step_order"), F.lit(by_order[order][0][1]).alias("step_type"))
+        first = F.when(hit, found) if first is None else first.when(hit, found)
+    return first
+
+
+def _compiled(events: DataFrame, shapes: dict[tuple, list[tuple]]) -> DataFrame:
+    hits, uses = [], []
+    for number, (steps, funnels) in enumerate(sorted(shapes.items())):
+        first = _first_step(steps)
+        hits.append(F.when(first.isNotNull(), F.struct(F.lit(number).alias("_shape"), first.alias("_step"))))
+        uses += [(*funnel, number) for funnel in funnels]
+    schema = ("tenant_id bigint, workspace_id bigint, funnel_id bigint, funnel_version_id bigint, "
+              "window_days int, total_steps int, _shape int")
+    table = local_table(events.sparkSession, uses, schema)
+    if not hits:
+        hits = [F.lit(None).cast("struct<_shape:int,_step:struct<step_order:int,step_type:string>>")]
     return (
-        definitions.groupBy(*SCOPE, *FUNNEL_COLUMNS)
-        .agg(F.to_json(F.array_sort(F.collect_list(rule))).alias("shape"))
-    )
-
-
-def _distinct_shapes(shapes: DataFrame, limit: int | None = COMPILED_RULE_LIMIT) -> list[str] | None:
-    distinct = shapes.select("shape").distinct()
-    if limit is None:
-        return sorted(r.shape for r in distinct.collect())
-    rows = distinct.limit(limit + 1).collect()
-    total = sum(len(json.loads(r.shape)) for r in rows)
-    return sorted(r.shape for r in rows) if len(rows) <= limit and total <= limit else None
-
-
-def _compiled(events: DataFrame, shapes: DataFrame, distinct: list[str]) -> DataFrame:
-    matches = []
-    for shape in distinct:
-        by_step: dict[int, list[dict]] = defaultdict(list)
-        for rule in json.loads(shape):
-            by_step[rule["order_index"]].append(rule)
-        first = None
-        for order in sorted(by_step):
-            hit = F.lit(False)
-            for rule in by_step[order]:
-                if rule.get("kind") is not None:
-                    hit = hit | F.coalesce(_predicate(rule["kind"], json.loads(rule["rules"])), F.lit(False))
-            found = F.struct(F.lit(shape).alias("shape"), F.lit(order).alias("step_order"),
-                             F.lit(by_step[order][0]["step_type"]).alias("step_type"))
-            first = F.when(hit, found) if first is None else first.when(hit, found)
-        if first is not None:
-            matches.append(first)
-    if not matches:
-        matches = [F.lit(None).cast("struct<shape:string,step_order:int,step_type:string>")]
-    hits = events.withColumn("_hit", F.explode(F.filter(F.array(*matches), lambda h: h.isNotNull())))
-    return (
-        hits.withColumn("shape", F.col("_hit.shape"))
-        .join(shapes, [*SCOPE, "shape"])
-        .withColumn("step_order", F.col("_hit.step_order"))
-        .withColumn("step_type", F.col("_hit.step_type"))
-        .drop("_hit", "shape")
+        events.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+        .withColumn("_shape", F.col("_hit._shape"))
+        .join(table, [*SCOPE, "_shape"])
+        .withColumns({"step_order": F.col("_hit._step.step_order"), "step_type": F.col("_hit._step.step_type")})
+        .drop("_hit", "_shape")
     )
 
 

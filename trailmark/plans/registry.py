@@ -72,7 +72,7 @@ class Query:
         return self.plan(Inputs(spark, sf_dir))
 
 
-MODULES = ("traffic",)
+MODULES = ("traffic", "conversion")
 REGISTRY: dict[str, Query] = {}
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.params import SCOPE
 
@@ -15,6 +17,9 @@ PUBLICATION_SCHEMA = "id bigint, funnel_id bigint, version int, published_at tim
 STEP_SCHEMA = "id bigint, funnel_version_id bigint, order_index int, type string, label string"
 MATCH_SCHEMA = "id bigint, funnel_step_id bigint, kind string, rules string"
 
+ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(),
+               "double": pa.float64(), "timestamp": pa.timestamp("us", tz="UTC")}
+
 # One row per (step, rule). A step with several rules matches when any of them does.
 DEFINITION_COLUMNS = [
     *SCOPE, "funnel_id", "funnel_name", "funnel_version_id", "version", "window_days", "total_steps",
@@ -22,6 +27,15 @@ DEFINITION_COLUMNS = [
 ]
 
 
+def local_table(spark: SparkSession, rows: Iterable, schema: str) -> DataFrame:
+    """A small local relation: Spark knows its size, so joins with it need no hint to be cheap."""
+    struct = T.StructType.fromDDL(schema)
+    arrow = pa.schema([(f.name, ARROW_TYPES[f.dataType.simpleString()]) for f in struct])
+    columns = list(zip(*rows)) or [()] * len(struct)
+    table = pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, struct)
+
+
 class Definitions:
     """The five dimension tables of the funnel builder."""
 
@@ -36,7 +50,9 @@ class Definitions:
     @classmethod
     def from_rows(cls, spark: SparkSession, funnels: Iterable, versions: Iterable, publications: Iterable,
                   steps: Iterable, matches: Iterable) -> Definitions:
-        make = lambda rows, schema: spark.createDataFrame([tuple(r) for r in rows], schema)
+        def make(rows, schema):
+            return local_table(spark, rows, schema)
+
         return cls(make(funnels, FUNNEL_SCHEMA), make(versions, VERSION_SCHEMA),
                    make(publications, PUBLICATION_SCHEMA), make(steps, STEP_SCHEMA), make(matches, MATCH_SCHEMA))
 
@@ -45,11 +61,9 @@ class Definitions:
         versions = self.versions
         if published_only:
             versions = versions.where(F.lower("state") == "published")
-        newest = Window.partitionBy("funnel_id").orderBy(F.desc("version"), F.desc("id"))
-        versions = (
-            versions.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1")
-            .select("funnel_id", F.col("id").alias("funnel_version_id"), "version")
-        )
+        versions = versions.groupBy("funnel_id").agg(
+            F.max(F.struct("version", "id")).alias("_v")
+        ).select("funnel_id", F.col("_v.id").alias("funnel_version_id"), F.col("_v.version").alias("version"))
         window_days = self.publications.groupBy("funnel_id").agg(
             F.max_by("window_days", F.struct("published_at", "id")).alias("window_days")
         )

@@ -72,7 +72,7 @@ class Query:
         return self.plan(Inputs(spark, sf_dir))
 
 
-MODULES = ("traffic", "conversion")
+MODULES = ("traffic", "conversion", "timing")
 REGISTRY: dict[str, Query] = {}
 
 

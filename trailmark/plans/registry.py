@@ -72,7 +72,7 @@ class Query:
         return self.plan(Inputs(spark, sf_dir))
 
 
-MODULES = ("traffic", "conversion", "timing")
+MODULES = ("traffic", "conversion", "timing", "journeys", "attribution")
 REGISTRY: dict[str, Query] = {}
 
 

@@ -196,7 +196,7 @@ def conversion_timeseries(state: DataFrame, funnels: DataFrame, period: Period,
         "trend_direction",
         F.when(F.col("conversion_rate") > previous + TREND_THRESHOLD, "up")
         .when(F.col("conversion_rate") < previous - TREND_THRESHOLD, "down").otherwise("stable"),
-    ).drop("at")
+    ).withColumnRenamed("at", "period_start")
 
 
 def peer_comparison(state: DataFrame, period: Period, as_of: str) -> DataFrame:

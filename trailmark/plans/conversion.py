@@ -303,7 +303,7 @@ SELECT {G}, "date", entries, conversions, conversion_rate, moving_average,
 
 
 def _timeseries(granularity: str):
-    return lambda i: conversion.conversion_timeseries(i.state, i.steps, WHOLE, granularity)
+    return lambda i: conversion.conversion_timeseries(i.state, i.steps, WHOLE, granularity).drop("period_start")
 
 
 query("conversion_timeseries", _timeseries_sql("day", "%Y-%m-%d"))(_timeseries("daily"))

@@ -16,8 +16,6 @@ from trailmark.session import prepare
 from trailmark.sources.events import canonical_events, derive_sessions
 
 AS_OF = "2024-01-31 00:00:00"
-# The last analysed instant that still has traffic around it, for the live queries.
-LIVE_NOW = "2024-01-30 12:00:00"
 CURRENT = Period.of("2024-01-16 00:00:00", "2024-01-30 23:59:59.999")
 WHOLE = Period.of("2024-01-01 00:00:00", "2024-01-30 23:59:59.999")
 
@@ -72,7 +70,7 @@ class Query:
         return self.plan(Inputs(spark, sf_dir))
 
 
-MODULES = ("traffic", "conversion", "timing", "journeys", "attribution")
+MODULES = ("traffic", "conversion", "timing", "journeys", "attribution", "live", "comparison")
 REGISTRY: dict[str, Query] = {}
 
 

@@ -105,4 +105,3 @@ CURRENT = "BETWEEN TIMESTAMP '2024-01-16 00:00:00' AND TIMESTAMP '2024-01-30 23:
 PREVIOUS = "BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-15 23:59:59.999'"
 WHOLE = "BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-30 23:59:59.999'"
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
-LIVE_NOW = "TIMESTAMP '2024-01-30 12:00:00'"

@@ -24,3 +24,31 @@ def number_rows(df: DataFrame, keys: list[str], at: str = "timestamp", tie: str
     return numbered.join(days, [*keys, "_day"]).withColumns({
         "position": F.col("_offset") + F.col("_rn"), "previous_at": F.coalesce("_lag", "_carried"),
     }).drop("_day", "_offset", "_carried", "_rn", "_lag")
+
+
+def carry_forward(df: DataFrame, keys: list[str], column: str, into: str, at: str = "timestamp",
+                  tie: str = "id") -> DataFrame:
+    """Adds `into`: the last non-null `column` of the key up to and including the row, by time."""
+    rows = df.withColumn("_day", F.floor(F.unix_micros(at) / DAY))
+    days = rows.groupBy(*keys, "_day").agg(
+        F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(at, tie))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_day").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_found", F.last(column, ignorenulls=True).over(inside))
+    return found.join(days, [*keys, "_day"]).withColumn(into, F.coalesce("_found", "_carried")).drop(
+        "_day", "_found", "_carried")
+
+
+def as_of(df: DataFrame, updates: DataFrame, keys: list[str], value: str, at: str = "timestamp",
+          tie: str = "id") -> DataFrame:
+    """Adds `value` to each row: the key's latest update at or before the row.
+
+    `updates` has the keys, `at` and `value`. Updates are sorted in before rows of the same instant.
+    """
+    columns = df.columns
+    marked = df.withColumns({"_is_row": F.lit(1), value: F.lit(None).cast(updates.schema[value].dataType)})
+    facts = updates.select(*keys, at, value).withColumn("_is_row", F.lit(0))
+    both = marked.unionByName(facts, allowMissingColumns=True).withColumn("_tie", F.struct("_is_row", tie))
+    found = carry_forward(both, keys, value, "_as_of", at, "_tie")
+    return found.where("_is_row = 1").select(*columns, F.col("_as_of").alias(value))

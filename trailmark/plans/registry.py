@@ -70,7 +70,7 @@ class Query:
         return self.plan(Inputs(spark, sf_dir))
 
 
-MODULES = ("traffic", "conversion", "timing", "journeys", "attribution", "live", "comparison")
+MODULES = ("traffic", "conversion", "timing", "journeys", "attribution", "live", "comparison", "events", "identity")
 REGISTRY: dict[str, Query] = {}
 
 

@@ -67,10 +67,13 @@ def canonical_events(spark: SparkSession, sf_dir: str, leads: bool = True) -> Da
             F.struct(F.col("_url").alias("url"), text.alias("title"), F.col("_referrer").alias("referrer"),
                      F.regexp_extract("_url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path")),
         ).alias("page"),
-        F.struct(F.col("_source").alias("source"), F.col("_medium").alias("medium"), text.alias("campaign"),
-                 text.alias("term"), text.alias("content")).alias("utm"),
+        F.when(
+            F.col("_source").isNotNull(),
+            F.struct(F.col("_source").alias("source"), F.col("_medium").alias("medium"), text.alias("campaign"),
+                     text.alias("term"), text.alias("content")),
+        ).alias("utm"),
         F.struct(F.coalesce("_device", F.lit("tablet")).alias("type")).alias("device"),
-        F.struct(F.col("_country").alias("country")).alias("geo"),
+        F.when(F.col("_country").isNotNull(), F.struct(F.col("_country").alias("country"))).alias("geo"),
         "props", F.col("timestamp").alias("ingested_at"), "value", "user_id",
     )
     return _with_leads(events) if leads else events.drop("user_id")

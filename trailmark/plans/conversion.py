@@ -490,3 +490,33 @@ FROM st WHERE entered_at >= TIMESTAMP '2024-01-01'"""))
 def paths(i: Inputs):
     rows = rollups.progression_paths(i.state, AS_OF).drop("exit_step_index")
     return texts(longs(rows, "current_step_index"), "entered_at", "completed_at")
+
+
+# --------------------------------------------------------------------- exports
+@query("export_csv", oracle("st", f"""
+r AS (SELECT steps.tenant_id, steps.workspace_id, steps.funnel_id, order_index, step_label, COUNT(st.anonymous_id) AS users,
+        COALESCE({rnd(f'AVG({SPENT}) / 60e6')}, 0.0) AS mins
+      FROM steps LEFT JOIN st ON st.funnel_id = steps.funnel_id AND st.current_step_index >= order_index
+           AND entered_at {sql.WHOLE} GROUP BY 1, 2, 3, 4, 5),
+l AS (SELECT *, COALESCE(LAG(users) OVER (PARTITION BY funnel_id ORDER BY order_index), users) AS prev FROM r)
+SELECT CASE funnel_id // 10 WHEN 1 THEN 'Signup to purchase' WHEN 2 THEN 'Pages to purchase' ELSE 'Click to purchase' END AS "Funnel Name",
+  CAST(order_index + 1 AS BIGINT) AS "Step Order", step_label AS "Step Name", users AS "Unique Users", {pct('users', 'prev')} AS "Conversion Rate",
+  {pct('prev - users', 'prev')} AS "Drop-off Rate", mins AS "Avg Time to Complete (minutes)", '2024-01-01 to 2024-01-30' AS "Date Range" FROM l"""))
+def export_csv(i: Inputs):
+    from trailmark.sources.exports import csv_rows
+
+    return csv_rows(conversion.conversion_steps(i.state, i.steps, WHOLE), i.defs.funnels, WHOLE)
+
+
+@query("export_json", oracle("st", f"""
+SELECT {G}, CAST(COUNT(*) AS BIGINT) AS entries, CAST((SELECT COUNT(*) FROM steps WHERE steps.funnel_id = st.funnel_id) AS BIGINT) AS total_records
+FROM st WHERE entered_at {sql.WHOLE} GROUP BY 1, 2, 3"""))
+def export_json(i: Inputs):
+    """The JSON reports, with two of their fields read back."""
+    from trailmark.sources.exports import json_report
+
+    reports = json_report(conversion.conversion_overall(i.state, WHOLE), conversion.step_completions(i.state, i.steps, WHOLE),
+                          i.defs.funnels, WHOLE)
+    return reports.select(
+        *FUNNEL, F.get_json_object("report", "$.summary.total_entries").cast("bigint").alias("entries"),
+        F.get_json_object("report", "$.export_metadata.total_records").cast("bigint").alias("total_records"))

@@ -203,7 +203,7 @@ def summary(i: Inputs):
 
 # ---------------------------------------------------------------- enrichment
 AGENTS = [("desktop", "Windows", "10.0", "Chrome", "120.0.6099.109"), ("desktop", "macOS", "10.15.7", "Safari", "17.2"),
-          ("mobile", "iOS", None, "Safari", "17.2"), ("desktop", "Windows", "10.0", "Edge", "120.0.2210.91"),
+          ("mobile", "macOS", None, "Safari", "17.2"), ("desktop", "Windows", "10.0", "Edge", "120.0.2210.91"),
           ("desktop", "Linux", None, "Firefox", "121.0"), ("mobile", "Linux", None, "Chrome", "120.0.6099.144"),
           ("mobile", "Android", None, "Opera", "9.80"), ("unknown", "unknown", None, "unknown", None)]
 AGENT_VALUES = ", ".join("(" + ", ".join([str(n)] + ["NULL" if v is None else f"'{v}'" for v in row]) + ")"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import (
     banded, mean_seconds, micros_between, period_label, rate, round_half_up, share, two_sided_p,
 )
-from trailmark.operators.percentiles import exact_percentiles
+from trailmark.operators.percentiles import distribution
 from trailmark.operators.state import reached_all_steps
 from trailmark.params import FUNNEL, SCOPE, Period, timestamp
 
@@ -36,11 +36,8 @@ def step_histogram(state: DataFrame, *extra: Column) -> DataFrame:
         F.count("*").alias("stopped_here"), *extra)
 
 
-def step_reach(state: DataFrame, steps: DataFrame, *extra: Column, sums: tuple[str, ...] = ()) -> DataFrame:
-    """Every step of every funnel with the users at it and at it or beyond (`users`).
-
-    `sums` names extra columns to accumulate over the steps beyond, as `<name>_beyond`.
-    """
+def step_reach(state: DataFrame, steps: DataFrame, *extra: Column) -> DataFrame:
+    """Every step of every funnel with the users at it and at it or beyond (`users`)."""
     table = steps.select(*FUNNEL, "total_steps", "order_index", "step_type", "step_label").join(
         step_histogram(state, *extra), [*FUNNEL, "order_index"], "left")
     beyond = Window.partitionBy(*FUNNEL).orderBy(F.desc("order_index")).rowsBetween(
@@ -48,7 +45,6 @@ def step_reach(state: DataFrame, steps: DataFrame, *extra: Column, sums: tuple[s
     return table.withColumns({
         "stopped_here": F.coalesce("stopped_here", zero()),
         "users": F.coalesce(F.sum("stopped_here").over(beyond), zero()),
-        **{f"{name}_beyond": F.sum(name).over(beyond) for name in sums},
     })
 
 
@@ -59,21 +55,23 @@ def step_completions(state: DataFrame, steps: DataFrame, period: Period) -> Data
 
 
 def conversion_steps(state: DataFrame, steps: DataFrame, period: Period) -> DataFrame:
-    """Per step: users, conversion from the previous step and from the start, drop-off, minutes to get there."""
-    entered = state.where(period.contains("entered_at"))
-    spent = micros_between(F.col("last_activity_at"), F.col("entered_at"))
-    total = F.sum(spent.cast("double")).alias("spent")
-    reach = step_reach(entered, steps, total, sums=("spent",))
-    reached = entered.select(
+    """Per step: users, conversion from the previous step and from the start, drop-off, minutes to get there.
+
+    Users are expanded to the steps they reached, so one distribution gives users, mean and percentiles at once.
+    """
+    reached = state.where(period.contains("entered_at")).select(
         *FUNNEL, F.explode(F.sequence(F.lit(0), F.col("current_step_index"))).alias("order_index"),
-        spent.alias("spent"))
-    times = exact_percentiles(reached, [*FUNNEL, "order_index"], F.col("spent"), PERCENTILES)
+        micros_between(F.col("last_activity_at"), F.col("entered_at")).alias("spent"))
+    times = distribution(reached, [*FUNNEL, "order_index"], F.col("spent"), PERCENTILES)
+    table = steps.select(*FUNNEL, "order_index", "step_type", "step_label").join(
+        times.withColumnRenamed("rows", "users"), [*FUNNEL, "order_index"], "left")
     by_step = Window.partitionBy(*FUNNEL).orderBy("order_index")
-    before = F.coalesce(F.lag("users").over(by_step), F.col("users"))
-    start = F.first("users").over(by_step)
-    table = reach.withColumns({"before": before, "start": start}).join(times, [*FUNNEL, "order_index"], "left")
+    table = table.withColumn("users", F.coalesce("users", zero()))
+    table = table.withColumns({"before": F.coalesce(F.lag("users").over(by_step), F.col("users")),
+                               "start": F.first("users").over(by_step)})
     lost = F.col("before") - F.col("users")
     drop = share(lost, F.col("before"))
+    minutes = lambda c: F.coalesce(round_half_up(c / 60), F.lit(0.0))
     return table.select(
         *FUNNEL, (F.col("order_index") + 1).cast("bigint").alias("step_order"), "step_label", "step_type", "users",
         rate(F.col("users"), F.col("before")).alias("conversion_from_previous"),
@@ -81,9 +79,8 @@ def conversion_steps(state: DataFrame, steps: DataFrame, period: Period) -> Data
         round_half_up(drop).alias("drop_off_rate"), lost.alias("drop_off_count"),
         (drop > BOTTLENECK_ABOVE).alias("is_bottleneck"),
         banded(drop, SEVERITY_BANDS, "low").alias("bottleneck_severity"),
-        F.coalesce(round_half_up(F.col("spent_beyond") / F.col("users") / F.lit(60e6)), F.lit(0.0))
-        .alias("average_minutes"),
-        *[F.coalesce(round_half_up(F.col(p) / 60), F.lit(0.0)).alias(f"{p}_minutes") for p in PERCENTILES],
+        minutes(F.col("mean")).alias("average_minutes"),
+        *[minutes(F.col(p)).alias(f"{p}_minutes") for p in PERCENTILES],
     )
 
 

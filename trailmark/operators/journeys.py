@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import labels_where, round_half_up, share
-from trailmark.operators.percentiles import exact_percentiles
+from trailmark.operators.percentiles import distribution
 from trailmark.params import SCOPE, Period
 
 PERSON = [*SCOPE, "user_id"]
@@ -71,14 +71,10 @@ def user_journeys(steps: DataFrame) -> DataFrame:
 def path_groups(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFrame:
     """Paths taken by at least `min_users` journeys: conversion, time, drop-out, scores and popularity."""
     timed = F.when(F.col("completion_micros") > 0, F.col("completion_micros"))
-    facts = journeys.groupBy(*PATH).agg(
-        F.count("*").alias("users"), F.count_if("converted").alias("conversions"),
-        (F.avg(timed.cast("double")) / F.lit(1e6)).alias("mean_seconds"),
-        F.max(F.size("steps")).cast("bigint").alias("path_steps"),
-    ).where(F.col("users") >= min_users)
-    popular = journeys.join(facts.select(*PATH), PATH, "left_semi")
-    medians = exact_percentiles(popular.where("completion_micros > 0"), PATH, F.col("completion_micros"),
-                                {"median_seconds": 0.5})
+    facts = distribution(journeys, PATH, timed, {"median_seconds": 0.5}, min_rows=min_users,
+                         sums={"conversions": F.col("converted").cast("bigint")}).withColumnsRenamed(
+        {"rows": "users", "mean": "mean_seconds"}).withColumn(
+        "path_steps", F.size(F.split("pattern", " -> ")).cast("bigint"))
     rate, mean = share(F.col("conversions"), F.col("users")), F.col("mean_seconds")
     speed = F.when(mean > 0, F.greatest(F.lit(0.0), F.lit(1.0) - mean / 3600)).otherwise(F.lit(1.0))
     simplicity = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("path_steps") / 20)
@@ -87,7 +83,7 @@ def path_groups(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFra
                   + simplicity * weights["simplicity"]) * 100
     velocity = F.least(F.lit(100.0), (F.greatest(F.lit(0.0), F.lit(100.0) - mean / 60) + rate) / 2)
     by_users = Window.partitionBy(*SCOPE).orderBy(F.desc("users"), "pattern")
-    return facts.join(medians, PATH, "left").select(
+    return facts.select(
         *PATH, F.row_number().over(by_users).cast("bigint").alias("popularity_rank"), "users", "conversions",
         rate.alias("conversion_rate"), F.coalesce(mean, F.lit(0.0)).alias("avg_seconds"),
         F.coalesce("median_seconds", F.lit(0.0)).alias("median_seconds"), (F.lit(100.0) - rate).alias("dropout_rate"),

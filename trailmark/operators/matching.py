@@ -71,7 +71,7 @@ def _compiled(events: DataFrame, shapes: dict[tuple, list[tuple]]) -> DataFrame:
     hits, uses = [], []
     for number, (steps, funnels) in enumerate(sorted(shapes.items())):
         first = _first_step(steps)
-        hits.append(F.when(first.isNotNull(), F.struct(F.lit(number).alias("_shape"), first.alias("_step"))))
+        hits.append(F.struct(F.lit(number).alias("_shape"), first.alias("_step")))
         uses += [(*funnel, number) for funnel in funnels]
     schema = ("tenant_id bigint, workspace_id bigint, funnel_id bigint, funnel_version_id bigint, "
               "window_days int, total_steps int, _shape int")
@@ -79,7 +79,7 @@ def _compiled(events: DataFrame, shapes: dict[tuple, list[tuple]]) -> DataFrame:
     if not hits:
         hits = [F.lit(None).cast("struct<_shape:int,_step:struct<step_order:int,step_type:string>>")]
     return (
-        events.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+        events.withColumn("_hit", F.explode(F.array(*hits))).where("_hit._step is not null")
         .withColumn("_shape", F.col("_hit._shape"))
         .join(table, [*SCOPE, "_shape"])
         .withColumns({"step_order": F.col("_hit._step.step_order"), "step_type": F.col("_hit._step.step_type")})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import banded, ceilinged, change_percent, duration_text, rate, round_half_up
-from trailmark.operators.percentiles import exact_percentiles
+from trailmark.operators.percentiles import distribution
 from trailmark.params import FUNNEL, Period, timestamp
 
 USER = [*FUNNEL, "anonymous_id"]
@@ -49,12 +49,10 @@ def completed_users(matched: DataFrame, period: Period, *extra: Column) -> DataF
 def timing_distribution(matched: DataFrame, period: Period) -> DataFrame:
     """Per funnel: percentiles, mean, deviation and range of seconds to convert."""
     times = completed_users(matched, period).where("micros > 0")
-    seconds = F.col("micros") / F.lit(1e6)
-    stats = times.groupBy(*FUNNEL).agg(
-        (F.avg(F.col("micros").cast("double")) / F.lit(1e6)).alias("mean_seconds"),
-        F.stddev_samp(seconds).alias("stddev_seconds"), F.min(seconds).alias("min_seconds"),
-        F.max(seconds).alias("max_seconds"), F.count("*").alias("conversions"))
-    return stats.join(exact_percentiles(times, FUNNEL, F.col("micros"), PERCENTILES), FUNNEL)
+    rows = distribution(times, FUNNEL, F.col("micros"), PERCENTILES)
+    return rows.select(*FUNNEL, F.col("mean").alias("mean_seconds"), F.col("stddev").alias("stddev_seconds"),
+                       F.col("least").alias("min_seconds"), F.col("most").alias("max_seconds"),
+                       F.col("n").alias("conversions"), *PERCENTILES)
 
 
 def timing_buckets(matched: DataFrame, period: Period) -> DataFrame:
@@ -69,14 +67,20 @@ def timing_buckets(matched: DataFrame, period: Period) -> DataFrame:
 
 
 # ---------------------------------------------------------------- transitions
-def _links(matched: DataFrame, period: Period) -> tuple[DataFrame, DataFrame]:
-    """(sources of each step inside the period, targets: events of the step after, under the same link)."""
-    base = matched.select(*USER, "step_order", F.unix_micros("timestamp").alias("us"), "timestamp")
-    sources = base.where(period.contains("timestamp")).select(*USER, F.col("step_order").alias("link"), "us")
-    after = timestamp(period.start), timestamp(period.end) + F.expr(f"interval {LOOK_AHEAD_DAYS} days")
-    targets = base.where((F.col("step_order") > 0) & F.col("timestamp").between(*after)).select(
-        *USER, (F.col("step_order") - 1).alias("link"), "us")
-    return sources, targets
+def _link_rows(matched: DataFrame, period: Period) -> DataFrame:
+    """Each matched event as source of its own link and as target of the link before, from one scan.
+
+    Sources lie in the period, targets up to seven days after it.
+    """
+    start, end = timestamp(period.start), timestamp(period.end)
+    as_source = F.when(F.col("timestamp") <= end, F.struct(
+        F.col("step_order").alias("link"), F.lit(False).alias("is_target")))
+    as_target = F.when(F.col("step_order") > 0, F.struct(
+        (F.col("step_order") - 1).alias("link"), F.lit(True).alias("is_target")))
+    near = matched.where((F.col("timestamp") >= start) & (
+        F.col("timestamp") <= end + F.expr(f"interval {LOOK_AHEAD_DAYS} days")))
+    rows = near.select(*USER, F.unix_micros("timestamp").alias("us"), F.explode(F.array(as_source, as_target)).alias("_l"))
+    return rows.where("_l is not null").select(*USER, "_l.link", "us", "_l.is_target")
 
 
 def nearest_next(matched: DataFrame, period: Period) -> DataFrame:
@@ -85,19 +89,15 @@ def nearest_next(matched: DataFrame, period: Period) -> DataFrame:
     Each (user, link, day) is its own group. The first target of a day is copied to the 7 days before it, so
     a group sees every target that can be nearest for its sources.
     """
-    sources, targets = _links(matched, period)
-    day = F.floor(F.col("us") / DAY)
-    first_of_day = targets.groupBy(*USER, "link", day.alias("day")).agg(F.min("us").alias("us"))
-    ahead = first_of_day.withColumn("day", F.explode(F.sequence(
-        F.col("day") - LOOK_AHEAD_DAYS, F.col("day") - 1)))
-    rows = (
-        sources.select(*USER, "link", day.alias("day"), "us", F.lit(None).cast("bigint").alias("target"))
-        .unionByName(targets.select(*USER, "link", day.alias("day"), "us", F.col("us").alias("target")))
-        .unionByName(ahead.select(*USER, "link", "day", "us", F.col("us").alias("target")))
-    )
+    rows = _link_rows(matched, period).select(
+        *USER, "link", F.floor(F.col("us") / DAY).alias("day"), "us", F.when(F.col("is_target"), F.col("us")).alias("target"))
+    first_of_day = rows.where("target is not null").groupBy(*USER, "link", "day").agg(F.min("us").alias("us"))
+    ahead = first_of_day.select(
+        *USER, "link", F.explode(F.sequence(F.col("day") - LOOK_AHEAD_DAYS, F.col("day") - 1)).alias("day"), "us",
+        F.col("us").alias("target"))
     # Backwards in time, the running minimum of later targets is the nearest one.
     later = Window.partitionBy(*USER, "link", "day").orderBy(-F.col("us")).rangeBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("next_us", F.min("target").over(later)).where("target is null")
+    found = rows.unionByName(ahead).withColumn("next_us", F.min("target").over(later)).where("target is null")
     wait = F.col("next_us") - F.col("us")
     return found.select(*USER, F.col("link").alias("step_order"),
                         F.when(wait <= LOOK_AHEAD_DAYS * DAY, wait).alias("wait_micros"))
@@ -109,19 +109,17 @@ def step_transition_pairs(matched: DataFrame, period: Period) -> DataFrame:
     Pairs of a source at t are targets(<= t + 7 days) - targets(<= t). Both terms are probes into the running
     count of the day they fall in, plus the count of the days before, which is one row per user and day.
     """
-    sources, targets = _links(matched, period)
-    rows = (
-        targets.select(*USER, "link", "us", F.lit(1).alias("is_target"), F.lit(0).alias("sign"), F.lit(0.0).alias("at"))
-        .unionByName(sources.select(*USER, "link", F.explode(F.array(
-            F.struct((F.col("us") + LOOK_AHEAD_DAYS * DAY).alias("us"), F.lit(0).alias("is_target"),
-                     F.lit(1).alias("sign"), (F.col("us") / F.lit(1e6)).alias("at")),
-            F.struct(F.col("us"), F.lit(0).alias("is_target"), F.lit(-1).alias("sign"),
-                     (F.col("us") / F.lit(1e6)).alias("at")))).alias("_p")).select(*USER, "link", "_p.*"))
-        .withColumn("day", F.floor(F.col("us") / DAY))
-    )
     origin = F.unix_micros(timestamp(period.start)) / F.lit(1e6)
-    rows = rows.withColumn("at", F.col("at") - origin).withColumn("target_at", F.when(
-        F.col("is_target") == 1, F.col("us") / F.lit(1e6) - origin).otherwise(F.lit(0.0)))
+    at = F.col("us") / F.lit(1e6) - origin
+    row = lambda us, is_target, sign, source_at, target_at: F.struct(
+        us.alias("us"), F.lit(is_target).alias("is_target"), F.lit(sign).alias("sign"), source_at.alias("at"),
+        target_at.alias("target_at"))
+    none = F.lit(0.0)
+    target = F.array(row(F.col("us"), 1, 0, none, at))
+    probes = F.array(row(F.col("us") + LOOK_AHEAD_DAYS * DAY, 0, 1, at, none), row(F.col("us"), 0, -1, at, none))
+    rows = _link_rows(matched, period).select(
+        *USER, "link", F.explode(F.when(F.col("is_target"), target).otherwise(probes)).alias("_p")).select(
+        *USER, "link", "_p.*").withColumn("day", F.floor(F.col("us") / DAY))
     upto = Window.partitionBy(*USER, "link", "day").orderBy("us").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"n": F.sum("is_target").over(upto), "s": F.sum("target_at").over(upto)})
@@ -150,19 +148,14 @@ def step_transition_pairs(matched: DataFrame, period: Period) -> DataFrame:
 
 def step_timing(matched: DataFrame, steps: DataFrame, period: Period) -> DataFrame:
     """Per step: mean, median and p90 seconds to the nearest next-step event, and the share that has none."""
-    waits = nearest_next(matched, period)
     keys = [*FUNNEL, "step_order"]
-    facts = waits.groupBy(*keys).agg(
-        F.count("*").alias("user_count"), F.count("wait_micros").alias("proceeded"),
-        (F.avg(F.col("wait_micros").cast("double")) / F.lit(1e6)).alias("mean"))
-    middle = exact_percentiles(waits, keys, F.col("wait_micros"), {"p50": 0.5, "p90": 0.9})
+    waits = distribution(nearest_next(matched, period), keys, F.col("wait_micros"), {"p50": 0.5, "p90": 0.9})
     labels = steps.select(*FUNNEL, F.col("order_index").alias("step_order"), "step_label")
-    lost = F.col("user_count") - F.col("proceeded")
-    return facts.join(middle, keys, "left").join(labels, keys).select(
+    return waits.join(labels, keys).select(
         *FUNNEL, F.col("step_order").cast("bigint").alias("step_order"), "step_label",
         F.coalesce("mean", F.lit(0.0)).alias("avg_seconds"), F.coalesce("p50", F.lit(0.0)).alias("median_seconds"),
-        F.coalesce("p90", F.lit(0.0)).alias("p90_seconds"), "user_count",
-        rate(lost, F.col("user_count")).alias("abandonment_rate"))
+        F.coalesce("p90", F.lit(0.0)).alias("p90_seconds"), F.col("rows").alias("user_count"),
+        rate(F.col("rows") - F.col("n"), F.col("rows")).alias("abandonment_rate"))
 
 
 # --------------------------------------------------------------------- trends
@@ -172,9 +165,8 @@ def velocity_trends(matched: DataFrame, period: Period, granularity: str = "dail
     times = completed_users(matched, period).where("micros > 0").withColumn(
         "period", F.date_trunc(unit, F.col("first_at")))
     keys = [*FUNNEL, "period"]
-    facts = times.groupBy(*keys).agg(
-        F.count("*").alias("conversion_count"), (F.avg(F.col("micros").cast("double")) / F.lit(1e6)).alias("avg_seconds"))
-    table = facts.join(exact_percentiles(times, keys, F.col("micros"), {"median_seconds": 0.5}), keys)
+    table = distribution(times, keys, F.col("micros"), {"median_seconds": 0.5}).withColumnsRenamed(
+        {"rows": "conversion_count", "mean": "avg_seconds"})
     before = F.lag("avg_seconds").over(Window.partitionBy(*FUNNEL).orderBy("period"))
     change = change_percent(F.col("avg_seconds"), before)
     return table.select(
@@ -205,11 +197,9 @@ def segment_timing(matched: DataFrame, period: Period) -> DataFrame:
         for n in ("device_type", "traffic_source", "platform")]))
     long = rows.select(*FUNNEL, "micros", segment.alias("_s")).select(*FUNNEL, "micros", "_s.*")
     keys = [*FUNNEL, "segment_name", "segment_value"]
-    facts = long.groupBy(*keys).agg(
-        F.count("*").alias("conversion_count"), (F.avg(F.col("micros").cast("double")) / F.lit(1e6)).alias("avg_seconds")
-    ).where(F.col("conversion_count") >= MIN_SEGMENT_CONVERSIONS)
-    table = facts.join(exact_percentiles(
-        long, keys, F.col("micros"), {"median_seconds": 0.5, "p90_seconds": 0.9}), keys)
+    table = distribution(long, keys, F.col("micros"), {"median_seconds": 0.5, "p90_seconds": 0.9},
+                         min_rows=MIN_SEGMENT_CONVERSIONS).withColumnsRenamed(
+        {"rows": "conversion_count", "mean": "avg_seconds"})
     mean = F.avg("avg_seconds").over(Window.partitionBy(*FUNNEL))
     return table.select(
         *keys, "avg_seconds", "median_seconds", "p90_seconds", "conversion_count",

@@ -28,10 +28,12 @@ def canonical_events(spark: SparkSession, sf_dir: str, leads: bool = True) -> Da
 
     `leads=False` leaves out the lead (a join on first sign-up) where a query has no use for it.
     """
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     at = F.col("ts").cast("timestamp")
-    k = F.get_json_object("props", "$.k").cast("int")
-    day = F.date_format(at, "yyyyMMdd")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", "user_id", "event_type", "value", "props", at.alias("_at"),
+        F.get_json_object("props", "$.k").cast("int").alias("_k"), F.date_format(at, "yyyyMMdd").alias("_day"),
+    )
+    at, k, day = F.col("_at"), F.col("_k"), F.col("_day")
     user = F.col("user_id").cast("string")
     text = F.lit(None).cast("string")
 

@@ -10,33 +10,29 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import json_value, wildcard_match
 from trailmark.params import SCOPE
-from trailmark.sources.definitions import local_table
+from trailmark.sources.definitions import Definitions, local_table
 
-# Rule rows the driver will read, and distinct rules it will compile; beyond either, rules are joined as data.
-DEFINITION_ROW_LIMIT = 20_000
+# Distinct rules compiled into one expression; beyond that, rules are joined as data.
 COMPILED_RULE_LIMIT = 400
 
 FUNNEL_COLUMNS = ["funnel_id", "funnel_version_id", "window_days", "total_steps"]
 
 
-def match_funnel_events(events: DataFrame, definitions: DataFrame, mode: str = "auto") -> DataFrame:
+def match_funnel_events(events: DataFrame, definitions: Definitions, mode: str = "auto") -> DataFrame:
     """One row per (event, funnel) with the matched step, for every published funnel of its workspace.
 
-    `definitions` has a row per rule (Definitions.load). It comes to the driver only while it stays under a
-    limit: funnels built from the same steps then share one compiled expression, and an equi-join on the
+    The rules come to the driver only while they stay under a limit: funnels built from the same steps then share one compiled expression, and an equi-join on the
     workspace gives the funnels that use it. Above the limit the rules stay a table that events join.
     """
     if mode not in ("auto", "compiled", "joined"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode != "joined":
-        rules = definitions.limit(DEFINITION_ROW_LIMIT + 1).collect()
-        shapes = _shapes(rules)
-        small = len(rules) <= DEFINITION_ROW_LIMIT and sum(len(s) for s in shapes) <= COMPILED_RULE_LIMIT
-        if small:
+        shapes = None if definitions.rules is None else _shapes(definitions.rules)
+        if shapes is not None and sum(len(s) for s in shapes) <= COMPILED_RULE_LIMIT:
             return _compiled(events, shapes)
         if mode == "compiled":
             raise ValueError("too many rules to compile")
-    return _joined(events, definitions)
+    return _joined(events, definitions.load())
 
 
 # ------------------------------------------------------------------ compiled

@@ -181,17 +181,18 @@ def segment_timing(matched: DataFrame, period: Period) -> DataFrame:
 
     A user who used several devices or sources counts once per combination with more than one step.
     """
-    inside = matched.where(period.contains("timestamp"))
-    finished = completed_users(matched, period).select(*USER)
     kind = F.col("device.type")
-    rows = inside.join(finished, USER, "left_semi").groupBy(
-        *USER, F.coalesce(kind, F.lit("unknown")).alias("device_type"),
+    rows = matched.where(period.contains("timestamp")).groupBy(
+        *USER, "total_steps", F.coalesce(kind, F.lit("unknown")).alias("device_type"),
         F.coalesce("utm.source", F.lit("direct")).alias("traffic_source"),
         F.when(F.col("page.url").contains("mobile") | (kind == "mobile"), "mobile").when(kind == "desktop", "desktop")
         .otherwise("unknown").alias("platform"),
-    ).agg(F.size(F.collect_set("step_order")).alias("steps"),
-          (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))).alias("micros")
-          ).where("steps > 1 and micros > 0")
+    ).agg(F.collect_set("step_order").alias("steps"),
+          (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))).alias("micros"))
+    # A user has one row per combination used; together they tell whether every step was matched.
+    seen = F.size(F.array_distinct(F.flatten(F.collect_set("steps").over(Window.partitionBy(*USER)))))
+    rows = rows.withColumn("seen", seen).where(
+        (F.col("seen") == F.col("total_steps")) & (F.size("steps") > 1) & (F.col("micros") > 0))
     segment = F.explode(F.array(*[
         F.struct(F.lit(n).alias("segment_name"), F.col(n).alias("segment_value"))
         for n in ("device_type", "traffic_source", "platform")]))

@@ -82,7 +82,7 @@ def matched(i: Inputs):
 @query("join_funnel_match", MATCHED_SQL)
 def join_funnel_match(i: Inputs):
     """The same matches with rules joined as rows."""
-    return _matched(match_funnel_events(i.anonymous_events, i.defs.load(), mode="joined"))
+    return _matched(match_funnel_events(i.anonymous_events, i.defs, mode="joined"))
 
 
 @query("funnel_user_state", oracle("st", f"""

@@ -20,6 +20,10 @@ CURRENT = Period.of("2024-01-16 00:00:00", "2024-01-30 23:59:59.999")
 WHOLE = Period.of("2024-01-01 00:00:00", "2024-01-30 23:59:59.999")
 
 
+# The fixture's definitions of each application, so that their rules are read once.
+_DEFINITIONS: dict = {}
+
+
 class Inputs:
     """Lazily built inputs of one query run."""
 
@@ -42,7 +46,10 @@ class Inputs:
 
     @cached_property
     def defs(self):
-        return fixture_definitions(self.spark)
+        key = self.spark.sparkContext.applicationId
+        if key not in _DEFINITIONS:
+            _DEFINITIONS[key] = fixture_definitions(self.spark)
+        return _DEFINITIONS[key]
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -50,7 +57,7 @@ class Inputs:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return match_funnel_events(self.anonymous_events, self.defs.load())
+        return match_funnel_events(self.anonymous_events, self.defs)
 
     @cached_property
     def state(self) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,9 @@ MATCH_SCHEMA = "id bigint, funnel_step_id bigint, kind string, rules string"
 ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(),
                "double": pa.float64(), "timestamp": pa.timestamp("us", tz="UTC")}
 
+# Rule rows the driver will read; a larger set of definitions stays a table.
+DRIVER_ROW_LIMIT = 20_000
+
 # One row per (step, rule). A step with several rules matches when any of them does.
 DEFINITION_COLUMNS = [
     *SCOPE, "funnel_id", "funnel_name", "funnel_version_id", "version", "window_days", "total_steps",
@@ -84,6 +88,12 @@ class Definitions:
         )
         return latest.join(total, "funnel_version_id").join(steps, "funnel_version_id")
 
+    @cached_property
+    def rules(self) -> list[Row] | None:
+        """Published rule rows for the driver, read once; None when there are too many to read."""
+        rows = self.load().limit(DRIVER_ROW_LIMIT + 1).collect()
+        return rows if len(rows) <= DRIVER_ROW_LIMIT else None
+
     def load(self, published_only: bool = True) -> DataFrame:
         """One row per rule of the latest version (DEFINITION_COLUMNS)."""
         rules = self.matches.select(F.col("funnel_step_id").alias("step_id"), "kind", "rules")

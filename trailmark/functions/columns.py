@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000.0
-NULL_SAFE_ZERO = 0.0
-
-
-def as_column(value: Column | str | float | int) -> Column:
-    return value if isinstance(value, Column) else F.col(value) if isinstance(value, str) else F.lit(value)
 
 
 # ---------------------------------------------------------------- arithmetic
@@ -81,10 +76,6 @@ def mean_seconds(later: Column, earlier: Column) -> Column:
     return F.avg(micros_between(later, earlier).cast("double")) / F.lit(MICROS)
 
 
-def ts(value: str) -> Column:
-    return F.lit(value).cast("timestamp")
-
-
 def ts_text(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -134,15 +125,6 @@ def two_sided_p(z: Column) -> Column:
     return F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(z)))
 
 
-def pooled_z(conv_a: Column, n_a: Column, conv_b: Column, n_b: Column) -> tuple[Column, Column]:
-    """(pooled standard error, z of rate b over rate a); null where a side is empty."""
-    pooled = (conv_a + conv_b) / (n_a + n_b)
-    error = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n_a + F.lit(1.0) / n_b))
-    usable = (n_a > 0) & (n_b > 0)
-    error = F.when(usable, error)
-    return error, F.when(error > 0, (conv_b / n_b - conv_a / n_a) / error)
-
-
 # ------------------------------------------------------------------ matching
 def wildcard_match(value: Column, pattern: str) -> Column:
     """`*` and `?` make an anchored pattern, anything else is a substring; case does not count."""

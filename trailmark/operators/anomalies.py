@@ -89,7 +89,7 @@ def spc_anomalies(series: DataFrame) -> DataFrame:
         F.sum("entries").alias("affected_users"), F.first("mean").alias("baseline_value"), F.first("sd").alias("sd"),
     ).where((F.col("points") >= 2) & (F.col("last") < F.col("n")))
     hours = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / F.lit(3600e6)
-    magnitude = F.abs(F.col("anomalous_value") - F.col("baseline_value")) / F.col("sd")
+    magnitude = F.try_divide(F.abs(F.col("anomalous_value") - F.col("baseline_value")), F.col("sd"))
     return runs.select(
         *FUNNEL, "started_at", "ended_at", hours.alias("duration_hours"), magnitude.alias("magnitude"),
         F.when(F.col("anomalous_value") < F.col("baseline_value"), "sudden_drop").otherwise("spike").alias("type"),

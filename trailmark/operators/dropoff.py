@@ -75,11 +75,11 @@ def bottleneck_severity(state: DataFrame, steps: DataFrame, period: Period) -> D
     rows = _exits(state, steps, period).withColumns({
         "total_entries": F.sum("stopped_here").over(whole),
         "total_conversions": F.coalesce(F.sum("completions").over(whole), zero()),
-        "avg_seconds": F.sum("spent").over(whole) / F.sum("stopped_here").over(whole) / F.lit(1e6),
+        "avg_seconds": F.try_divide(F.sum("spent").over(whole), F.sum("stopped_here").over(whole)) / F.lit(1e6),
     }).where("exits > 0")
     drop = rate(F.col("exits"), F.col("users"))
     score = F.least(F.lit(100.0), share(F.col("exits"), F.col("users"))
-                    * (F.col("users") / F.col("total_entries")) * 2)
+                    * F.try_divide(F.col("users"), F.col("total_entries")) * 2)
     rows = rows.select(
         *FUNNEL, _step_order(), "step_label", "step_type", F.col("users").alias("entries"), "exits",
         "total_entries", "total_conversions", "avg_seconds", drop.alias("drop_off_rate"),

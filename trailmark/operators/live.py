@@ -143,7 +143,7 @@ def progression_timing(state: DataFrame) -> DataFrame:
     users = state.select(
         *FUNNEL, "anonymous_id", F.floor(seconds_between(F.col("last_activity_at"), F.col("entered_at"))).alias("spent"),
         F.explode(F.sequence(F.lit(0), F.col("current_step_index"))).alias("step_order"))
-    ratio = F.col("spent") / F.col("avg_seconds")
+    ratio = F.try_divide(F.col("spent"), F.col("avg_seconds"))
     rank = None
     for bound, percentile in PERCENTILE_BANDS:
         rank = F.when(ratio <= bound, percentile) if rank is None else rank.when(ratio <= bound, percentile)

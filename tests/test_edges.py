@@ -49,7 +49,25 @@ def test_labels(spark):
     assert [one(spark, duration_text(F.lit(float(s)))) for s in (59, 60, 3600, 172800)] == ["59s", "1m", "1h", "2d"]
 
 
+def test_sql_functions(spark):
+    from trailmark.functions.sql import register_sql_functions
+
+    assert len(register_sql_functions(spark)) == 4
+    row = spark.sql("""SELECT normal_cdf(1.96D) AS p, normal_cdf(-1D) AS q, week_label(TIMESTAMP'2024-01-08') AS w,
+      touchpoint_type(NULL, 'https://social.io') AS t, wildcard_match('https://h.io/Cart', '*h.io/c*') AS hit,
+      wildcard_match('https://hxio/cart', '*h.io/c*') AS miss, wildcard_match('a+B', 'A+b') AS inside""").first()
+    assert (row.p, row.q) == (pytest.approx(0.975, abs=1e-5), pytest.approx(0.158655, abs=1e-5))
+    assert tuple(row)[2:] == ("2024-W02", "social", True, False, True)
+
+
 # -------------------------------------------------------------------- traffic
+def test_gaps_before_between_and_after(spark):
+    ev = events(spark, [{"t": 2 * 86400}, {"t": 4 * 86400}, {"t": 4 * 86400 + 1}])
+    week = Period(BASE, BASE + timedelta(days=5))
+    found = traffic.timeseries(ev, week, "day", ("events",))
+    assert [r.events for r in found.orderBy("period").collect()] == [0, 0, 1, 0, 2, 0]
+
+
 def test_activity_bounds_and_bounce(spark):
     made = []
     for n in (1, 2, 3, 9, 10):

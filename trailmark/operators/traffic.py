@@ -143,8 +143,12 @@ def top_events_trend(events: DataFrame, period: Period, limit: int = 10) -> Data
     }).withColumn("previous_events", F.coalesce("previous_events", F.lit(0).cast("bigint")))
 
 
-def activity_levels(sessions: DataFrame, events: DataFrame, period: Period) -> DataFrame:
-    """Visitors by the activity of their sessions. Every level is present; a visitor may be in several."""
+def activity_levels(sessions: DataFrame, events: DataFrame, period: Period,
+                    scopes: DataFrame | None = None) -> DataFrame:
+    """Visitors by the activity of their sessions. Every level is present; a visitor may be in several.
+
+    `scopes` adds workspaces without any session in the period.
+    """
     level = None
     for name, least in ACTIVITY_LEVELS:
         hit = F.col("events") >= least
@@ -152,20 +156,23 @@ def activity_levels(sessions: DataFrame, events: DataFrame, period: Period) -> D
     rows = _session_events(sessions, events, period).withColumn("activity_level", level)
     per_visitor = rows.groupBy(*SCOPE, "anonymous_id", "activity_level").agg(
         F.count("*").alias("sessions"), F.sum("events").alias("events"))
-    per_level = per_visitor.groupBy(*SCOPE, "activity_level").agg(
-        F.count("*").alias("visitors"), (F.sum("events") / F.sum("sessions")).alias("avg_events"))
-    totals = per_visitor.groupBy(*SCOPE).agg(F.count_distinct("anonymous_id").alias("total"))
-    names = F.array(*[F.lit(name) for name, _ in ACTIVITY_LEVELS])
-    spine = sessions.select(*SCOPE).distinct().withColumn("activity_level", F.explode(names))
+    at = lambda name: F.col("activity_level") == name
+    measures = [F.count_distinct("anonymous_id").alias("total")]
+    for name, _ in ACTIVITY_LEVELS:
+        measures += [F.count_if(at(name)).alias(f"{name}_visitors"),
+                     F.try_divide(F.sum(F.when(at(name), F.col("events"))), F.sum(F.when(at(name), F.col("sessions"))))
+                     .alias(f"{name}_mean")]
+    facts = per_visitor.groupBy(*SCOPE).agg(*measures)
+    if scopes is not None:
+        facts = scopes.select(*SCOPE).distinct().join(facts, SCOPE, "left")
     zero = F.lit(0).cast("bigint")
-    return (
-        spine.join(per_level, [*SCOPE, "activity_level"], "left").join(totals, SCOPE, "left")
-        .select(
-            *SCOPE, "activity_level", F.coalesce("visitors", zero).alias("visitors"),
-            rate(F.coalesce("visitors", zero), F.coalesce("total", zero)).alias("percentage"),
-            F.coalesce(round_half_up(F.col("avg_events")), F.lit(0.0)).alias("avg_events_per_session"),
-        )
-    )
+    total = F.coalesce("total", zero)
+    levels = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("activity_level"), F.coalesce(f"{name}_visitors", zero).alias("visitors"),
+        rate(F.coalesce(f"{name}_visitors", zero), total).alias("percentage"),
+        F.coalesce(round_half_up(F.col(f"{name}_mean")), F.lit(0.0)).alias("avg_events_per_session"),
+    ) for name, _ in ACTIVITY_LEVELS]))
+    return facts.select(*SCOPE, levels.alias("_l")).select(*SCOPE, "_l.*")
 
 
 def _visitor_facts(events: DataFrame, period: Period) -> DataFrame:
@@ -218,12 +225,26 @@ def timeseries(events: DataFrame, period: Period, granularity: str = "day", metr
     if "conversions" not in metrics:
         inside = inside.withColumn("lead_id", F.lit(None).cast("bigint"))
     counts = _traffic(_visits(inside, [*SCOPE, "period"]), [*SCOPE, "period"], metrics)
-    points = F.sequence(
-        F.date_trunc(granularity, local(timestamp(period.start))), F.date_trunc(granularity, local(timestamp(period.end))),
-        F.expr(f"interval 1 {granularity}"))
-    spine = events.select(*SCOPE).distinct().withColumn("period", F.explode(points))
-    return spine.join(counts, [*SCOPE, "period"], "left").select(
-        *SCOPE, "period", *[F.coalesce(m, F.lit(0).cast("bigint")).alias(m) for m in metrics])
+    ends = [F.date_trunc(granularity, local(timestamp(t))) for t in (period.start, period.end)]
+    return fill_gaps(counts, SCOPE, "period", metrics, *ends, granularity)
+
+
+def fill_gaps(rows: DataFrame, keys: list[str], at: str, values: tuple[str, ...], start: Column, end: Column,
+              unit: str) -> DataFrame:
+    """Zero rows for the missing points of each key, from `start` to `end`.
+
+    Every existing point brings the empty ones up to the next, and the first also those before it, so there is
+    no calendar to join and no second look at the keys.
+    """
+    by_time = Window.partitionBy(*keys).orderBy(at)
+    step = F.expr(f"interval 1 {unit}")
+    until = F.coalesce(F.lead(at).over(by_time) - step, end)
+    since = F.when(F.row_number().over(by_time) == 1, start).otherwise(F.col(at))
+    points = rows.withColumn("_since", since).withColumn("_until", until).withColumn(
+        "_point", F.explode(F.sequence("_since", "_until", step)))
+    zero = F.lit(0).cast("bigint")
+    return points.select(*keys, F.col("_point").alias(at), *[
+        F.when(F.col("_point") == F.col(at), F.col(v)).otherwise(zero).alias(v) for v in values])
 
 
 def event_details(events: DataFrame, period: Period, *, event_name: str | None = None,

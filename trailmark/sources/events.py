@@ -131,12 +131,12 @@ def scan_funnel_state(state: DataFrame, period: Period, funnel_id: int | None =
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Event store layout: tenant and day folders, sorted inside files by visitor and time.
 
-    Rows are spread over (tenant, day, visitor) before writing, so no day and no large tenant is one task.
+    The rebalance hint lets adaptive execution split a large tenant's day over many tasks and files and join
+    small ones, at the session's advisory partition size.
     """
-    day = F.to_date("timestamp")
     (
-        events.withColumn("event_date", day)
-        .repartition("tenant_id", "event_date", F.pmod(F.xxhash64("anonymous_id"), F.lit(64)))
+        events.withColumn("event_date", F.to_date("timestamp"))
+        .hint("rebalance", "tenant_id", "event_date")
         .sortWithinPartitions("tenant_id", "event_date", "workspace_id", "anonymous_id", "timestamp")
         .write.mode(mode).partitionBy("tenant_id", "event_date").parquet(path)
     )

@@ -320,6 +320,13 @@ def test_credit_sums(spark):
         attribution.credits(found, custom=(0.9, 0.9, 0.1))
 
 
+def test_real_conversions_replace_the_touch_rule(spark):
+    found = touches(spark, [1, 5])
+    done = spark.createDataFrame([(1, 1, "a_0")], "tenant_id bigint, workspace_id bigint, anonymous_id string")
+    credited = attribution.credits(attribution.journey_touches(found, MONTH, done))
+    assert rows(credited, "anonymous_id", "linear") == [("a_0", 1.0)]
+
+
 def test_channels(spark):
     made = [{"source": "x", "referrer": "https://www.google.com/"}, {"referrer": "https://www.google.com/q"}, {"url": "u"},
             {"referrer": "https://social.io/p"}, {"referrer": "http://blog.io/z?y"}]

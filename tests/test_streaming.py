@@ -72,6 +72,27 @@ def test_replayed_batch_changes_nothing(spark, folder):
     assert sinks.read_folded(spark, f"{folder}/compacted", sinks.fold_links).count() == 1
 
 
+def test_visitors_fold_from_parts(spark, inputs, folder):
+    from trailmark.operators.identity import visitors
+
+    write = sinks.change_writer(f"{folder}/visitors", visitors)
+    for part in range(3):
+        write(inputs.anonymous_events.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part), part)
+    columns = ["anonymous_id", "first_seen_at", "last_seen_at", "first_utm", "last_device"]
+    assert rows(sinks.read_folded(spark, f"{folder}/visitors", sinks.fold_visitors), *columns) == rows(
+        visitors(inputs.anonymous_events), *columns)
+
+
+def test_latest_lead_joins_a_stream(spark, folder):
+    ev = _late_events(spark, 1)
+    links = spark.createDataFrame([(1, 1, "a_1", "e:x", at(0), at(1)), (1, 1, "a_1", "e:y", at(0), at(2))],
+                                  "tenant_id bigint, workspace_id bigint, anonymous_id string, lead_key string, "
+                                  "first_at timestamp, last_at timestamp")
+    found = drain(spark, stream_ingest.with_latest_lead(replay(spark, ev, f"{folder}/in", 2), links), folder)
+    assert {(r.anonymous_id, r.lead_key) for r in found.collect()} == {
+        ("a_0", None), ("a_1", "e:y"), ("a_2", None), ("a_end", None)}
+
+
 def _late_events(spark, seed):
     rng = random.Random(seed)
     made = [{"id": n, "t": rng.randrange(4 * 3600), "who": f"a_{rng.randrange(3)}"} for n in range(120)]

@@ -42,14 +42,23 @@ def touchpoints(events: DataFrame, period: Period, lookback_days: int = LOOKBACK
     return first_events(rows, max_touches, "touchpoint_order").drop("lead_id")
 
 
-def journey_touches(touches: DataFrame, period: Period) -> DataFrame:
-    """Touches with their position in the journey, for journeys whose first touch is in the period."""
+def journey_touches(touches: DataFrame, period: Period, conversions: DataFrame | None = None) -> DataFrame:
+    """Touches with their position in the journey, for journeys whose first touch is in the period.
+
+    A journey with at least three touches counts as converted; `conversions` (visitors, such as those who
+    completed a funnel) replaces that rule.
+    """
     journey = Window.partitionBy(*JOURNEY)
     by_time = journey.orderBy("timestamp", "id")
     rows = touches.withColumns({
         "position": F.row_number().over(by_time), "touches": F.count("*").over(journey),
         "first_at": F.min("timestamp").over(journey), "last_at": F.max("timestamp").over(journey)})
-    return rows.where(period.contains("first_at")).withColumn("converted", F.col("touches") >= CONVERTED_STEPS)
+    rows = rows.where(period.contains("first_at"))
+    if conversions is None:
+        return rows.withColumn("converted", F.col("touches") >= CONVERTED_STEPS)
+    keys = [*SCOPE, "anonymous_id"]
+    done = conversions.select(*keys).distinct().withColumn("converted", F.lit(True))
+    return rows.join(done, keys, "left").withColumn("converted", F.coalesce("converted", F.lit(False)))
 
 
 def touchpoint_journeys(touches: DataFrame, period: Period) -> DataFrame:

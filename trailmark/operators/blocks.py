@@ -1,43 +1,58 @@
 """Running order over a key's rows without bringing a whole key to one task.
 
-A key's rows are cut into days. Each (key, day) is numbered by itself; one small row per day carries the count
-and last time over to the days after it.
+A key's rows are cut into hours. Each (key, hour) is ordered by itself; one small row per hour carries the count,
+last time or last value over to the hours after it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DAY = 86_400_000_000
+BLOCK = 3_600_000_000
+
+
+def block_of(micros: Column) -> Column:
+    """Number of the hour a time in microseconds falls in."""
+    return F.floor(micros / BLOCK)
+
+
+def _block(df: DataFrame, at: str) -> Column:
+    is_time = isinstance(df.schema[at].dataType, T.TimestampType)
+    return block_of(F.unix_micros(at) if is_time else F.col(at))
 
 
 def number_rows(df: DataFrame, keys: list[str], at: str = "timestamp", tie: str = "id") -> DataFrame:
     """Adds `position` (from 1, by time) and `previous_at` (time of the row before) per key."""
-    rows = df.withColumn("_day", F.floor(F.unix_micros(at) / DAY))
-    days = rows.groupBy(*keys, "_day").agg(F.count("*").alias("_n"), F.max(at).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                       F.max("_last").over(before).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_day").orderBy(at, tie)
+    rows = df.withColumn("_block", _block(df, at))
+    blocks = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), F.max(at).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                           F.max("_last").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(at, tie)
     numbered = rows.withColumns({"_rn": F.row_number().over(inside), "_lag": F.lag(at).over(inside)})
-    return numbered.join(days, [*keys, "_day"]).withColumns({
+    return numbered.join(blocks, [*keys, "_block"]).withColumns({
         "position": F.col("_offset") + F.col("_rn"), "previous_at": F.coalesce("_lag", "_carried"),
-    }).drop("_day", "_offset", "_carried", "_rn", "_lag")
+    }).drop("_block", "_offset", "_carried", "_rn", "_lag")
 
 
 def carry_forward(df: DataFrame, keys: list[str], column: str, into: str, at: str = "timestamp",
                   tie: str = "id") -> DataFrame:
-    """Adds `into`: the last non-null `column` of the key up to and including the row, by time."""
-    rows = df.withColumn("_day", F.floor(F.unix_micros(at) / DAY))
-    days = rows.groupBy(*keys, "_day").agg(
+    """Adds `into`: the last non-null `column` of the key up to and including the row.
+
+    `at` is a time or whole microseconds; negated microseconds run backwards.
+    """
+    rows = df.withColumn("_block", _block(df, at))
+    blocks = rows.groupBy(*keys, "_block").agg(
         F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(at, tie))).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*keys, "_day", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_day").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(at, tie).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     found = rows.withColumn("_found", F.last(column, ignorenulls=True).over(inside))
-    return found.join(days, [*keys, "_day"]).withColumn(into, F.coalesce("_found", "_carried")).drop(
-        "_day", "_found", "_carried")
+    return found.join(blocks, [*keys, "_block"]).withColumn(into, F.coalesce("_found", "_carried")).drop(
+        "_block", "_found", "_carried")
 
 
 def as_of(df: DataFrame, updates: DataFrame, keys: list[str], value: str, at: str = "timestamp",

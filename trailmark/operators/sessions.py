@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.blocks import DAY, carry_forward, number_rows
+from trailmark.operators.blocks import block_of, carry_forward, number_rows
 from trailmark.params import SCOPE
 from trailmark.session import checkpoint_dir
 
@@ -42,7 +42,7 @@ def sessions_of(sessionized: DataFrame) -> DataFrame:
 
 
 def gap_starts(events: DataFrame) -> DataFrame:
-    """Session starts by idle gap, day by day of each visitor."""
+    """Session starts by idle gap, hour by hour of each visitor."""
     numbered = number_rows(events, VISITOR)
     opens = F.col("previous_at").isNull() | (F.unix_micros("timestamp") - F.unix_micros("previous_at") >= TIMEOUT)
     marked = numbered.withColumn("_opened", F.when(opens, F.col("timestamp"))).drop("position", "previous_at")
@@ -119,14 +119,19 @@ def stretches_of(events: DataFrame) -> DataFrame:
 
 
 def _first_after_timeout(points: DataFrame) -> DataFrame:
-    """(visitor, us, target): the first time more than the timeout after us, within the next day."""
-    day = F.floor(F.col("us") / DAY)
-    first = points.groupBy(*VISITOR, day.alias("day")).agg(F.min("us").alias("us")).withColumn("day", F.col("day") - 1)
+    """(visitor, us, target): the first time more than the timeout after us.
+
+    A target further than the hour after the probe's lies in another stretch, so the first time of each hour is
+    copied to the hour before and every (visitor, hour) is searched by itself.
+    """
+    first = points.groupBy(*VISITOR, block_of(F.col("us")).alias("block")).agg(F.min("us").alias("us"))
+    hit = lambda df: df.select(*VISITOR, "block", F.col("us").alias("probe"), "us", F.col("us").alias("hit"))
+    probe = F.col("us") + TIMEOUT
     rows = (
-        points.select(*VISITOR, (F.col("us") + TIMEOUT).alias("probe"), "us", F.lit(None).cast("bigint").alias("hit"))
-        .unionByName(points.select(*VISITOR, F.col("us").alias("probe"), "us", F.col("us").alias("hit")))
-        .withColumn("day", F.floor(F.col("probe") / DAY))
-        .unionByName(first.select(*VISITOR, F.col("us").alias("probe"), "us", F.col("us").alias("hit"), "day"))
+        points.select(*VISITOR, block_of(probe).alias("block"), probe.alias("probe"), "us",
+                      F.lit(None).cast("bigint").alias("hit"))
+        .unionByName(hit(points.withColumn("block", block_of(F.col("us")))))
+        .unionByName(hit(first.withColumn("block", F.col("block") - 1)))
     )
-    later = Window.partitionBy(*VISITOR, "day").orderBy(-F.col("probe")).rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*VISITOR, "block").orderBy(-F.col("probe")).rangeBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("target", F.min("hit").over(later)).where("hit is null").select(*VISITOR, "us", "target")

@@ -1,7 +1,7 @@
 """Time to convert and time between steps, from matched events.
 
 No pair of events of a user is ever materialised. What needs pairs is written as probes into running counts,
-kept per (user, day) so that a very busy user is many small groups.
+kept per (user, hour) so that a very busy user is many small groups.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import banded, ceilinged, change_percent, duration_text, rate, round_half_up
+from trailmark.operators.blocks import block_of, carry_forward
 from trailmark.operators.percentiles import distribution
 from trailmark.params import FUNNEL, Period, timestamp
 
@@ -86,28 +87,22 @@ def _link_rows(matched: DataFrame, period: Period) -> DataFrame:
 def nearest_next(matched: DataFrame, period: Period) -> DataFrame:
     """For every matched event, microseconds to the user's nearest event on the next step within 7 days.
 
-    Each (user, link, day) is its own group. The first target of a day is copied to the 7 days before it, so
-    a group sees every target that can be nearest for its sources.
+    Backwards in time, the last target seen is the nearest later one; sources come before targets of the same
+    instant, so only strictly later ones count.
     """
-    rows = _link_rows(matched, period).select(
-        *USER, "link", F.floor(F.col("us") / DAY).alias("day"), "us", F.when(F.col("is_target"), F.col("us")).alias("target"))
-    first_of_day = rows.where("target is not null").groupBy(*USER, "link", "day").agg(F.min("us").alias("us"))
-    ahead = first_of_day.select(
-        *USER, "link", F.explode(F.sequence(F.col("day") - LOOK_AHEAD_DAYS, F.col("day") - 1)).alias("day"), "us",
-        F.col("us").alias("target"))
-    # Backwards in time, the running minimum of later targets is the nearest one.
-    later = Window.partitionBy(*USER, "link", "day").orderBy(-F.col("us")).rangeBetween(Window.unboundedPreceding, -1)
-    found = rows.unionByName(ahead).withColumn("next_us", F.min("target").over(later)).where("target is null")
+    rows = _link_rows(matched, period).withColumns({
+        "back": -F.col("us"), "target": F.when(F.col("is_target"), F.col("us"))})
+    found = carry_forward(rows, [*USER, "link"], "target", "next_us", at="back", tie="is_target")
     wait = F.col("next_us") - F.col("us")
-    return found.select(*USER, F.col("link").alias("step_order"),
-                        F.when(wait <= LOOK_AHEAD_DAYS * DAY, wait).alias("wait_micros"))
+    return found.where(~F.col("is_target")).select(
+        *USER, F.col("link").alias("step_order"), F.when(wait <= LOOK_AHEAD_DAYS * DAY, wait).alias("wait_micros"))
 
 
 def step_transition_pairs(matched: DataFrame, period: Period) -> DataFrame:
     """Per step: events, those without a next-step event within 7 days, and all (event, later event) pairs.
 
     Pairs of a source at t are targets(<= t + 7 days) - targets(<= t). Both terms are probes into the running
-    count of the day they fall in, plus the count of the days before, which is one row per user and day.
+    count of the hour they fall in, plus the count of the hours before, which is one row per user and hour.
     """
     origin = F.unix_micros(timestamp(period.start)) / F.lit(1e6)
     at = F.col("us") / F.lit(1e6) - origin
@@ -119,16 +114,16 @@ def step_transition_pairs(matched: DataFrame, period: Period) -> DataFrame:
     probes = F.array(row(F.col("us") + LOOK_AHEAD_DAYS * DAY, 0, 1, at, none), row(F.col("us"), 0, -1, at, none))
     rows = _link_rows(matched, period).select(
         *USER, "link", F.explode(F.when(F.col("is_target"), target).otherwise(probes)).alias("_p")).select(
-        *USER, "link", "_p.*").withColumn("day", F.floor(F.col("us") / DAY))
-    upto = Window.partitionBy(*USER, "link", "day").orderBy("us").rangeBetween(
+        *USER, "link", "_p.*").withColumn("block", block_of(F.col("us")))
+    upto = Window.partitionBy(*USER, "link", "block").orderBy("us").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"n": F.sum("is_target").over(upto), "s": F.sum("target_at").over(upto)})
-    blocks = rows.groupBy(*USER, "link", "day").agg(
+    blocks = rows.groupBy(*USER, "link", "block").agg(
         F.sum("is_target").alias("targets"), F.sum("target_at").alias("target_sum"),
         F.sum("sign").alias("net"), F.sum(F.col("sign") * F.col("at")).alias("net_at"),
         F.sum(F.col("sign") * F.col("n")).alias("pairs"),
         F.sum(F.col("sign") * (F.col("s") - F.col("at") * F.col("n"))).alias("wait"))
-    before = Window.partitionBy(*USER, "link").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*USER, "link").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumns({
         "n0": F.coalesce(F.sum("targets").over(before), F.lit(0)),
         "s0": F.coalesce(F.sum("target_sum").over(before), F.lit(0.0))})

@@ -47,7 +47,7 @@ def overview_top_event(events: DataFrame, period: Period) -> DataFrame:
     ).select(*SCOPE, F.col("_top.event_name").alias("event_name"), (-F.col("_top.minus_n")).alias("events"))
 
 
-def _session_events(sessions: DataFrame, events: DataFrame, period: Period) -> DataFrame:
+def session_events(sessions: DataFrame, events: DataFrame, period: Period) -> DataFrame:
     """Sessions started in the period with their events in the period; 0 where there are none.
 
     Events are reduced to one row per session before the join.
@@ -63,7 +63,7 @@ def _session_events(sessions: DataFrame, events: DataFrame, period: Period) -> D
 
 def session_metrics(sessions: DataFrame, events: DataFrame, period: Period) -> DataFrame:
     """Mean duration of sessions with more than one event, and the share of sessions with exactly one."""
-    rows = _session_events(sessions, events, period)
+    rows = session_events(sessions, events, period)
     several = F.col("events") > 1
     spent = F.when(several, micros_between(F.col("last_at"), F.col("first_at")))
     return rows.groupBy(*SCOPE).agg(
@@ -153,7 +153,7 @@ def activity_levels(sessions: DataFrame, events: DataFrame, period: Period,
     for name, least in ACTIVITY_LEVELS:
         hit = F.col("events") >= least
         level = F.when(hit, name) if level is None else level.when(hit, name)
-    rows = _session_events(sessions, events, period).withColumn("activity_level", level)
+    rows = session_events(sessions, events, period).withColumn("activity_level", level)
     per_visitor = rows.groupBy(*SCOPE, "anonymous_id", "activity_level").agg(
         F.count("*").alias("sessions"), F.sum("events").alias("events"))
     at = lambda name: F.col("activity_level") == name

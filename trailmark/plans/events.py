@@ -73,7 +73,7 @@ SELECT s.tenant_id, s.workspace_id, s.session_id, COUNT(e.id) AS events, {tstext
 FROM s LEFT JOIN e ON e.session_id = s.session_id AND e.tenant_id = s.tenant_id AND e.workspace_id = s.workspace_id
   AND e."timestamp" {sql.WHOLE} WHERE s.started_at {sql.WHOLE} GROUP BY 1, 2, 3"""))
 def session_event(i: Inputs):
-    rows = traffic._session_events(i.sessions, i.anonymous_events, WHOLE)
+    rows = traffic.session_events(i.sessions, i.anonymous_events, WHOLE)
     return rows.select(*SCOPE, "session_id", "events", ts_text(F.col("last_at")).alias("last_at"))
 
 

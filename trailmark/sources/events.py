@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.params import Period, SCOPE
 
+RAW_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 EVENT_SCHEMA = """
   id bigint, event_id string, schema_version string, event_name string, timestamp timestamp,
   tenant_id bigint, workspace_id bigint, anonymous_id string, lead_id bigint, session_id string,
@@ -29,7 +30,7 @@ def canonical_events(spark: SparkSession, sf_dir: str, leads: bool = True) -> Da
     `leads=False` leaves out the lead (a join on first sign-up) where a query has no use for it.
     """
     at = F.col("ts").cast("timestamp")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "user_id", "event_type", "value", "props", at.alias("_at"),
         F.get_json_object("props", "$.k").cast("int").alias("_k"), F.date_format(at, "yyyyMMdd").alias("_day"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators import ingest
+from trailmark.operators.identity import VISITOR, latest_link
 
 LATENESS = "5 minutes"
 
@@ -39,6 +40,11 @@ def events_of(valid: DataFrame) -> DataFrame:
         F.col("properties").alias("props"), "ingested_at")
 
 
+def with_latest_lead(events: DataFrame, links: DataFrame) -> DataFrame:
+    """Events with the lead their visitor is linked to: a stream-static join, read anew in every micro-batch."""
+    return events.join(latest_link(links), VISITOR, "left")
+
+
 def deduplicated(events: DataFrame, at: str = "timestamp") -> DataFrame:
     """First arrival of each (tenant, event_id); keys are forgotten once the watermark has passed them.
 

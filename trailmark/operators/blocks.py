@@ -38,14 +38,16 @@ def number_rows(df: DataFrame, keys: list[str], at: str = "timestamp", tie: str
 
 
 def carry_forward(df: DataFrame, keys: list[str], column: str, into: str, at: str = "timestamp",
-                  tie: str = "id") -> DataFrame:
+                  tie: str = "id", last: Column | None = None) -> DataFrame:
     """Adds `into`: the last non-null `column` of the key up to and including the row.
 
-    `at` is a time or whole microseconds; negated microseconds run backwards.
+    `at` is a time or whole microseconds; negated microseconds run backwards. Where values grow or fall with
+    time, `last` may say so (their max or min), which is cheaper than the general rule.
     """
+    if last is None:
+        last = F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(at, tie)))
     rows = df.withColumn("_block", _block(df, at))
-    blocks = rows.groupBy(*keys, "_block").agg(
-        F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(at, tie))).alias("_last"))
+    blocks = rows.groupBy(*keys, "_block").agg(last.alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     inside = Window.partitionBy(*keys, "_block").orderBy(at, tie).rowsBetween(

@@ -46,7 +46,7 @@ def gap_starts(events: DataFrame) -> DataFrame:
     numbered = number_rows(events, VISITOR)
     opens = F.col("previous_at").isNull() | (F.unix_micros("timestamp") - F.unix_micros("previous_at") >= TIMEOUT)
     marked = numbered.withColumn("_opened", F.when(opens, F.col("timestamp"))).drop("position", "previous_at")
-    return carry_forward(marked, VISITOR, "_opened", "session_start").drop("_opened")
+    return carry_forward(marked, VISITOR, "_opened", "session_start", last=F.max("_opened")).drop("_opened")
 
 
 def anchored_starts(events: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -106,7 +106,7 @@ def _chained(events: DataFrame) -> DataFrame:
     starts = reached.select(*VISITOR, F.timestamp_micros("us").alias("timestamp"), F.lit(True).alias("_opens"))
     marked = events.join(starts, [*VISITOR, "timestamp"], "left").withColumn(
         "_opened", F.when(F.col("_opens"), F.col("timestamp"))).drop("_opens")
-    return carry_forward(marked, VISITOR, "_opened", "session_start").drop("_opened").select(
+    return carry_forward(marked, VISITOR, "_opened", "session_start", last=F.max("_opened")).drop("_opened").select(
         *events.columns, "session_start")
 
 
@@ -115,7 +115,7 @@ def stretches_of(events: DataFrame) -> DataFrame:
     numbered = number_rows(events, VISITOR)
     opens = F.col("previous_at").isNull() | (F.unix_micros("timestamp") - F.unix_micros("previous_at") > TIMEOUT)
     marked = numbered.withColumn("_opened", F.when(opens, F.col("timestamp")))
-    return carry_forward(marked, VISITOR, "_opened", "_stretch").drop("_opened", "position", "previous_at")
+    return carry_forward(marked, VISITOR, "_opened", "_stretch", last=F.max("_opened")).drop("_opened", "position", "previous_at")
 
 
 def _first_after_timeout(points: DataFrame) -> DataFrame:

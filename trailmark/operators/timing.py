@@ -92,7 +92,7 @@ def nearest_next(matched: DataFrame, period: Period) -> DataFrame:
     """
     rows = _link_rows(matched, period).withColumns({
         "back": -F.col("us"), "target": F.when(F.col("is_target"), F.col("us"))})
-    found = carry_forward(rows, [*USER, "link"], "target", "next_us", at="back", tie="is_target")
+    found = carry_forward(rows, [*USER, "link"], "target", "next_us", at="back", tie="is_target", last=F.min("target"))
     wait = F.col("next_us") - F.col("us")
     return found.where(~F.col("is_target")).select(
         *USER, F.col("link").alias("step_order"), F.when(wait <= LOOK_AHEAD_DAYS * DAY, wait).alias("wait_micros"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import period_label, rate, share, ts_text
+from trailmark.functions.columns import period_label, rate, ts_text
 from trailmark.operators import conversion, ingest, traffic, workspaces
 from trailmark.operators.identity import anonymize_columns
 from trailmark.operators.matching import property_predicate
@@ -13,7 +13,7 @@ from trailmark.params import FUNNEL, SCOPE
 from trailmark.plans import payloads, sql
 from trailmark.plans.conversion import DONE, G
 from trailmark.plans.registry import CURRENT, WHOLE, Inputs, query
-from trailmark.plans.sql import oracle, pct, rnd, tstext
+from trailmark.plans.sql import oracle, pct, tstext
 from trailmark.sources.events import scan_events, scan_sessions, tenant_scope
 
 S = "tenant_id, workspace_id"

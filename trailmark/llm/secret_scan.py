@@ -162,21 +162,28 @@ def compile_rules(patterns: list[str], restart: bool) -> Automaton:
     class_of = bytes(shapes.setdefault(tuple(m >> b & 1 for m in masks), len(shapes)) for b in range(256))
     examples = [class_of.index(c) for c in range(len(shapes))]
 
-    begin = nfa.closure(starts)
+    def bits(states) -> int:
+        return sum(1 << s for s in states)
+
+    # of each state: the classes it leaves by, and where they lead, closure included
+    moves = [([c for c, b in enumerate(examples) if step[0] >> b & 1], bits(nfa.closure({step[1]}))) if step else ([], 0)
+             for step in nfa.steps]
+    ends, begin = bits(nfa.accepts), bits(nfa.closure(starts))
     number, todo, table, accept = {begin: 0}, [begin], [], []
-    while todo:
-        now = todo.pop(0)
-        accept.append(any(s in nfa.accepts for s in now))
-        row = []
-        live = [nfa.steps[s] for s in now if nfa.steps[s]]
-        for b in examples:
-            to = nfa.closure({t for mask, t in live if mask >> b & 1})
-            to = to | begin if restart else to
+    for now in todo:  # grows as new subsets are found
+        accept.append(bool(now & ends))
+        row, rest = [begin if restart else 0] * len(examples), now
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            leaves, to = moves[low.bit_length() - 1]
+            for c in leaves:
+                row[c] |= to
+        for to in row:
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
-            row.append(number[to])
-        table.append(row)
+        table.append([number[to] for to in row])
     after, label = np.array(table), np.array(accept, dtype=np.int64)
     while True:  # refine the partition until states of a class agree on all classes of successors
         found, finer = np.unique(np.column_stack([label, label[after]]), axis=0, return_inverse=True)

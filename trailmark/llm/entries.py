@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.byte_bpe import decoded, encoded
+from trailmark.llm.chat import PREFERENCES_SQL, contrasted, conversations, preferences
+from trailmark.llm.language import identified
 from trailmark.llm.ngram_join import jaccard_components
 from trailmark.llm.packing import packed, token_pieces
+from trailmark.llm.ppm import ppm_scores
+from trailmark.llm.quality import quality
 from trailmark.llm.secret_scan import secret_spans
+from trailmark.llm.warc import read_archives, write_archives
 from trailmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +73,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}")
                     for k in ("assign", "access", "hex")),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op3_preference_format", PREFERENCES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences(contrasted(conversations(table(spark, sf_dir, "conversations"))))
+    listed = {m: F.array_join(F.transform(m, lambda x: F.concat(x["start"], F.lit(":"), x["end"])), ",") for m in ("chosen_mask", "rejected_mask")}
+    return out.withColumns(listed)
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact")
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_ppm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"))

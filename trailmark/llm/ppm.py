@@ -7,8 +7,8 @@ symbol. Contexts do not cross the start of a word. The context of a byte is, lon
 * the last 4, 3, 2, 1 and 0 bytes, the word's start included as a byte. Contexts of 3 and 4 bytes are hashed to 2^16
   slots, so all of these tables together have at most 5 * 2^16 * 257 counts, whatever the corpus.
 
-A context gives a seen symbol n / (T + D) and the escape D / (T + D) (T: symbols seen, D: different ones); symbols of
-a context that was escaped from are excluded below it; the last resort is uniform over the symbols left. So the
+A context gives a seen symbol (n - 1/2) / T and the escape D / 2T (T: symbols seen, D: different ones); symbols of a
+context that was escaped from are excluded below it; the last resort is uniform over the symbols left. So the
 probabilities of all texts sum to one.
 
 The trie grows with the corpus and stays distributed: the sorted vocabulary is range-partitioned, a partition holds
@@ -34,7 +34,7 @@ from trailmark.llm.words import slices
 END = 256
 SYMBOLS = 257
 ORDERS = (4, 3, 2, 1, 0)
-TRUSTED = 32
+TRUSTED = 2
 CHUNK_BYTES = 32 << 20  # text that is scored together in one task
 PART_WORDS = 40_000  # vocabulary words of a range partition
 FLUSH = 400_000  # distinct words a counting task holds
@@ -177,8 +177,8 @@ class LowOrders:
             total -= sum(follow[x] for x in gone)
             seen = follow.get(symbol)
             if seen:
-                return out + math.log10(seen / (total + different))
-            out += math.log10(different / (total + different))
+                return out + math.log10((seen - 0.5) / total)
+            out += math.log10(different / (2 * total))
             excluded |= follow.keys()
         return out - math.log10(SYMBOLS - len(excluded))
 
@@ -231,13 +231,13 @@ def score_words(words: list[bytes], counts: list[int], shared: dict[bytes, dict[
             groups.append((symbol, first, k))
         if follow is None:
             follow = {s: sums[y] - sums[x] for s, x, y in groups if sums[y] > sums[x]}
-        base = math.log10(total + len(follow))
+        base = math.log10(total)
         for symbol, x, y in groups:
             seen = follow.get(symbol)
             if seen:
-                value = before + math.log10(seen) - base
+                value = before + math.log10(seen - 0.5) - base
             else:
-                value = before + math.log10(len(follow)) - base + low.log10((b" " + prefix)[-4:], symbol, set(follow))
+                value = before + math.log10(len(follow) / 2) - base + low.log10((b" " + prefix)[-4:], symbol, set(follow))
             if symbol == END:
                 out[x] = value
             else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.byte_bpe import decoded, encoded
 from trailmark.llm.chat import PREFERENCES_SQL, contrasted, conversations, preferences
+from trailmark.llm.hilbert import nearest
 from trailmark.llm.language import identified
 from trailmark.llm.ngram_join import jaccard_components
 from trailmark.llm.packing import packed, token_pieces
@@ -98,6 +99,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_hilbert_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_ppm_score")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(table(spark, sf_dir, "documents"))

@@ -1,11 +1,67 @@
-"""From raw documents to packed sequences: the stages of a training corpus."""
+"""From raw documents to packed sequences: the stages of a training corpus.
+
+Each stage takes the documents that the one before it kept and returns documents, the last one sequences. Rows without
+doc_id pass the first two stages and leave at the third, where they cannot be told apart; rows that share a doc_id are
+one document there, of which one row stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
-PIPELINE_SQL: dict[str, str] = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmark.llm.entries import packed_documents
+from trailmark.llm.language import UNKNOWN, identified
+from trailmark.llm.ngram_join import jaccard_components
+from trailmark.llm.quality import quality
+from trailmark.llm.secret_scan import redacted
+from trailmark.llm.tables import written
+from trailmark.session import prepare
+
+LEAST_SURE = 0.5
+
+
+def kept_rows(judged: DataFrame, documents: DataFrame) -> DataFrame:
+    return judged.select(*(F.col(f"doc.`{c}`") for c in documents.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kept_rows(quality(docs, labels, carry=True).where("kept"), docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned; those without letters, or of no one language, go."""
+    judged = identified(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=True)
+    return kept_rows(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SURE)), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, their secrets replaced."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents and their places in sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near duplicates", near_duplicates),
+          ("secret scan", secret_scan), ("packing", packing)]
+ORACLE_SQL = None  # hashes, merges and packing are beyond SQL; tests/llm holds the stages against brute force
+PIPELINE_SQL: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.tables import fold_of, written
+from trailmark.llm.tables import fold_of, text_rows, with_doc, written
 from trailmark.llm.words import slices
 
 LETTERS = regex.compile(r"\p{L}+").findall
@@ -206,8 +206,8 @@ def learn(training: DataFrame, path: str, steps: int = STEPS) -> tuple[list[str]
 
 # --- predicting -----------------------------------------------------------------------------------------------------
 
-def identified(documents: DataFrame, path: str, held_out: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score.
+def identified(documents: DataFrame, path: str, held_out: Column | None = None, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score; with `carry` also doc, the whole row.
 
     Learns from rows with a language where `held_out` (by default: crc32 of the id's text mod 4 is 2) is false; a
     prediction sees the text alone. `score` is the predicted language's posterior with equal priors. A text that is
@@ -216,9 +216,8 @@ def identified(documents: DataFrame, path: str, held_out: Column | None = None)
     """
     spark = documents.sparkSession
     held_out = held_out if held_out is not None else fold_of(F.col("doc_id"), 4) == 2
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.col("lang").cast("string").alias("lang"), held_out.alias("held_out"))
-    languages, model = learn(rows.where(~F.col("held_out")), path)
+    rows = text_rows(documents.withColumn("_held", held_out), carry=True).withColumn("held_out", F.col("doc._held"))
+    languages, model = learn(rows.where("not held_out").select("text", F.col("doc.lang").cast("string").alias("lang")), path)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +244,10 @@ def identified(documents: DataFrame, path: str, held_out: Column | None = None)
                     best = int(np.argmax(total))
                     names.append(languages[best])
                     sure.append(float(1 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
-                    "lang_pred": pa.array(names, pa.string()), "score": pa.array(sure, pa.float64())})
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(sure, pa.float64()),
+                     *part.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "doc"][:4 + carry])
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    whole = [F.struct(*(F.col(f"doc.`{c}`") for c in documents.columns)).alias("doc")] if carry else []
+    kind = "doc_id long, held_out boolean, lang_pred string, score double"
+    return rows.select("doc_id", "held_out", "text", *whole).mapInArrow(run, with_doc(kind, documents, carry))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm.tables import text_rows
+
 FEATURES = 1 << 14
 TRUSTED_MOST = 20_000  # labelled documents (by least hash of their id) that the trusted multinomial is fitted on
 THRESHOLD = -0.35
@@ -23,10 +25,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def with_words(documents: DataFrame) -> DataFrame:
-    """doc_id, text ('' for null), words of every row."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
+def with_words(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, text ('' for null), words of every row, and doc, the whole row, if `carry`."""
+    rows = text_rows(documents, carry).withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.withColumn("words", F.array_remove(F.split("text", SPACE), ""))
 
 
 def features(words: Column) -> Column:
@@ -79,9 +81,9 @@ def repeated_words(rows: DataFrame) -> DataFrame:
         "windows", "sorted")
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
-    kept.
+    kept; with `carry` also doc, the whole row.
 
     `labels` has doc_id, quality, toxic; rows with nulls there are not trusted. A null text counts as empty: no words,
     score 0, not kept. Repeated rows are judged alike; an empty table gives an empty result.
@@ -89,14 +91,16 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     ratios = log_ratios(documents, labels).first()["ratios"]
     ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")  # folded to one constant
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    rows = with_words(documents).withColumn("lines", lines).withColumn("features", features(F.col("words")))
+    rows = with_words(documents, carry).withColumn("lines", lines).withColumn("features", features(F.col("words")))
     rows = repeated_words(rows)
     score = F.aggregate("features", F.lit(0.0), lambda total, f: total + F.get(ratios, f.cast("int")))
     n_words = F.size("words").cast("long")
     out = rows.select(
-        "doc_id", n_words.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        *(["doc"] if carry else []), "doc_id", n_words.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         (score / F.greatest(F.size("features"), F.lit(1))).alias("score"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # as generated rows: a filter on them is not pushed below, where it would compute everything again
+    return out.select(*(["doc"] if carry else []), F.inline(F.array(F.struct(*(c for c in out.columns if c != "doc")))))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.tables import text_rows
+from trailmark.llm.tables import text_rows, with_doc
 from trailmark.llm.words import slices
 
 STRETCH = 1024  # bytes between cuts of a text in the pass
@@ -280,9 +280,9 @@ def marked(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return starts[hit], starts[hit] + lengths[hit]
 
 
-def secret_spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def secret_spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
     """Of each row: doc_id, text and spans, an array of (kind, start, end) in code points, end exclusive, by start and
-    then by the order of the rules.
+    then by the order of the rules; with `carry` also doc, the whole row.
 
     Null and empty texts have no spans. Every row is its own document, ties and repeats included.
     """
@@ -311,20 +311,25 @@ def secret_spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text"), pa.array(points, pa.list_(pa.struct(
-                        [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
-                    names=["doc_id", "text", "spans"])
+                        [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), *part.columns[2:]],
+                    names=["doc_id", "text", "spans", "doc"][:3 + carry])
 
-    return text_rows(documents).mapInArrow(
-        run, "doc_id long, text string, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    kind = "doc_id long, text string, spans array<struct<kind:string,start:bigint,end:bigint>>"
+    return text_rows(documents, carry).mapInArrow(run, with_doc(kind, documents, carry))
 
 
 def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text with each stretch covered by spans replaced by `[kind]` of its first span, and n_secrets."""
+    """The rows with each stretch of text that spans cover replaced by `[kind]` of its first span; no row is dropped.
+
+    Other columns stay as they are, but n_chars, where there is one, counts the new text.
+    """
     pieces = """
       aggregate(spans, named_struct('at', 0L, 'out', array('')),
         (a, s) -> named_struct('at', greatest(a.at, s.end),
           'out', if(s.start >= a.at, concat(a.out, array(substring(text, int(a.at) + 1, int(s.start - a.at)), concat('[', s.kind, ']'))), a.out)),
         a -> concat(array_join(a.out, ''), substring(text, int(a.at) + 1)))"""
-    found = secret_spans(documents, rules)
-    return found.select("doc_id", F.when(F.size("spans") > 0, F.expr(pieces)).otherwise(F.col("text")).alias("text"),
-                        F.size("spans").cast("long").alias("n_secrets"))
+    text = F.when(F.size("spans") > 0, F.expr(pieces)).otherwise(F.col("text"))
+    rows = secret_spans(documents, rules, carry=True).select(text.alias("_text"), "spans", "doc")
+    new = {"text": F.col("_text"), "n_chars": F.when(F.size("spans") > 0, F.length("_text").cast("long")).otherwise(F.col("doc.n_chars"))
+           if "n_chars" in documents.columns else None}
+    return rows.select(*((new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in documents.columns))

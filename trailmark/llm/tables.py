@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailmark.session import checkpoint_dir
 
@@ -22,9 +23,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_rows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key (long) and text of every row; other columns, whatever their names, stay behind."""
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def text_rows(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id (long) and text of every row. Other columns, whatever their names, stay behind, or come along as the
+    struct `doc` of the whole row if `carry`."""
+    rows = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return documents.select(*rows, *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc")] if carry else []))
+
+
+def with_doc(schema: str, documents: DataFrame, carry: bool) -> StructType:
+    """The schema of an operator's rows, with the struct of `text_rows` if `carry`."""
+    fields = StructType.fromDDL(schema)
+    return fields.add("doc", documents.schema, False) if carry else fields
 
 
 def fold_of(key: Column, folds: int) -> Column:

@@ -16,7 +16,7 @@ from trailmark.llm.tables import text_rows
 
 FEATURES = 1 << 14
 TRUSTED_MOST = 20_000  # labelled documents (by least hash of their id) that the trusted multinomial is fitted on
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 SMOOTHING = 0.5
 WINDOW = 8
 LEAST_WORDS = 20
@@ -32,9 +32,10 @@ def with_words(documents: DataFrame, carry: bool = False) -> DataFrame:
 
 
 def features(words: Column) -> Column:
-    """The feature of each word, then of each pair of neighbours."""
+    """The feature of each word, then of each pair of neighbours; all words said twice share one."""
     pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1),
-                        lambda i: F.pmod(F.xxhash64(F.get(words, i - 1), F.get(words, i)), F.lit(FEATURES)))
+                        lambda i: F.when(F.get(words, i - 1) == F.get(words, i), F.lit(0).cast("long")).otherwise(
+                            F.pmod(F.xxhash64(F.get(words, i - 1), F.get(words, i)), F.lit(FEATURES))))
     return F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES))),
                     F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<bigint>")))
 

@@ -107,39 +107,46 @@ def boundary(histogram: dict[int, int], length: float, similarity: tuple[int, in
 
 # --- signatures -----------------------------------------------------------------------------------------------------
 
-def buckets(shingles: np.ndarray, ranks: np.ndarray, light_most: int, similarity: tuple[int, int]) -> np.ndarray:
-    """The buckets of a set."""
-    size = len(shingles)
+def in_order(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Where a sorted set's shingles stand in the global order."""
+    return np.argsort(ranks[(shingles & np.uint64(len(ranks) - 1)).astype(np.int64)], kind="stable")
+
+
+def prefix_of(shingles: np.ndarray, ranks: np.ndarray, light_most: int, similarity: tuple[int, int]):
+    """The buckets of a set as pairs of shingles, its prefix in the global order, whether the prefix's lists hold it."""
+    size, (top, bottom) = len(shingles), similarity
     spare = size - int(least_shared(size, similarity))
-    if spare == 0 and size * similarity[1] < (size + 1) * similarity[0]:
-        return np.zeros(0, dtype=np.int64)  # linked with equal sets only
-    order = np.argsort(ranks[(shingles & np.uint64(len(ranks) - 1)).astype(np.int64)], kind="stable")
-    out = []
+    if spare == 0 and size * bottom < (size + 1) * top:
+        return (), (), False  # linked with equal sets only
+    order = in_order(shingles, ranks)
+    pairs = np.zeros(0, dtype=np.uint64)
     if size <= light_most:
-        prefix = np.sort(shingles[order[:spare + 2]])
-        i, j = np.triu_indices(len(prefix), 1)
-        out.append(mixed(mixed(prefix[i]) + prefix[j]))
-    if size > light_most or size * similarity[1] >= (light_most + 1) * similarity[0]:
-        out.append(mixed(shingles[order[:spare + 1]] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out).view(np.int64)
+        first = np.sort(shingles[order[:spare + 2]])
+        i, j = np.triu_indices(len(first), 1)
+        pairs = mixed(mixed(first[i]) + first[j])
+    listed = size > light_most or size * bottom >= (light_most + 1) * top
+    return pairs.view(np.int64), shingles[order[:spare + 1]].view(np.int64), listed
 
 
 def signatures(texts: DataFrame, ranks: Broadcast, light_most: int, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """Of each row: doc_id, n_shingles, digest of its set, buckets."""
+    """Of each row: doc_id, n_shingles, digest of its set, pairs and prefix, listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
-                sizes, digests, keys = [], [], []
+                sizes, digests, pairs, prefixes, listed = [], [], [], [], []
                 for found in shingle_sets(data, offsets, width):
                     sizes.append(len(found))
                     digests.append(blake2b(found.tobytes(), digest_size=16).digest())
-                    keys.append(buckets(found, ranks.value, light_most, similarity) if len(found) else ())
+                    for held, x in zip((pairs, prefixes, listed), prefix_of(found, ranks.value, light_most, similarity)):
+                        held.append(x)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(low, high - low), "n_shingles": pa.array(sizes, pa.int64()),
-                    "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                    "digest": pa.array(digests, pa.binary()), "pairs": pa.array(pairs, longs),
+                    "prefix": pa.array(prefixes, longs), "listed": pa.array(listed, pa.bool_())})
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, pairs array<long>, prefix array<long>, listed boolean")
 
 
 def size_histogram(texts: DataFrame, width: int) -> dict[int, int]:
@@ -183,6 +190,42 @@ def sets_of(texts: DataFrame, classes: DataFrame, nodes: DataFrame, width: int)
     return found.join(wanted.select("digest", "node"), "digest").select("node", "shingles").dropDuplicates(["node"])
 
 
+def with_both(pairs: DataFrame, sides: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with columns of both: left_x, right_x."""
+    for end, side in (("b", "right"), ("a", "left")):
+        pairs = pairs.join(sides.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in columns)), end)
+    return pairs
+
+
+def likely(pairs: DataFrame, sides: DataFrame, ranks: Broadcast, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose prefixes allow the similarity. Up to the earlier of the two prefixes' ends, the shared shingles
+    are known; beyond it, at most the rest of the smaller set is shared."""
+    top, bottom = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks.value
+
+        def places(prefix: pa.Scalar) -> np.ndarray:
+            x = prefix.values.to_numpy().view(np.uint64)
+            rank = table[(x & np.uint64(len(table) - 1)).astype(np.int64)].astype(np.uint64)
+            return rank << np.uint64(56) | x >> np.uint64(8)
+
+        for batch in batches:
+            keep = []
+            sizes = zip(batch.column("left_n").to_pylist(), batch.column("right_n").to_pylist())
+            left, right = batch.column("left_prefix"), batch.column("right_prefix")
+            for k, (n, m) in enumerate(sizes):
+                x, y = places(left[k]), places(right[k])
+                end = min(x[-1], y[-1])
+                x, y = x[:np.searchsorted(x, end, "right")], y[:np.searchsorted(y, end, "right")]
+                most = len(np.intersect1d(x, y)) + min(n - len(x), m - len(y))
+                keep.append(bottom * most >= top * (n + m - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    got = with_both(pairs, sides, "n", "prefix").select("a", "b", "left_n", "left_prefix", "right_n", "right_prefix")
+    return got.mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     top, bottom = similarity
@@ -190,7 +233,7 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            left, right = batch.column("left_set"), batch.column("right_set")
+            left, right = batch.column("left_shingles"), batch.column("right_shingles")
             for k in range(batch.num_rows):
                 x, y = left[k].values.to_numpy(), right[k].values.to_numpy()
                 both = np.concatenate([x, y])
@@ -199,9 +242,8 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Da
                 keep.append(bottom * shared >= top * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right_set")), "b")
-    got = got.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set")), "a")
-    return got.select("a", "b", "left_set", "right_set").mapInArrow(run, "a long, b long")
+    got = with_both(pairs, sets, "shingles").select("a", "b", "left_shingles", "right_shingles")
+    return got.mapInArrow(run, "a long, b long")
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -246,8 +288,10 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     rows = written(signatures(texts, ranks, light_most, width, similarity), "signatures")
     classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
                       .withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = rows.where(F.size("keys") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    postings = keyed.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    sides = rows.where(F.size("prefix") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    sides = written(sides.select("node", F.col("n_shingles").alias("n"), "pairs", "prefix", "listed"), "sides")
+    keys = F.when(F.col("listed"), F.concat("pairs", "prefix")).otherwise(F.col("pairs"))
+    postings = sides.select("node", "n", F.explode(keys).alias("key"))
     busy = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"),
                                        F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = written(postings.join(busy, "key").select("key", "node", "n", "pivot", "pivot_n"), "shared")
@@ -255,10 +299,14 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     def near(x: str, y: str):
         return F.least(x, y) * similarity[1] >= F.greatest(x, y) * similarity[0]
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        hopeful = written(likely(pairs, sides, ranks, similarity), "likely")
+        sets = written(sets_of(texts, classes, ends_of(hopeful), width), "sets")
+        return linked(hopeful, sets, similarity)
+
     stars = written(shared.where((F.col("node") != F.col("pivot")) & near("n", "pivot_n"))
                     .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    sets = written(sets_of(texts, classes, ends_of(stars), width), "sets")
-    links = written(linked(stars, sets, similarity), "links")
+    links = written(checked(stars), "links")
     roots = components(links)
 
     placed = shared.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -271,9 +319,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more_sets = sets_of(texts, classes, ends_of(rest), width)
-        more = linked(rest, written(more_sets, "sets"), similarity)
-        roots = components(links.union(more))
+        roots = components(links.union(checked(rest)))
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

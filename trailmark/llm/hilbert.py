@@ -62,7 +62,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def distinct_vectors(rows: DataFrame, is_query: Column, keep: int) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """(node, vector, ids): each distinct vector with its `keep` smallest ids; (node, query_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def distinct_vectors(rows: DataFrame, is_query: Column, keep: int) -> tuple[Data
         if held:
             yield emit()
 
-    parts = rows.select("vec_id", is_query.alias("is_query"), F.col("vector").cast("array<double>").alias("vector"))
+    parts = rows.select("vec_id", "is_query", F.col("vector").cast("array<double>").alias("vector"))
     parts = written(parts.mapInArrow(run, "same binary, vector array<double>, ids array<long>, queries array<long>"), "vector-parts")
     nodes = parts.groupBy("same").agg(F.first("vector").alias("vector"),
                                       F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
@@ -159,7 +159,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, share: float =
     table gives an empty result; a table of fewer than k + 1 rows gives all others.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where("vec_id is not null")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), is_query.alias("is_query"))
+    rows = rows.where("vec_id is not null")
     limit = F.lit(float("inf"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.col("vector").isNotNull() & fine)
@@ -168,7 +169,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, share: float =
     if common is None:
         return spark.createDataFrame([], result)
     size = common["size"]
-    nodes, queries = distinct_vectors(rows.where(F.size("vector") == size), is_query, k + 1)
+    nodes, queries = distinct_vectors(rows.where(F.size("vector") == size), k + 1)
     total, largest = nodes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
     curve = written(ranked(placed(nodes, queries.select("node").distinct(), size, largest)), "ranks")
 

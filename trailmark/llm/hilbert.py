@@ -103,8 +103,9 @@ def distinct_vectors(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
 def placed(nodes: DataFrame, asking: DataFrame, size: int, largest: float) -> DataFrame:
     """(ordering, key, node, asks): a row for each vector in each ordering, and one for each asking vector."""
     rng = np.random.default_rng(SEED)
-    turns = [np.linalg.qr(rng.normal(size=(size + 1, size + 1)))[0][:, :DIMENSIONS] for _ in range(ORDERINGS)]
-    shifts = rng.random((ORDERINGS, DIMENSIONS)) / 4
+    dimensions = min(DIMENSIONS, size + 1)
+    turns = [np.linalg.qr(rng.normal(size=(size + 1, size + 1)))[0][:, :dimensions] for _ in range(ORDERINGS)]
+    shifts = rng.random((ORDERINGS, dimensions)) / 4
     reach = 4 * largest / np.sqrt(size + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

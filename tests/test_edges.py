@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from datetime import timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import duration_text, normal_cdf, round_half_up, week_of_year_label, wildcard_match
 from trailmark.operators import anomalies, attribution, comparison, conversion, dropoff, identity, ingest, journeys, live, state, traffic
-from trailmark.operators.matching import match_funnel_events
+from trailmark.operators.matching import bad_rules, match_funnel_events
 from trailmark.params import Period
 from trailmark.sources.definitions import Definitions, funnel_inventory, validate_funnel_defs
 from trailmark.sources.events import derive_sessions, read_events, write_events
@@ -227,18 +228,57 @@ HITS = [
 ]
 
 
-@pytest.mark.parametrize("mode", ["compiled", "joined"])
-def test_rules(spark, mode):
+def test_rules(spark):
     ev = events(spark, [row for row, _ in HITS])
-    found = {r.id: r.step_order for r in match_funnel_events(ev, definitions(spark, RULES), mode).collect()}
+    found = {r.id: r.step_order for r in match_funnel_events(ev, definitions(spark, RULES)).collect()}
     assert found == {n: step for n, (_, step) in enumerate(HITS) if step is not None}
 
 
-@pytest.mark.parametrize("mode", ["compiled", "joined"])
-def test_drafts_and_archived_funnels_match_nothing(spark, mode):
+def test_rules_compare_json_values_and_bad_rules_match_nothing(spark):
+    typed = [(0, "start", [("custom_property", {"property": "flag", "value": True})]),
+             (1, "event", [("custom_property", {"property": "n", "value": 1}), ("custom_property", {"property": "a.b", "value": "x"})]),
+             (2, "event", [("event", {"prop_filters": [{"key": "k", "operator": "in", "value": ["a", 2]}]})]),
+             (3, "event", [("event", {"prop_filters": [{"key": "k", "operator": "like", "value": "z"}]}), ("event_name", {}), ("other", {"x": 1})]),
+             (4, "conversion", [("event_name", {"event_name": "purchase"})])]
+    cases = [('{"flag": true}', 0), ('{"flag": "true"}', None), ('{"n": 1}', 1), ('{"n": 1.0}', 1), ('{"n": "1"}', None), ('{"a.b": "x"}', 1),
+             ('{"a": {"b": "x"}}', None), ('{"k": "a"}', 2), ('{"k": 2}', 2), ('{"k": "2"}', None), ('{"k": "z"}', None), ("not json", None), (None, None)]
+    defs = definitions(spark, typed)
+    found = {r.id: r.step_order for r in match_funnel_events(events(spark, [{"props": p} for p, _ in cases]), defs).collect()}
+    assert found == {n: step for n, (_, step) in enumerate(cases) if step is not None}
+    broken = Definitions.from_rows(spark, [(1, 1, 1, "F", BASE, None)], [(1, 1, 1, "published", BASE)], [(1, 1, 1, BASE, 7)],
+                                   [(1, 1, 0, "start", "S")], [(1, 1, "event_name", "{")])
+    assert match_funnel_events(events(spark, [{"name": "view"}]), broken).count() == 0
+    assert [r.violation for r in bad_rules(broken.load()).collect()] == ["malformed_rule"]
+    assert sorted(r.violation for r in bad_rules(defs.load()).collect()) == ["incomplete_rule", "unknown_kind", "unknown_operator"]
+
+
+def test_workspaces_outside_the_comparable_number(spark):
+    st = spark.createDataFrame([(1, ws, f, f"a{u}", 0, 2, BASE, None) for ws, n in ((1, 1), (2, 5), (3, 6)) for f in range(n) for u in range(3)],
+                               "tenant_id bigint, workspace_id bigint, funnel_id bigint, anonymous_id string, current_step_index int, "
+                               "total_steps int, entered_at timestamp, completed_at timestamp")
+    compared = comparison.funnel_compare(st, DAY)
+    assert {(r.workspace_id, r.compared, r.status) for r in compared.collect()} == {(1, 1, "too_few"), (2, 5, "ok"), (3, 6, "too_many")}
+    assert {(r.workspace_id, r["count"]) for r in comparison.compare_pairwise(compared).groupBy("workspace_id").count().collect()} == {(2, 10)}
+
+
+def test_fifty_touches_are_all_credited(spark):
+    ev = events(spark, [{"who": "a", "t": n * 60, "source": "s0" if n == 0 else "s49" if n == 49 else "mid"} for n in range(50)])
+    touches = attribution.journey_touches(attribution.touchpoints(ev, DAY), DAY)
+    by_source = {r.utm_source: r for r in attribution.credits(touches).groupBy("utm_source").agg(
+        F.sum("last_touch").alias("last"), F.sum("linear").alias("linear")).collect()}
+    assert by_source["s49"].last == 1 and by_source["mid"].linear == pytest.approx(48 / 50)
+
+
+def test_quiet_workspaces_have_zero_series(spark):
+    scopes = spark.createDataFrame([(1, 1), (1, 9)], "tenant_id bigint, workspace_id bigint")
+    rows_ = traffic.timeseries(events(spark, [{"t": 60}]), DAY, "hour", scopes=scopes).where("workspace_id = 9")
+    assert rows_.count() >= 24 and rows_.agg(F.sum("events")).first()[0] == 0
+
+
+def test_drafts_and_archived_funnels_match_nothing(spark):
     ev = events(spark, [{"name": "purchase"}])
-    assert match_funnel_events(ev, definitions(spark, RULES, state="draft"), mode).count() == 0
-    assert match_funnel_events(ev, definitions(spark, RULES, archived=BASE), mode).count() == 0
+    assert match_funnel_events(ev, definitions(spark, RULES, state="draft")).count() == 0
+    assert match_funnel_events(ev, definitions(spark, RULES, archived=BASE)).count() == 0
 
 
 def test_definition_checks(spark):
@@ -280,7 +320,7 @@ def test_abandonment_and_strict_order(spark):
         {"t": 7, "name": "c", "who": "a_1"}, {"t": 8, "name": "d", "who": "a_1"},
         {"t": 0, "name": "a", "who": "a_2"}, {"t": 86400, "name": "b", "who": "a_2"}, {"t": 86401, "name": "c", "who": "a_2"}],
         window=1)
-    reached = {r.anonymous_id: (r.step_reached, r.completed) for r in state.strict_funnel(m, 4).collect()}
+    reached = {r.anonymous_id: (r.step_reached, r.completed) for r in state.strict_funnel(m, definitions(spark, SIMPLE)).collect()}
     assert reached == {"a_1": (3, True), "a_2": (1, False)}
     st = state.funnel_user_state(m)
     for seconds, status in ((86401 + 86400, "active"), (86401 + 86401, "abandoned")):
@@ -309,7 +349,7 @@ def touches(spark, counts):
 
 def test_credit_sums(spark):
     found = attribution.journey_touches(touches(spark, [1, 2, 3, 20, 21]), MONTH)
-    assert {r.anonymous_id: r.touches for r in found.collect()} == {"a_0": 1, "a_1": 2, "a_2": 3, "a_3": 20, "a_4": 20}
+    assert {r.anonymous_id: r.touches for r in found.collect()} == {"a_0": 1, "a_1": 2, "a_2": 3, "a_3": 20, "a_4": 21}
     for journey in attribution.credits(found).groupBy("anonymous_id").agg(
             *[F.sum(m).alias(m) for m in attribution.MODELS]).collect():
         assert [journey[m] for m in attribution.MODELS] == pytest.approx([1.0] * 6)
@@ -389,10 +429,11 @@ def test_bottlenecks(spark):
 def compared_rows(spark, rows_):
     made = []
     for n, (entries, conversions) in enumerate(rows_, 1):
-        made.append((1, 1, n, entries, conversions, 100.0 * conversions / entries if entries else 0.0, 60.0 * n, n, 0.0, 70.0, len(rows_)))
+        made.append((1, 1, n, entries, conversions, 100.0 * conversions / entries if entries else 0.0, 60.0 * n, n, 0.0, 70.0, len(rows_),
+                     "too_few" if len(rows_) < 2 else "too_many" if len(rows_) > 5 else "ok"))
     return spark.createDataFrame(made, "tenant_id bigint, workspace_id bigint, funnel_id bigint, entries bigint, conversions bigint, "
                                        "conversion_rate double, avg_seconds double, volume_rank bigint, quality_score double, "
-                                       "engagement_score double, compared bigint")
+                                       "engagement_score double, compared bigint, status string")
 
 
 def test_comparison(spark):
@@ -408,7 +449,13 @@ def test_comparison(spark):
     assert equal.z_score is None and not equal.is_significant
     five = compared_rows(spark, [(100, 10 * n) for n in range(1, 6)])
     assert comparison.compare_pairwise(five).count() == 10
-    assert comparison.compare_chi_square(five).first().p_value is None
+    chi = comparison.compare_chi_square(five).first()
+    x = chi.chi_square / 2
+    assert chi.p_value == pytest.approx(math.exp(-x) * (1 + x), rel=1e-9)
+    four = comparison.compare_chi_square(compared_rows(spark, [(100, 10), (100, 20), (100, 15), (100, 12)])).first()
+    x = four.chi_square
+    tail = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    assert four.p_value == pytest.approx(tail, abs=1e-6)
     assert comparison.compare_bh(comparison.compare_pairwise(five)).agg(F.max("rank")).first()[0] == 10
 
 

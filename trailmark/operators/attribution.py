@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import share
-from trailmark.operators.journeys import CONVERTED_STEPS, JOURNEY, first_events, person
+from trailmark.operators.blocks import number_rows
+from trailmark.operators.journeys import CONVERTED_STEPS, JOURNEY, PERSON, person
 from trailmark.params import SCOPE, Period, timestamp
 
 # Fixed values of the attribution report.
-MAX_TOUCHES = 20
 LOOKBACK_DAYS = 30
 HALF_LIFE_DAYS = 7
 POSITION_WEIGHTS = (0.4, 0.4)  # first, last; the middle shares the rest
@@ -29,8 +29,11 @@ def touchpoint_type(utm_source: Column, referrer: Column) -> Column:
 
 
 def touchpoints(events: DataFrame, period: Period, lookback_days: int = LOOKBACK_DAYS, as_of: str | None = None,
-                max_touches: int = MAX_TOUCHES) -> DataFrame:
-    """Each person's first touches since `lookback_days` before `as_of` (the period's end by default)."""
+                max_touches: int | None = None) -> DataFrame:
+    """Each person's touches, numbered, since `lookback_days` before `as_of` (the period's end by default).
+
+    `max_touches` keeps a person's first ones only.
+    """
     since = timestamp(as_of or period.end) - F.expr(f"interval {lookback_days} days")
     inside = events.where((F.col("timestamp") >= since) & (F.col("timestamp") <= timestamp(period.end)))
     source, referrer = F.col("utm.source"), F.col("page.referrer")
@@ -39,7 +42,9 @@ def touchpoints(events: DataFrame, period: Period, lookback_days: int = LOOKBACK
         source.alias("utm_source"), F.col("utm.medium").alias("utm_medium"), F.col("utm.campaign").alias("utm_campaign"),
         F.col("device.type").alias("device_type"),
         F.regexp_replace(referrer, "https?://([^/]+).*", "$1").alias("referrer_domain"))
-    return first_events(rows, max_touches, "touchpoint_order").drop("lead_id")
+    numbered = number_rows(rows.withColumn("user_id", person()).drop("lead_id"), PERSON).drop("previous_at").withColumnRenamed(
+        "position", "touchpoint_order")
+    return numbered if max_touches is None else numbered.where(F.col("touchpoint_order") <= max_touches)
 
 
 def journey_touches(touches: DataFrame, period: Period, conversions: DataFrame | None = None) -> DataFrame:
@@ -48,12 +53,9 @@ def journey_touches(touches: DataFrame, period: Period, conversions: DataFrame |
     A journey with at least three touches counts as converted; `conversions` (visitors, such as those who
     completed a funnel) replaces that rule.
     """
-    journey = Window.partitionBy(*JOURNEY)
-    by_time = journey.orderBy("timestamp", "id")
-    rows = touches.withColumns({
-        "position": F.row_number().over(by_time), "touches": F.count("*").over(journey),
-        "first_at": F.min("timestamp").over(journey), "last_at": F.max("timestamp").over(journey)})
-    rows = rows.where(period.contains("first_at"))
+    facts = touches.groupBy(*JOURNEY).agg(
+        F.count("*").alias("touches"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    rows = number_rows(touches, JOURNEY).drop("previous_at").join(facts.where(period.contains("first_at")), JOURNEY)
     if conversions is None:
         return rows.withColumn("converted", F.col("touches") >= CONVERTED_STEPS)
     keys = [*SCOPE, "anonymous_id"]
@@ -93,15 +95,19 @@ def credits(touches: DataFrame, models: tuple[str, ...] = MODELS,
     age_days = (F.unix_micros("last_at") - F.unix_micros("timestamp")) / F.lit(86_400e6)
     weight = F.pow(F.lit(0.5), age_days / HALF_LIFE_DAYS)
     first, middle, last = (w / sum(custom) for w in custom)
+    converted = touches.where("converted")
+    if "time_decay" in models:
+        whole = converted.groupBy(*JOURNEY).agg(F.sum(weight).alias("_weights"))
+        converted = converted.join(whole, JOURNEY)
     formulas = {
         "first_touch": F.when(i == 1, 1.0).otherwise(0.0),
         "last_touch": F.when(i == n, 1.0).otherwise(0.0),
         "linear": F.lit(1.0) / n,
-        "time_decay": weight / F.sum(weight).over(Window.partitionBy(*JOURNEY)),
+        "time_decay": weight / F.col("_weights") if "time_decay" in models else None,
         "position_based": _middle_share(*POSITION_WEIGHTS, None, i, n),
         "custom": _middle_share(first, last, F.lit(middle), i, n),
     }
-    return touches.where("converted").withColumns({m: formulas[m] for m in models})
+    return converted.withColumns({m: formulas[m] for m in models}).drop("_weights")
 
 
 def credit_table(credited: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:

@@ -22,7 +22,8 @@ DETECTABLE_EFFECT = 0.02
 def funnel_compare(state: DataFrame, period: Period, chosen: DataFrame | None = None) -> DataFrame:
     """Per funnel: entries, conversions, rate, seconds to convert and scores, in one pass over state.
 
-    `chosen` names the funnels of the comparison (all by default); a comparison takes 2 to 5 of them.
+    `chosen` names the funnels of the comparison (all by default); a comparison takes 2 to 5 of them. `status` says
+    whether a workspace has so many; if not, its funnels are listed but not tested against each other.
     """
     entered = state.where(period.contains("entered_at"))
     if chosen is not None:
@@ -41,8 +42,8 @@ def funnel_compare(state: DataFrame, period: Period, chosen: DataFrame | None =
         F.row_number().over(scope.orderBy(F.desc("entries"), "funnel_id")).cast("bigint").alias("volume_rank"),
         F.least(F.lit(100.0), value * 10).alias("quality_score"),
         F.least(F.lit(100.0), value * 2 + 70).alias("engagement_score"),
-        F.when((F.col("compared") >= MIN_FUNNELS) & (F.col("compared") <= MAX_FUNNELS), F.col("compared"))
-        .otherwise(F.raise_error(F.lit(f"a comparison takes {MIN_FUNNELS} to {MAX_FUNNELS} funnels"))).alias("compared"))
+        "compared", F.when(F.col("compared") < MIN_FUNNELS, "too_few").when(F.col("compared") > MAX_FUNNELS, "too_many")
+        .otherwise("ok").alias("status"))
 
 
 def _test(a: str, b: str, alpha: float) -> dict[str, Column]:
@@ -84,6 +85,7 @@ TEST_COLUMNS = ["rate_difference", "rate_lift", "z_score", "p_value", "is_signif
 
 def compare_pairwise(compared: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-proportion test of every two of the (at most five) compared funnels."""
+    compared = compared.where("status = 'ok'")
     pairs = _side(compared, "a").join(_side(compared, "b"), SCOPE).where("funnel_a < funnel_b")
     return pairs.withColumns(_test("a", "b", alpha)).select(*SCOPE, "funnel_a", "funnel_b", *TEST_COLUMNS)
 
@@ -98,15 +100,36 @@ def compare_bh(pairwise: DataFrame, alpha: float = 0.05) -> DataFrame:
                            F.coalesce(F.col("p_value") < level, F.lit(False)).alias("is_significant"))
 
 
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """Probability of a chi-square above x: finite sums, over (x/2)^k / k! for even degrees and, besides the normal
+    tail, over x^(k - 1/2) / (1 * 3 * ... * (2k - 1)) for odd ones."""
+    def total(first: Column, terms: Column, factor) -> Column:
+        start = F.struct(first.alias("term"), F.when(terms > 0, first).otherwise(F.lit(0.0)).alias("sum"))
+        more = F.when(terms > 1, F.sequence(F.lit(1).cast("bigint"), terms - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        def step(a: Column, k: Column) -> Column:
+            term = a["term"] * factor(k)
+            return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+        return F.aggregate(more, start, step, lambda a: a["sum"])
+
+    half = F.floor(df / 2)
+    even = F.exp(-x / 2) * total(F.lit(1.0), half, lambda k: x / 2 / k)
+    density = F.exp(-x / 2) / F.sqrt(F.lit(2.0) * F.pi())
+    odd = F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.sqrt(x))) + F.lit(2.0) * density * total(
+        F.sqrt(x), half, lambda k: x / (2 * k + 1))
+    return F.when(df % 2 == 0, even).otherwise(odd)
+
+
 def compare_chi_square(compared: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Chi-square of conversions over the compared funnels; the p-value is known for 1 and 2 degrees of freedom."""
+    """Chi-square of conversions over the compared funnels, with its p-value for any degrees of freedom."""
     scope = Window.partitionBy(*SCOPE)
     expected = F.col("entries") * (F.sum("conversions").over(scope) / F.sum("entries").over(scope))
     facts = compared.withColumn("_e", expected).groupBy(*SCOPE).agg(
         F.sum(F.when(F.col("_e") > 0, F.pow(F.col("conversions") - F.col("_e"), F.lit(2.0)) / F.col("_e")))
         .alias("chi_square"), (F.count("*") - 1).alias("degrees_of_freedom"))
     x, df = F.col("chi_square"), F.col("degrees_of_freedom")
-    p_value = F.when(df == 1, F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.sqrt(x)))).when(df == 2, F.exp(-x / 2))
+    p_value = F.when(df >= 1, chi_square_tail(x, df))
     return facts.withColumn("p_value", p_value).withColumns({
         "is_significant": F.coalesce(F.col("p_value") < alpha, F.lit(False)), "adjusted_alpha": F.lit(alpha) / (df + 1)})
 

@@ -25,7 +25,12 @@ def _ago(now: str, amount: int, unit: str) -> Column:
 
 
 def _active(now: str) -> Column:
-    return (F.col("status") == "active") & (F.col("last_activity_at") >= _ago(now, ACTIVE_MINUTES, "minutes"))
+    return (F.col("status") == "active") & _since("last_activity_at", now, ACTIVE_MINUTES, "minutes")
+
+
+def _since(column: str, now: str, amount: int, unit: str) -> Column:
+    """From so long ago up to the instant: what came after it is not known yet."""
+    return F.col(column).between(_ago(now, amount, unit), timestamp(now))
 
 
 def _funnels(steps: DataFrame) -> DataFrame:
@@ -40,8 +45,8 @@ def live_basic(state: DataFrame, steps: DataFrame, now: str) -> DataFrame:
     hour = _ago(now, RECENT_HOURS, "hours")
     recent = state.where(F.col("last_activity_at") >= hour).groupBy(*FUNNEL).agg(
         F.count_if(_active(now)).alias("active_users"),
-        F.count_if(F.col("entered_at") >= hour).alias("entries"),
-        F.count_if((F.col("status") == "completed") & (F.col("completed_at") >= hour)).alias("conversions"))
+        F.count_if(_since("entered_at", now, RECENT_HOURS, "hours")).alias("entries"),
+        F.count_if((F.col("status") == "completed") & _since("completed_at", now, RECENT_HOURS, "hours")).alias("conversions"))
     count = lambda c: F.coalesce(c, zero())
     return _funnels(steps).join(recent, FUNNEL, "left").select(
         *FUNNEL, count("active_users").alias("active_users"), count("entries").alias("entries_last_hour"),
@@ -60,7 +65,7 @@ def live_steps(state: DataFrame, now: str) -> DataFrame:
 def live_trend(state: DataFrame, steps: DataFrame, now: str) -> DataFrame:
     """Entries, conversions and rate per minute of the last half hour, without gaps."""
     since = _ago(now, ACTIVE_MINUTES, "minutes")
-    per_minute = lambda column, name: state.where(F.col(column) >= since).groupBy(
+    per_minute = lambda column, name: state.where(_since(column, now, ACTIVE_MINUTES, "minutes")).groupBy(
         *FUNNEL, F.date_trunc("minute", F.col(column)).alias("minute")).agg(F.count("*").alias(name))
     minutes = F.sequence(F.date_trunc("minute", since), F.date_trunc("minute", timestamp(now)), F.expr("interval 1 minute"))
     spine = _funnels(steps).withColumn("minute", F.explode(minutes))
@@ -76,7 +81,7 @@ def rate_anomaly(state: DataFrame, now: str) -> DataFrame:
     """Rate of users who entered in the last hour against the 23 hours before."""
     hour, day = _ago(now, RECENT_HOURS, "hours"), _ago(now, HISTORY_HOURS, "hours")
     fresh, done = F.col("entered_at") >= hour, F.col("status") == "completed"
-    facts = state.where(F.col("entered_at") >= day).groupBy(*FUNNEL).agg(
+    facts = state.where(F.col("entered_at").between(day, timestamp(now))).groupBy(*FUNNEL).agg(
         F.count_if(fresh).alias("current_entries"), F.count_if(~fresh).alias("historical_entries"),
         F.count_if(fresh & done).alias("c"), F.count_if(~fresh & done).alias("h"))
     facts = facts.withColumns({"current_rate": rate(F.col("c"), F.col("current_entries")),

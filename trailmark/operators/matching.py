@@ -3,201 +3,125 @@
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import json_value, wildcard_match
 from trailmark.params import SCOPE
-from trailmark.sources.definitions import Definitions, local_table
-
-# Distinct rules compiled into one expression; beyond that, rules are joined as data.
-COMPILED_RULE_LIMIT = 400
+from trailmark.sources.definitions import Definitions
 
 FUNNEL_COLUMNS = ["funnel_id", "funnel_version_id", "window_days", "total_steps"]
-
-
-def match_funnel_events(events: DataFrame, definitions: Definitions, mode: str = "auto") -> DataFrame:
+NAMED = ("event_name", "page_url", "page_title", "utm_source", "custom_property")
+STORED = ("page", "event")
+OPERATORS = ("eq", "equals", "contains", "starts_with", "in", "greater_than", "less_than")
+# Fixed value: characters of a pattern that stand for themselves.
+SPECIAL = r"([\\\.\[\]\{\}\(\)\+\-\^\$\|&#~])"
+
+
+def parsed_rules(definitions: DataFrame) -> DataFrame:
+    """Rule rows with the fields of their JSON; what is missing or malformed is null. Values keep their JSON type:
+    `"1"` is a text, `1` a number."""
+    fields = "struct<event_name:string,pattern:string,source:string,property:string,value:variant," \
+             "url_match:struct<type:string,value:string>,prop_filters:array<struct<key:string,operator:string,value:variant>>>"
+    rows = definitions.withColumn("_r", F.from_json("rules", fields))
+    pattern = F.col("_r.pattern")
+    wild = F.replace(F.replace(F.regexp_replace(pattern, SPECIAL, r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    return rows.withColumn("_rule", F.struct(
+        "kind", F.col("_r.event_name").alias("event"), pattern.alias("pattern"),
+        F.when(pattern.contains("*"), F.concat(F.lit("(?is)^"), wild, F.lit("$"))).alias("regex"),
+        F.col("_r.source").alias("source"), F.col("_r.property").alias("property"), F.to_json("_r.value").alias("value"),
+        F.col("_r.url_match.type").alias("how"), F.col("_r.url_match.value").alias("url"),
+        F.transform("_r.prop_filters", lambda f: F.struct(
+            f["key"].alias("key"), F.coalesce(f["operator"], F.lit("eq")).alias("operator"), F.to_json(f["value"]).alias("value"),
+            F.from_json(F.to_json(f["value"]), "array<variant>").alias("list"))).alias("filters"))).drop("_r")
+
+
+def bad_rules(definitions: DataFrame) -> DataFrame:
+    """funnel_version_id, order_index, violation of rules that can never match: malformed, incomplete or unknown."""
+    r = F.col("_rule")
+    lacks = (
+        F.when(F.col("kind") == "event_name", r["event"].isNull())
+        .when(F.col("kind").isin("page_url", "page_title"), r["pattern"].isNull())
+        .when(F.col("kind") == "utm_source", r["source"].isNull())
+        .when(F.col("kind") == "custom_property", r["property"].isNull() | r["value"].isNull())
+        .when(F.col("kind").isin(*STORED), r["event"].isNull() & r["how"].isNull() & r["filters"].isNull()))
+    operator = F.exists(r["filters"], lambda f: ~f["operator"].isin(*OPERATORS))
+    violation = (
+        F.when(~F.col("kind").isin(*NAMED, *STORED), "unknown_kind").when(F.try_parse_json("rules").isNull(), "malformed_rule")
+        .when(lacks, "incomplete_rule").when(operator, "unknown_operator"))
+    rows = parsed_rules(definitions.where("kind is not null")).withColumn("violation", violation)
+    return rows.where("violation is not null").select("funnel_version_id", "order_index", "violation")
+
+
+def match_funnel_events(events: DataFrame, definitions: Definitions) -> DataFrame:
     """One row per (event, funnel) with the matched step, for every published funnel of its workspace.
 
-    The rules come to the driver only while they stay under a limit: funnels built from the same steps then share one compiled expression, and an equi-join on the
-    workspace gives the funnels that use it. Above the limit the rules stay a table that events join.
+    The rules of a workspace are one row of the joined side, so an event meets them once and only its matches become
+    rows; batch and stream alike. Every rule is evaluated in one way, whatever their number, and a rule that cannot be
+    read matches nothing.
     """
-    if mode not in ("auto", "compiled", "joined"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if mode != "joined":
-        shapes = None if definitions.rules is None else _shapes(definitions.rules)
-        if shapes is not None and sum(len(s) for s in shapes) <= COMPILED_RULE_LIMIT:
-            return _compiled(events, shapes)
-        if mode == "compiled":
-            raise ValueError("too many rules to compile")
-    return _joined(events, definitions.load())
-
-
-# ------------------------------------------------------------------ compiled
-def _shapes(rules: list[Row]) -> dict[tuple, list[tuple]]:
-    """Distinct step lists (order, type, kind, rules) -> the funnels that use them."""
-    by_funnel: dict[tuple, set] = defaultdict(set)
-    for r in rules:
-        key = tuple(r[c] for c in [*SCOPE, *FUNNEL_COLUMNS])
-        by_funnel[key].add((r.order_index, r.step_type, r.kind or "", r.rules or ""))
-    shapes: dict[tuple, list[tuple]] = defaultdict(list)
-    for funnel, steps in by_funnel.items():
-        shapes[tuple(sorted(steps))].append(funnel)
-    return shapes
-
-
-def _first_step(steps: tuple) -> Column | None:
-    by_order: dict[int, list[tuple]] = defaultdict(list)
-    for step in steps:
-        by_order[step[0]].append(step)
-    first = None
-    for order in sorted(by_order):
-        hit = F.lit(False)
-        for _, _, kind, rules in by_order[order]:
-            if kind:
-                hit = hit | F.coalesce(_predicate(kind, json.loads(rules)), F.lit(False))
-        found = F.struct(F.lit(order).alias("step_order"), F.lit(by_order[order][0][1]).alias("step_type"))
-        first = F.when(hit, found) if first is None else first.when(hit, found)
-    return first
-
-
-def _compiled(events: DataFrame, shapes: dict[tuple, list[tuple]]) -> DataFrame:
-    hits, uses = [], []
-    for number, (steps, funnels) in enumerate(sorted(shapes.items())):
-        first = _first_step(steps)
-        hits.append(F.struct(F.lit(number).alias("_shape"), first.alias("_step")))
-        uses += [(*funnel, number) for funnel in funnels]
-    schema = ("tenant_id bigint, workspace_id bigint, funnel_id bigint, funnel_version_id bigint, "
-              "window_days int, total_steps int, _shape int")
-    table = local_table(events.sparkSession, uses, schema)
-    if not hits:
-        hits = [F.lit(None).cast("struct<_shape:int,_step:struct<step_order:int,step_type:string>>")]
-    return (
-        events.withColumn("_hit", F.explode(F.array(*hits))).where("_hit._step is not null")
-        .withColumn("_shape", F.col("_hit._shape"))
-        .join(table, [*SCOPE, "_shape"])
-        .withColumns({"step_order": F.col("_hit._step.step_order"), "step_type": F.col("_hit._step.step_type")})
-        .drop("_hit", "_shape")
-    )
-
-
-def _predicate(kind: str, rules: dict) -> Column:
-    """One rule as a Column, for both vocabularies in use."""
-    if kind == "event_name":
-        return F.col("event_name") == rules["event_name"]
-    if kind == "page_url":
-        return wildcard_match(F.col("page.url"), rules["pattern"])
-    if kind == "page_title":
-        return wildcard_match(F.col("page.title"), rules["pattern"])
-    if kind == "utm_source":
-        return F.col("utm.source") == rules["source"]
-    if kind == "custom_property":
-        return json_value(F.col("props"), rules["property"]) == str(rules["value"])
-    if kind in ("page", "event"):
-        return _stored_rule(rules)
-    return F.lit(False)
-
-
-def _stored_rule(rules: dict) -> Column:
-    hit = F.lit(True)
-    if "url_match" in rules:
-        url, how = F.col("page.url"), rules["url_match"]
-        hit = hit & (url == how["value"] if how["type"] == "exact" else url.contains(how["value"]))
-    if "event_name" in rules:
-        hit = hit & (F.col("event_name") == rules["event_name"])
-    for prop in rules.get("prop_filters") or []:
-        hit = hit & property_predicate(prop["key"], prop.get("operator", "eq"), prop["value"])
-    return hit if rules else F.lit(False)
+    rule = F.struct(*FUNNEL_COLUMNS, "order_index", "step_type", F.col("_rule").alias("rule"))
+    rules = parsed_rules(definitions.load().where("kind is not null")).groupBy(*SCOPE).agg(F.collect_list(rule).alias("_rules"))
+    columns = events.columns
+    rows = events.withColumns(_properties()).join(rules, SCOPE)
+    step = lambda r: F.struct(*(r[c].alias(c) for c in (*FUNNEL_COLUMNS, "order_index", "step_type")))
+    hits = F.array_sort(F.transform(F.filter("_rules", lambda r: F.coalesce(_holds(r["rule"]), F.lit(False))), step))
+    rows = rows.select(*columns, hits.alias("_hits")).where(F.size("_hits") > 0)
+    versions = F.array_distinct(F.transform("_hits", lambda h: F.struct(h["funnel_id"].alias("f"), h["funnel_version_id"].alias("v"))))
+    firsts = F.transform(versions, lambda v: F.get(F.filter("_hits", lambda h: (h["funnel_id"] == v["f"]) & (h["funnel_version_id"] == v["v"])), F.lit(0)))
+    found = rows.select(*columns, F.explode(firsts).alias("_hit"))
+    return found.select(*columns, *(F.col(f"_hit.{c}").alias(c) for c in FUNNEL_COLUMNS),
+                        F.col("_hit.order_index").alias("step_order"), F.col("_hit.step_type").alias("step_type"))
+
+
+def _properties() -> dict[str, Column]:
+    """An event's properties as texts, and as JSON texts that keep the type."""
+    values = F.transform_values(F.from_json("props", "map<string,variant>"), lambda k, v: F.to_json(v))
+    return {"_texts": F.from_json("props", "map<string,string>"), "_values": values}
 
 
 def property_predicate(key: str, operator: str, value: object) -> Column:
-    """One condition on an event property."""
-    actual = json_value(F.col("props"), key)
-    if operator in ("eq", "equals"):
-        return actual == str(value)
-    if operator == "contains":
-        return actual.contains(str(value))
-    if operator == "starts_with":
-        return actual.startswith(str(value))
-    if operator == "in":
-        return actual.isin([str(v) for v in value])
-    if operator == "greater_than":
-        return actual.try_cast("double") > float(value)
-    if operator == "less_than":
-        return actual.try_cast("double") < float(value)
-    raise ValueError(f"unknown operator {operator!r}")
-
-
-# -------------------------------------------------------------------- joined
-def _joined(events: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Rules as rows: equi-join on the workspace, evaluate, keep the first step per event and funnel.
-
-    A workspace with a third of the events is a skewed side that adaptive execution splits; the rule
-    side is a few rows per workspace. The step minimum combines before it shuffles.
-    """
-    pattern = F.get_json_object("rules", "$.pattern")
-    special = r"([\\\.\[\]\{\}\(\)\+\-\^\$\|&#~])"
-    regex = F.concat(
-        F.lit("(?is)^"),
-        F.replace(F.replace(F.regexp_replace(pattern, special, r"\\$1"), F.lit("*"), F.lit(".*")),
-                  F.lit("?"), F.lit(".")),
-        F.lit("$"),
-    )
-    rules = definitions.where(F.col("kind").isNotNull()).select(
-        *SCOPE, *FUNNEL_COLUMNS, "order_index", "step_type", "kind",
-        F.get_json_object("rules", "$.event_name").alias("_event"),
-        F.get_json_object("rules", "$.url_match.type").alias("_how"),
-        F.get_json_object("rules", "$.url_match.value").alias("_url"),
-        pattern.alias("_pattern"), regex.alias("_regex"),
-        F.get_json_object("rules", "$.source").alias("_source"),
-        F.get_json_object("rules", "$.property").alias("_property"),
-        F.get_json_object("rules", "$.value").alias("_value"),
-        F.from_json(F.get_json_object("rules", "$.prop_filters"),
-                    "array<struct<key:string,operator:string,value:string>>").alias("_filters"),
-    )
+    """One condition on an event property, as in a rule."""
+    if operator not in OPERATORS:
+        raise ValueError(f"unknown operator {operator!r}")
+    wanted = F.lit(json.dumps(value))
+    wish = F.struct(F.lit(key).alias("key"), F.lit(operator).alias("operator"), wanted.alias("value"),
+                    F.from_json(wanted, "array<variant>").alias("list"))
+    return _condition(wish, **_properties())
+
+
+def _same(actual: Column, wanted: Column) -> Column:
+    """Equal as JSON values: numbers by value, everything else by type and text."""
+    return (actual == wanted) | F.coalesce(actual.try_cast("double") == wanted.try_cast("double"), F.lit(False))
+
+
+def _holds(r: Column) -> Column:
+    url, title = F.col("page.url"), F.col("page.title")
 
     def like(value: Column) -> Column:
-        return F.when(F.col("_pattern").contains("*"), F.regexp_like(value, F.col("_regex"))).otherwise(
-            F.contains(F.lower(value), F.lower(F.col("_pattern"))))
-
-    def condition(f: Column) -> Column:
-        actual, wanted = F.try_element_at(F.from_json(F.col("props"), "map<string,string>"), f["key"]), f["value"]
-        return F.coalesce(
-            F.when(f["operator"].isin("eq", "equals"), actual == wanted)
-            .when(f["operator"] == "contains", F.contains(actual, wanted))
-            .when(f["operator"] == "starts_with", F.startswith(actual, wanted))
-            .when(f["operator"] == "in", F.array_contains(F.from_json(wanted, "array<string>"), actual))
-            .when(f["operator"] == "greater_than", actual.try_cast("double") > wanted.try_cast("double"))
-            .when(f["operator"] == "less_than", actual.try_cast("double") < wanted.try_cast("double")),
-            F.lit(False),
-        )
-
-    url = F.col("page.url")
+        return F.when(r["regex"].isNotNull(), F.regexp_like(value, r["regex"])).otherwise(F.contains(F.lower(value), F.lower(r["pattern"])))
+
     stored = (
-        (F.col("_event").isNotNull() | F.col("_how").isNotNull() | F.col("_filters").isNotNull())
-        & (F.col("_how").isNull() | F.when(F.col("_how") == "exact", url == F.col("_url"))
-           .otherwise(F.contains(url, F.col("_url"))))
-        & (F.col("_event").isNull() | (F.col("event_name") == F.col("_event")))
-        & (F.col("_filters").isNull() | F.forall("_filters", condition))
-    )
-    hit = (
-        F.when(F.col("kind") == "event_name", F.col("event_name") == F.col("_event"))
-        .when(F.col("kind") == "page_url", like(url))
-        .when(F.col("kind") == "page_title", like(F.col("page.title")))
-        .when(F.col("kind") == "utm_source", F.col("utm.source") == F.col("_source"))
-        .when(F.col("kind") == "custom_property",
-              F.try_element_at(F.from_json(F.col("props"), "map<string,string>"), F.col("_property"))
-              == F.col("_value"))
-        .when(F.col("kind").isin("page", "event"), stored)
-    )
-    found = events.join(rules, SCOPE).where(hit)
-    first = found.groupBy(*SCOPE, "id", *FUNNEL_COLUMNS).agg(
-        F.min(F.struct("order_index", "step_type")).alias("_first"))
+        (r["event"].isNotNull() | r["how"].isNotNull() | r["filters"].isNotNull())
+        & (r["event"].isNull() | (F.col("event_name") == r["event"]))
+        & (r["how"].isNull() | F.when(r["how"] == "exact", url == r["url"]).otherwise(F.contains(url, r["url"])))
+        & (r["filters"].isNull() | F.forall(r["filters"], lambda f: _condition(f))))
     return (
-        events.join(first, [*SCOPE, "id"])
-        .withColumn("step_order", F.col("_first.order_index"))
-        .withColumn("step_type", F.col("_first.step_type"))
-        .drop("_first")
-    )
+        F.when(r["kind"] == "event_name", F.col("event_name") == r["event"])
+        .when(r["kind"] == "page_url", like(url)).when(r["kind"] == "page_title", like(title))
+        .when(r["kind"] == "utm_source", F.col("utm.source") == r["source"])
+        .when(r["kind"] == "custom_property", _same(F.try_element_at("_values", r["property"]), r["value"]))
+        .when(r["kind"].isin(*STORED), stored))
+
+
+def _condition(f: Column, _texts: Column | str = "_texts", _values: Column | str = "_values") -> Column:
+    """One condition on an event property; an unknown operator never holds."""
+    actual, value = F.try_element_at(_texts, f["key"]), F.try_element_at(_values, f["key"])
+    wanted = F.regexp_replace(f["value"], r'^"|"$', "")
+    return F.coalesce(
+        F.when(f["operator"].isin("eq", "equals"), _same(value, f["value"]))
+        .when(f["operator"] == "contains", F.contains(actual, wanted))
+        .when(f["operator"] == "starts_with", F.startswith(actual, wanted))
+        .when(f["operator"] == "in", F.exists(f["list"], lambda x: _same(value, F.to_json(x))))
+        .when(f["operator"] == "greater_than", actual.try_cast("double") > wanted.try_cast("double"))
+        .when(f["operator"] == "less_than", actual.try_cast("double") < wanted.try_cast("double")), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import seconds_between
 from trailmark.params import FUNNEL, SCOPE, timestamp
 from trailmark.operators.matching import FUNNEL_COLUMNS
+from trailmark.sources.definitions import Definitions
 
 USER = [*FUNNEL, "anonymous_id"]
 
@@ -73,12 +74,11 @@ def progression_events(matched: DataFrame) -> DataFrame:
     )
 
 
-def strict_funnel(matched: DataFrame, max_steps: int) -> DataFrame:
+def strict_funnel(matched: DataFrame, definitions: Definitions) -> DataFrame:
     """Ordered funnels: each step after the one before it, all within the window that the entry opens.
 
     The entry is the user's first event on step 0; step k is reached at the earliest event on step k after
-    step k-1 was reached. One join per step on (funnel, visitor): the reached side has one row per user,
-    the minimum combines before it shuffles, and a hot visitor's rows are split by the skew join.
+    step k-1 was reached. One join and one aggregation per step of the longest funnel, on the same keys.
     """
     keep = ["window_days", "total_steps"]
     times = matched.select(*USER, *keep, "step_order", "timestamp")
@@ -86,17 +86,13 @@ def strict_funnel(matched: DataFrame, max_steps: int) -> DataFrame:
         times.where("step_order = 0").groupBy(*USER, *keep).agg(F.min("timestamp").alias("entered_at"))
         .withColumns({"reached_at": F.col("entered_at"), "step_reached": F.lit(0)})
     )
-    for step in range(1, max_steps):
-        before = reached.where(F.col("step_reached") == step - 1).select(*USER, *keep, "entered_at", "reached_at")
+    last = definitions.steps_of_latest().agg(F.max("order_index")).first()[0] or 0
+    for step in range(1, last + 1):
+        at = times.where(F.col("step_order") == step).select(*USER, F.col("timestamp").alias("_at"))
         deadline = F.col("entered_at") + F.make_dt_interval(days=F.col("window_days"))
-        nexts = (
-            times.where(F.col("step_order") == step).select(*USER, F.col("timestamp").alias("_at"))
-            .join(before, USER)
-            .where((F.col("_at") > F.col("reached_at")) & (F.col("_at") <= deadline))
-            .groupBy(*USER).agg(F.min("_at").alias("_next"))
-        )
-        reached = reached.join(nexts, USER, "left").withColumns({
-            "step_reached": F.when(F.col("_next").isNotNull(), F.lit(step)).otherwise(F.col("step_reached")),
-            "reached_at": F.coalesce("_next", "reached_at"),
-        }).drop("_next")
+        fits = (F.col("step_reached") == step - 1) & (F.col("_at") > F.col("reached_at")) & (F.col("_at") <= deadline)
+        reached = reached.join(at, USER, "left").groupBy(*USER, *keep, "entered_at", "reached_at", "step_reached").agg(
+            F.min(F.when(fits, F.col("_at"))).alias("_next")).withColumns({
+                "step_reached": F.when(F.col("_next").isNotNull(), F.lit(step)).otherwise(F.col("step_reached")),
+                "reached_at": F.coalesce("_next", "reached_at")}).drop("_next")
     return reached.withColumn("completed", F.col("step_reached") + 1 == F.col("total_steps"))

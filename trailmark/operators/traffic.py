@@ -131,11 +131,10 @@ def top_events(events: DataFrame, period: Period, limit: int | None = 10) -> Dat
 
 
 def top_events_trend(events: DataFrame, period: Period, limit: int = 10) -> DataFrame:
-    """Top events with their change against the previous period's top 2 * limit; absent there means stable."""
+    """Top events with their change against the whole previous period; absent there means stable."""
     now = top_events(events, period, limit)
-    before = _ranked(_event_stats(events.where(period.previous().contains("timestamp"))))
-    before = before.where(F.col("rank") <= 2 * limit).select(
-        *SCOPE, "event_name", F.col("events").alias("previous_events"))
+    before = events.where(period.previous().contains("timestamp")).groupBy(*SCOPE, "event_name").agg(
+        F.count("*").alias("previous_events"))
     change = change_percent(F.col("events"), F.col("previous_events"))
     return now.join(before, [*SCOPE, "event_name"], "left").withColumns({
         "change_pct": F.coalesce(round_half_up(change, 1), F.lit(0.0)),
@@ -210,14 +209,16 @@ def user_analytics(events: DataFrame, period: Period) -> DataFrame:
 
 
 def timeseries(events: DataFrame, period: Period, granularity: str = "day", metrics: tuple[str, ...] = METRICS,
-               timezone: str = "UTC") -> DataFrame:
-    """Metrics per hour, day or week (from Monday) in a time zone, zeros where nothing happened."""
+               timezone: str = "UTC", scopes: DataFrame | None = None) -> DataFrame:
+    """Metrics per hour, day or week (from Monday) in a time zone, zeros where nothing happened.
+
+    `scopes` adds workspaces without any event in the period.
+    """
     unknown = [m for m in metrics if m not in METRICS]
     if unknown or not 1 <= len(metrics) <= len(METRICS):
         raise ValueError(f"choose 1 to {len(METRICS)} of {METRICS}, not {metrics}")
     if granularity not in ("hour", "day", "week"):
         raise ValueError(f"unknown granularity {granularity!r}")
-    period.check_granularity(granularity)
     metrics = tuple(m for m in METRICS if m in metrics)
     local = lambda c: c if timezone == "UTC" else F.from_utc_timestamp(c, timezone)
     bucket = F.date_trunc(granularity, local(F.col("timestamp")))
@@ -226,6 +227,10 @@ def timeseries(events: DataFrame, period: Period, granularity: str = "day", metr
         inside = inside.withColumn("lead_id", F.lit(None).cast("bigint"))
     counts = _traffic(_visits(inside, [*SCOPE, "period"]), [*SCOPE, "period"], metrics)
     ends = [F.date_trunc(granularity, local(timestamp(t))) for t in (period.start, period.end)]
+    if scopes is not None:
+        quiet = scopes.select(*SCOPE).distinct().join(counts.select(*SCOPE).distinct(), SCOPE, "left_anti")
+        zeros = {m: F.lit(0).cast("bigint") for m in metrics}
+        counts = counts.select(*SCOPE, "period", *metrics).unionByName(quiet.withColumn("period", ends[0]).withColumns(zeros))
     return fill_gaps(counts, SCOPE, "period", metrics, *ends, granularity)
 
 
@@ -276,7 +281,11 @@ def page_of(details: DataFrame, page: int = 1, limit: int = 50, sort_by: str = "
 def segment_filters(events: DataFrame, *, device_types: list[str] | None = None, utm_sources: list[str] | None = None,
                     countries: list[str] | None = None, user_type: str | None = None,
                     period: Period | None = None) -> DataFrame:
-    """Events of the chosen devices, sources, countries and of new or returning visitors of the period."""
+    """Events of the chosen devices, sources, countries and of new or returning visitors of the period.
+
+    A visitor returns who had any event before the period, of whatever device, source or country.
+    """
+    history = events
     for column, values in (("device.type", device_types), ("utm.source", utm_sources), ("geo.country", countries)):
         if values:
             events = events.where(F.col(column).isin(values))
@@ -284,21 +293,32 @@ def segment_filters(events: DataFrame, *, device_types: list[str] | None = None,
         return events
     if period is None:
         raise ValueError("new and returning visitors need a period")
-    earlier = events.where(F.col("timestamp") < timestamp(period.start)).select(*SCOPE, "anonymous_id").distinct()
+    earlier = history.where(F.col("timestamp") < timestamp(period.start)).select(*SCOPE, "anonymous_id").distinct()
     how = {"returning": "left_semi", "new": "left_anti"}[user_type]
     return events.where(period.contains("timestamp")).join(earlier, [*SCOPE, "anonymous_id"], how)
 
 
 def sample_users(events: DataFrame, rate_: float) -> DataFrame:
-    """A deterministic share of the visitors, whole visitors only. Sampling is the feature here."""
-    if not 0.1 <= rate_ <= 1.0:
-        raise ValueError("sampling rate is 0.1 to 1.0")
-    return events.where(F.pmod(F.xxhash64("anonymous_id"), F.lit(1000)) < int(rate_ * 1000))
+    """A share of the visitors by the hash of their id, whole visitors only. Sampling is the feature here."""
+    if not 0 < rate_ <= 1:
+        raise ValueError("a sampling rate is above 0 and at most 1")
+    if rate_ == 1:
+        return events
+    return events.where(F.substring(F.md5(F.col("anonymous_id").cast("binary")), 1, 8) < f"{int(rate_ * 16**8):08x}")
 
 
 def approximate_counts(events: DataFrame, period: Period) -> DataFrame:
     """Overview counts by sketches of fixed size: one pass, nothing distinct is shuffled."""
     return events.where(period.contains("timestamp")).groupBy(*SCOPE).agg(
-        F.count("*").alias("events"), F.approx_count_distinct("anonymous_id").alias("visitors"),
-        F.approx_count_distinct("session_id").alias("sessions"),
-        F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.9)), F.lit(10000)).alias("value_percentiles"))
+        F.count("*").alias("events"), F.approx_count_distinct("anonymous_id", 0.01).alias("visitors"),
+        F.approx_count_distinct("session_id", 0.01).alias("sessions"))
+
+
+def sampled_overview(events: DataFrame, period: Period, rate_: float) -> DataFrame:
+    """Counts of a sample of the visitors, and whether the sketches of them come within 5 %."""
+    sample = sample_users(events, rate_)
+    exact = sample.where(period.contains("timestamp")).groupBy(*SCOPE, "anonymous_id").agg(F.count("*").alias("n")).groupBy(
+        *SCOPE).agg(F.sum("n").alias("events"), F.count("anonymous_id").alias("visitors"))
+    about = approximate_counts(sample, period).select(*SCOPE, F.col("visitors").alias("about"))
+    close = F.abs(F.col("about") - F.col("visitors")) <= 0.05 * F.col("visitors")
+    return exact.join(about, SCOPE).select(*SCOPE, "events", "visitors", close.alias("approximation_close"))

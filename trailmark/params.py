@@ -1,4 +1,4 @@
-"""Periods and limits: plain parameters worked out on the driver, no data touched."""
+"""Periods: plain parameters worked out on the driver, no data touched."""
 
 from __future__ import annotations
 
@@ -11,17 +11,7 @@ from pyspark.sql import functions as F
 SCOPE = ["tenant_id", "workspace_id"]
 FUNNEL = [*SCOPE, "funnel_id"]
 
-# Longest range, in days, each kind of analysis accepts.
-RANGE_LIMIT_DAYS = {
-    "conversion": 90,
-    "paths": 90,
-    "attribution": 180,
-    "comparison": 180,
-    "timing": 730,
-    "generic": 365,
-}
-# Longest range, in days, each time-series granularity accepts.
-GRANULARITY_LIMIT_DAYS = {"hour": 31, "day": 365}
+# Names of relative periods.
 PRESET_HOURS = {"24h": 24, "7d": 24 * 7, "30d": 24 * 30}
 
 
@@ -71,18 +61,6 @@ class Period:
             return "hour"
         return "day" if self.length <= timedelta(days=30) else "week"
 
-    def check(self, kind: str = "generic") -> Period:
-        limit = RANGE_LIMIT_DAYS[kind]
-        if self.length > timedelta(days=limit):
-            raise ValueError(f"{kind} accepts at most {limit} days")
-        return self
-
-    def check_granularity(self, unit: str) -> Period:
-        limit = GRANULARITY_LIMIT_DAYS.get(unit)
-        if limit is not None and self.length > timedelta(days=limit):
-            raise ValueError(f"{unit} granularity accepts at most {limit} days")
-        return self
-
 
 def timestamp(value: datetime | date | str) -> Column:
     if isinstance(value, datetime):

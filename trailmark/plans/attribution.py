@@ -21,8 +21,7 @@ t0 AS (SELECT {S}, id, anonymous_id, COALESCE(CAST(lead_id AS VARCHAR), anonymou
          regexp_replace(page_referrer, 'https?://([^/]+).*', '\\1') AS referrer_domain
        FROM e WHERE "timestamp" >= TIMESTAMP '2024-01-30 23:59:59.999' - INTERVAL 30 DAY
          AND "timestamp" <= TIMESTAMP '2024-01-30 23:59:59.999'),
-tp AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {S}, user_id ORDER BY "timestamp", id) AS touchpoint_order
-         FROM t0) WHERE touchpoint_order <= 20),
+tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {S}, user_id ORDER BY "timestamp", id) AS touchpoint_order FROM t0),
 tj AS (SELECT {S}, user_id, anonymous_id, COUNT(*) AS touches, MIN("timestamp") AS first_at, MAX("timestamp") AS last_at,
          COUNT(DISTINCT touchpoint_type) AS channels, COUNT(*) >= 3 AS converted FROM tp GROUP BY 1, 2, 3, 4
        HAVING MIN("timestamp") {sql.WHOLE})"""

@@ -29,7 +29,8 @@ def _marked(i: Inputs):
 @query("funnel_compare", oracle("st", f"""{COMPARED}
 SELECT {G}, entries, conversions, conversion_rate, {rnd('avg_seconds', 3)} AS avg_seconds,
   ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY entries DESC, funnel_id) AS volume_rank,
-  least(100.0, conversion_rate * 10) AS quality_score, least(100.0, conversion_rate * 2 + 70) AS engagement_score, compared FROM c"""))
+  least(100.0, conversion_rate * 10) AS quality_score, least(100.0, conversion_rate * 2 + 70) AS engagement_score, compared,
+  CASE WHEN compared < 2 THEN 'too_few' WHEN compared > 5 THEN 'too_many' ELSE 'ok' END AS status FROM c"""))
 def funnel_compare(i: Inputs):
     return rounded(_compared(i), 3, "avg_seconds")
 

@@ -81,8 +81,8 @@ def matched(i: Inputs):
 
 @query("join_funnel_match", MATCHED_SQL)
 def join_funnel_match(i: Inputs):
-    """The same matches with rules joined as rows."""
-    return _matched(match_funnel_events(i.anonymous_events, i.defs, mode="joined"))
+    """The matches as a join of events with the rules of their workspace."""
+    return _matched(match_funnel_events(i.anonymous_events, i.defs))
 
 
 @query("funnel_user_state", oracle("st", f"""
@@ -150,7 +150,7 @@ SELECT {G}, anonymous_id, {tstext('t0')} AS entered_at, {tstext('COALESCE(t3, t2
   CASE WHEN funnel_id < 20 THEN t3 WHEN funnel_id < 30 THEN t2 ELSE t1 END IS NOT NULL AS completed
 FROM t3"""))
 def strict(i: Inputs):
-    rows = strict_funnel(i.matched, max_steps=4).select(
+    rows = strict_funnel(i.matched, i.defs).select(
         *FUNNEL, "anonymous_id", "entered_at", "reached_at", "step_reached", "completed")
     return texts(longs(rows, "step_reached"), "entered_at", "reached_at")
 

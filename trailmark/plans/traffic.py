@@ -98,7 +98,7 @@ c AS ({TOP.format(period=sql.CURRENT)}), p AS ({TOP.format(period=sql.PREVIOUS)}
 j AS (SELECT c.*, p.events AS pe, CASE WHEN p.events > 0 THEN CAST(c.events - p.events AS DOUBLE) / p.events * 100.0
              ELSE 0.0 END AS change
       FROM c LEFT JOIN p ON p.tenant_id = c.tenant_id AND p.workspace_id = c.workspace_id
-           AND p.event_name = c.event_name AND p.rank <= 20 WHERE c.rank <= 10)
+           AND p.event_name = c.event_name WHERE c.rank <= 10)
 SELECT tenant_id, workspace_id, {TOP_COLUMNS}, COALESCE(pe, 0) AS previous_events, {rnd('change', 1)} AS change_pct,
   CASE WHEN abs(change) < 5 THEN 'stable' WHEN change > 0 THEN 'up' ELSE 'down' END AS direction FROM j"""))
 def top_events_trend(i: Inputs):
@@ -239,6 +239,8 @@ def join_exists(i: Inputs):
     return kinds[0].unionByName(kinds[1])
 
 
-@query("sampling")
+@query("sampling", oracle("e", f"""
+SELECT tenant_id, workspace_id, COUNT(*) AS events, COUNT(DISTINCT anonymous_id) AS visitors, TRUE AS approximation_close
+FROM e WHERE substr(md5(anonymous_id), 1, 8) < '80000000' AND "timestamp" {sql.WHOLE} GROUP BY 1, 2"""))
 def sampling(i: Inputs):
-    return traffic.approximate_counts(traffic.sample_users(i.anonymous_events, 0.5), WHOLE)
+    return traffic.sampled_overview(i.anonymous_events, WHOLE, 0.5)

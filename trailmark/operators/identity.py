@@ -60,14 +60,16 @@ def resolve_identifies(identifies: DataFrame) -> DataFrame:
 
     An e-mail decides; a phone counts only without an e-mail, and then finds the e-mail lead that holds the
     phone after the batch (the oldest, if several do). The lookup has one row per phone, so a phone that a
-    third of the identifies share is a skewed but splittable join.
+    third of the identifies share is a skewed but splittable join; only identifies that need it take part.
     """
     holders = email_leads(identifies).where(F.col("phone_fingerprint").isNotNull()).groupBy(
         *SCOPE, "phone_fingerprint").agg(F.min(F.struct("created_at", "email_fingerprint")).alias("_holder"))
     own = lead_key(F.col("email_fingerprint"), F.col("phone_fingerprint"), F.col("id"))
-    by_phone = F.when(F.col("email_fingerprint").isNull(), F.concat(F.lit("e:"), F.col("_holder.email_fingerprint")))
-    return identifies.join(holders, [*SCOPE, "phone_fingerprint"], "left").withColumn(
-        "lead_key", F.coalesce(by_phone, own)).drop("_holder")
+    by_phone = F.coalesce(F.concat(F.lit("e:"), F.col("_holder.email_fingerprint")), own)
+    needs = F.col("email_fingerprint").isNull() & F.col("phone_fingerprint").isNotNull()
+    asked = identifies.where(needs).join(holders, [*SCOPE, "phone_fingerprint"], "left").select(
+        *identifies.columns, by_phone.alias("lead_key"))
+    return asked.unionByName(identifies.where(~needs).withColumn("lead_key", own))
 
 
 def resolve_leads(resolved: DataFrame) -> DataFrame:

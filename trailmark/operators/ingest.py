@@ -18,7 +18,7 @@ SESSION_PATTERN = r"^s_[A-Za-z0-9_]+$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 SEMVER_PATTERN = r"^(\d+)\.(\d+)\.(\d+)(-[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?(\+[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?$"
 DEFAULT_SCHEMA_VERSION = "1.0"
-# Address headers, most trusted first.
+# Address headers, most trusted first, and the forms of addresses.
 ADDRESS_HEADERS = ("x_forwarded_for", "x_real_ip", "x_client_ip", "cf_connecting_ip", "x_forwarded", "forwarded_for",
                    "forwarded")
 IPV4_PATTERN = r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
@@ -32,8 +32,9 @@ def _outside(value: Column, longest: int) -> Column:
 
 
 def _not_object(value: Column) -> Column:
-    """JSON text that is present and not an object."""
-    return value.isNotNull() & ~F.trim(value).startswith("{")
+    """Text that is present and not a JSON object."""
+    kind = F.schema_of_variant(F.try_parse_json(value))
+    return value.isNotNull() & ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))
 
 
 def timestamp_error(at: Column, arrived: Column) -> Column:
@@ -117,11 +118,13 @@ def dedup_events(events: DataFrame, at: str = "ingested_at", tie: str = "id") ->
 
 
 def mark_duplicates(events: DataFrame, at: str = "ingested_at", tie: str = "id") -> DataFrame:
-    """Adds `is_duplicate`: not the first row of its (tenant, event_id)."""
-    keys = ["tenant_id", "event_id"]
-    first = events.where(F.col("event_id").isNotNull()).groupBy(*keys).agg(F.min(F.struct(at, tie)).alias("_first"))
-    return events.join(first, keys, "left").withColumn(
-        "is_duplicate", F.coalesce(F.struct(at, tie) > F.col("_first"), F.lit(False))).drop("_first")
+    """Adds `is_duplicate`: not the first row of its (tenant, event_id). Rows without an event_id need no join."""
+    keys, columns = ["tenant_id", "event_id"], events.columns
+    named = events.where(F.col("event_id").isNotNull())
+    first = named.groupBy(*keys).agg(F.min(F.struct(at, tie)).alias("_first"))
+    marked = named.join(first, keys, "left").select(
+        *columns, F.coalesce(F.struct(at, tie) > F.col("_first"), F.lit(False)).alias("is_duplicate"))
+    return marked.unionByName(events.where(F.col("event_id").isNull()).withColumn("is_duplicate", F.lit(False)))
 
 
 # ---------------------------------------------------------------- enrichment

@@ -54,6 +54,9 @@ def read_folded(spark: SparkSession, path: str, fold: Fold) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, fold: Fold, into: str) -> None:
-    """Folds all changes into a fresh folder; the caller points readers and the next writer at it."""
+    """Folds all changes into a fresh folder; the caller points readers and the next writer at it.
+
+    The folded history stands before batch 0, so a writer with a fresh checkpoint cannot overwrite it.
+    """
     fold(spark.read.option("basePath", path).parquet(path).drop("batch")).write.mode("errorifexists").parquet(
-        f"{into}/batch=0")
+        f"{into}/batch=-1")

@@ -13,8 +13,9 @@ The boundary is the size at which the cost over all sets, from their sizes and t
 
 Nothing is made for all pairs of a bucket: each bucket first compares its members with one pivot. Members linked to it
 are one component then, and pairs inside a component need no comparison; only members of a bucket that are still in
-different components are compared in a second round. The links found so connect exactly the documents that all links
-connect.
+different components are compared in a second round. The pivot is the member in whose order the shingle stands first. The links found so connect exactly the documents that all links
+connect. A pair of a bucket counts only where the shared shingle stands early enough in both prefixes for their sizes,
+and its prefixes must allow the similarity before its sets are fetched.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.tables import text_rows, written
@@ -121,8 +122,8 @@ def prefix_of(shingles: np.ndarray, ranks: np.ndarray, light_most: int, similari
     order = in_order(shingles, ranks)
     pairs = np.zeros(0, dtype=np.uint64)
     if size <= light_most:
-        first = np.sort(shingles[order[:spare + 2]])
-        i, j = np.triu_indices(len(first), 1)
+        first = shingles[order[:spare + 2]]
+        i, j = np.triu_indices(len(first), 1)  # in the order that postings_of places them
         pairs = mixed(mixed(first[i]) + first[j])
     listed = size > light_most or size * bottom >= (light_most + 1) * top
     return pairs.view(np.int64), shingles[order[:spare + 1]].view(np.int64), listed
@@ -290,32 +291,33 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
                       .withColumn("node", F.monotonically_increasing_id()), "classes")
     sides = rows.where(F.size("prefix") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     sides = written(sides.select("node", F.col("n_shingles").alias("n"), "pairs", "prefix", "listed"), "sides")
-    keys = F.when(F.col("listed"), F.concat("pairs", "prefix")).otherwise(F.col("pairs"))
-    postings = sides.select("node", "n", F.explode(keys).alias("key"))
-    busy = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"),
-                                       F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = written(postings.join(busy, "key").select("key", "node", "n", "pivot", "pivot_n"), "shared")
-
-    def near(x: str, y: str):
-        return F.least(x, y) * similarity[1] >= F.greatest(x, y) * similarity[0]
+    postings = postings_of(sides)
+    # the pivot has the fewest rarer shingles: of near copies it is the one with the fewest edits
+    busy = postings.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("at"), F.count(F.lit(1)).alias("members"))
+    shared = postings.join(busy.where("members > 1"), "key").select(
+        "key", "node", "n", "place", F.col("at.node").alias("pivot"), F.col("at.n").alias("pivot_n"), F.col("at.place").alias("pivot_place"))
+    shared = written(shared, "shared")
 
     def checked(pairs: DataFrame) -> DataFrame:
         hopeful = written(likely(pairs, sides, ranks, similarity), "likely")
         sets = written(sets_of(texts, classes, ends_of(hopeful), width), "sets")
         return linked(hopeful, sets, similarity)
 
-    stars = written(shared.where((F.col("node") != F.col("pivot")) & near("n", "pivot_n"))
+    stars = written(shared.where((F.col("node") != F.col("pivot")) & may_link("n", "place", "pivot_n", "pivot_place", similarity))
                     .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = written(checked(stars), "links")
     roots = components(links)
 
-    placed = shared.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.select("key", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     mixed_keys = parts.groupBy("key").agg(F.max_by("root", "members").alias("major"), F.count(F.lit(1)).alias("parts"))
-    open_ = written(placed.join(mixed_keys.where("parts > 1"), "key").select("key", "node", "n", "root", "major"), "open")
-    minor = open_.where("root <> major").select("key", F.col("node").alias("x"), F.col("n").alias("x_n"),
-                                                F.col("root").alias("x_root"))
-    rest = minor.join(open_, "key").where((F.col("root") != F.col("x_root")) & near("n", "x_n"))
+    open_ = placed.join(mixed_keys.where("parts > 1"), "key").select("key", "node", "n", "place", "root", (F.col("root") != F.col("major")).alias("minor"))
+    open_ = written(open_, "open")
+    # one of a pair is outside the bucket's largest component, and the smaller set has the shingle early
+    smaller = open_.where(is_early("n", "place", similarity)).toDF("key", "x", "x_n", "x_place", "x_root", "x_minor")
+    open_link = (F.col("root") != F.col("x_root")) & (F.col("x_n") <= F.col("n")) & may_link("n", "place", "x_n", "x_place", similarity)
+    rest = smaller.where("x_minor").join(open_, "key").where(open_link).unionByName(
+        smaller.where("not x_minor").join(open_.where("minor"), "key").where(open_link))
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -329,5 +331,35 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     return out.select("doc_id", "n_shingles", "component_id").union(alone)
 
 
+def postings_of(sides: DataFrame) -> DataFrame:
+    """(node, n, key, place): the buckets of each set, with the shingle's place in its prefix (for pairs of shingles
+    the second's, less one: that many others may stand before a shared pair)."""
+    entry = "transform(prefix, (k, i) -> struct(k as key, cast(i as bigint) as place))"
+    first = "size(prefix) + 1"  # shingles that the pairs are of
+    places = f"flatten(transform(sequence(0, {first} - 2), i -> sequence(cast(i as bigint), cast({first} - 2 as bigint))))"
+    pairs = f"if(size(pairs) > 0, zip_with(pairs, {places}, (k, p) -> struct(k as key, p as place)), array())"
+    entries = F.expr(f"concat({pairs}, if(listed, {entry}, array()))")
+    return sides.select("node", "n", F.explode(entries).alias("e")).select("node", "n", "e.key", "e.place")
+
+
+def shared_by(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
+    """Fewest shingles that linked sets of these sizes share."""
+    top, bottom = similarity
+    return F.floor(((n + m) * top + (top + bottom - 1)) / (top + bottom))
+
+
+def may_link(n: str, place: str, m: str, other: str, similarity: tuple[int, int]) -> Column:
+    """Whether the sizes allow a link, and whether the shared shingle stands early enough in both for enough to follow."""
+    n, m = F.col(n), F.col(m)
+    least = shared_by(n, m, similarity)
+    near = F.least(n, m) * similarity[1] >= F.greatest(n, m) * similarity[0]
+    return near & (F.col(place) <= n - least) & (F.col(other) <= m - least)
+
+
+def is_early(n: str, place: str, similarity: tuple[int, int]) -> Column:
+    """Whether a shingle stands early enough for a link to a set of the same size or a larger one."""
+    return F.col(place) <= F.col(n) - shared_by(F.col(n), F.col(n), similarity)
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

@@ -281,6 +281,53 @@ def test_ppm_probabilities_sum_to_one():
         assert sum(10 ** x for x in lp.values()) < 1
 
 
+def plain_ppm(training, text):
+    """Symbol by symbol, every context of whole texts counted."""
+    def stream(t):
+        return [-1] * ppm.ORDER + [b for w in words(t) for b in w.encode() + b" "] + [256]
+
+    follow = defaultdict(Counter)
+    for t in training:
+        x = stream(t)
+        for k in range(ppm.ORDER, len(x)):
+            for order in range(ppm.ORDER + 1):
+                follow[tuple(x[k - order:k])][x[k]] += 1
+    x, out = stream(text), 0.0
+    for k in range(ppm.ORDER, len(x)):
+        gone = set()
+        for order in range(ppm.ORDER, -1, -1):
+            left = {s: n for s, n in follow.get(tuple(x[k - order:k]), {}).items() if s not in gone}
+            if left and x[k] in left:
+                out += math.log10((left[x[k]] - 0.5) / sum(left.values()))
+                break
+            if left:
+                out += math.log10(len(left) / (2 * sum(left.values())))
+                gone |= left.keys()
+        else:
+            out -= math.log10(257 - len(gone))
+    return out
+
+
+@pytest.mark.parametrize("part, chunk", [(10**6, 10**6), (300, 600)])
+def test_ppm_contexts_cross_words(spark, monkeypatch, part, chunk):
+    """Scores are those of the plain model, whatever the ranges, and a shuffled passage scores worse than the passage."""
+    monkeypatch.setattr(ppm, "PART_WORDS", part)
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", chunk)
+    rng = np.random.default_rng(8)
+    vocabulary = ["on", "the", "hill", "Über", "stood", "a", "house", "of", "stone", "漢字"]
+    texts = [" ".join(rng.choice(vocabulary, 12)) for _ in range(40)] + [None, " A "]
+    passage = texts[0].split()
+    texts += [" ".join(passage), " ".join(passage[::-1]), "never seen\tqqq \n a"]
+    held = len(texts) - 3
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.ppm_scores(df, F.col("doc_id") >= held).collect()}
+    assert got[held] > got[held + 1]
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i], plain_ppm(texts[:held], text), rel_tol=1e-9)
+
+
 def test_ppm_awkward(spark):
     rows = sorted(ppm.ppm_scores(awkward(spark)).collect(), key=repr)
     assert len(rows) == len(AWKWARD)

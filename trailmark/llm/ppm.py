@@ -1,30 +1,29 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
-A text is its words (A-Z lowered) and one end token, the empty word. A word is coded byte by byte and closed by an end
-symbol. Contexts do not cross the start of a word. The context of a byte is, longest first:
-
-* the whole word so far, a node of the trie of all training words, where that node was seen `TRUSTED` times or more;
-* the last 4, 3, 2, 1 and 0 bytes, the word's start included as a byte. Contexts of 3 and 4 bytes are hashed to 2^16
-  slots, so all of these tables together have at most 5 * 2^16 * 257 counts, whatever the corpus.
-
-A context gives a seen symbol (n - 1/2) / T and the escape D / 2T (T: symbols seen, D: different ones); symbols of a
-context that was escaped from are excluded below it; the last resort is uniform over the symbols left. So the
-probabilities of all texts sum to one.
-
-The trie grows with the corpus and stays distributed: the sorted vocabulary is range-partitioned, a partition holds
-the trie below its words, and only nodes on the paths of a partition's first and last word need counts of others.
-Words are scored once for the whole corpus; each chunk of documents fetches the scores of its own distinct words.
+A text is its words (A-Z lowered), each closed by a space, and an end symbol: a stream of bytes over whole texts, in
+which contexts cross words. The context of a symbol is the last ORDER, ORDER - 1, ..., 0 symbols; before a text stand
+start symbols. A context gives a seen symbol (n - 1/2) / T and the escape D / 2T (T: symbols seen, D: different ones);
+symbols of a context that was escaped from are excluded below it; the last resort is uniform over the symbols left. So
+the probabilities of all texts sum to one.
+
+A context of ORDER bytes and its symbol are one 64-bit number, exactly, the nearest byte first (a gram). So the sorted
+grams are the trie of all orders: the grams of a shorter context stand together, and its counts are sums over them.
+The trie grows with the corpus and stays distributed: chunks of documents count their distinct grams, which are split
+at range bounds and sent as sorted blocks; a range holds the trie of its grams, and only contexts that a bound
+falls into (prefixes of the bound) need counts of other ranges. A gram is scored once for the whole corpus; each chunk gets
+back the scores of its own grams, in their order, and sums them over the positions of its documents.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,99 +32,337 @@ from trailmark.llm.words import slices
 
 END = 256
 SYMBOLS = 257
-ORDERS = (4, 3, 2, 1, 0)
-TRUSTED = 2
-CHUNK_BYTES = 32 << 20  # text that is scored together in one task
-PART_WORDS = 40_000  # vocabulary words of a range partition
-FLUSH = 400_000  # distinct words a counting task holds
+ORDER = 7
+START_BYTE, END_BYTE = 13, 10  # in grams; neither is a byte of the stream
+CHUNK_BYTES = 24 << 20  # text that is scored together in one task
+PART_WORDS = 1_000_000  # grams of a range, over all chunks
+SLICE = 2 << 20  # bytes of text whose grams are made together
+BLOCK = 250_000  # grams of a written block
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 # --- counting -------------------------------------------------------------------------------------------------------
 
-def chunked(documents: DataFrame, held_out: Column) -> tuple[DataFrame, int]:
-    """Rows dealt to chunks of about CHUNK_BYTES of text by a hash of the row, and their number."""
+def chunked(documents: DataFrame, held_out: Column) -> DataFrame:
+    """Rows dealt to chunks of about CHUNK_BYTES of text by a hash of the row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                             held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """A sorted block of grams: differences, byte by byte of all, compressed."""
+    if not len(keys):
+        return b""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked_keys(block: bytes) -> np.ndarray:
+    if not block:
+        return np.zeros(0, dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(block), dtype=np.uint8).reshape(8, -1).T).view(
+        np.uint64).ravel(), dtype=np.uint64)
+
+
+def reduced(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def merged(known: np.ndarray, counts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with counts (changed in place), and others of them put in; little memory besides."""
+    at = np.searchsorted(known, keys)
+    old = at < len(known)
+    old[old] = known[at[old]] == keys[old]
+    counts[at[old]] += n[old]
+    return np.insert(known, at[~old], keys[~old]), np.insert(counts, at[~old], n[~old])
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def grams_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of texts given by their words, and the number of each text's."""
+    start = bytes([START_BYTE]) * ORDER
+    streams = [start + b" ".join([*words, bytes([END_BYTE])]) for words in texts]
+    lengths = np.array([len(x) for x in streams], dtype=np.int64)
+    data = np.frombuffer(b"".join(streams), dtype=np.uint8).astype(np.uint64)
+    out = data[ORDER:].copy()
+    for back in range(1, ORDER + 1):
+        out |= data[ORDER - back:len(data) - back] << np.uint64(8 * (8 - back))
+    firsts = np.cumsum(lengths) - lengths
+    inside = np.ones(len(data), dtype=bool)
+    inside[(firsts[:, None] + np.arange(ORDER)).ravel()] = False
+    return out[inside[ORDER:]], lengths - ORDER
+
+
+def texts_of(docs: pa.Table) -> Iterator[tuple[list[list[bytes]], list[bool]]]:
+    """The words of documents and whether they are held out, by stretches of their text."""
+    for batch in docs.combine_chunks().to_batches():
+        held = batch.column("held_out").to_pylist()
+        for low, high, data, offsets in slices(batch.column("text"), SLICE):
+            raw, where = data.tobytes().translate(FOLD), offsets.tolist()
+            yield [raw[a:b].split() for a, b in zip(where, where[1:])], held[low:high]
+
+
+def chunk_counts(rows: DataFrame) -> DataFrame:
+    """Of each chunk its distinct words, the end token among them, and its distinct grams, with their counts in training
+    rows: (chunk, word, n) and sorted blocks (chunk, grams, counts, size)."""
+
+    def count(docs: pa.Table) -> pa.Table:
+        chunk, seen = docs["chunk"][0].as_py(), Counter()
+        known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for texts, held in texts_of(docs):
+            for is_held in (False, True):
+                some = [words for words, h in zip(texts, held) if bool(h) == is_held]
+                if not some:
+                    continue
+                for words in some:
+                    words = [*words, b""]
+                    seen.update(dict.fromkeys(words, 0) if is_held else words)
+                keys, n = counted(grams_of(some)[0])
+                known, counts = merged(known, counts, keys, 0 * n if is_held else n)
+        words, grams = len(seen), range(0, len(known), BLOCK)
+        blocks = [(packed_keys(known[k:k + BLOCK]), zlib.compress(counts[k:k + BLOCK].tobytes(), 1), len(known[k:k + BLOCK])) for k in grams]
+        keys, numbers, sizes = zip(*blocks)
+        return pa.table({
+            "chunk": pa.array([chunk] * (words + len(blocks)), pa.int32()), "word": pa.array([*seen, *[None] * len(blocks)], pa.binary()),
+            "n": pa.array([*seen.values(), *[None] * len(blocks)], pa.int64()), "grams": pa.array([*[None] * words, *keys], pa.binary()),
+            "counts": pa.array([*[None] * words, *numbers], pa.binary()), "size": pa.array([*[None] * words, *sizes], pa.int64())})
+
+    return rows.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(
+        count, "chunk int, word binary, n long, grams binary, counts binary, size long")
+
+
+# --- the trie -------------------------------------------------------------------------------------------------------
+
+def context_of(keys: np.ndarray, order: int) -> np.ndarray:
+    """The last `order` bytes of the grams' contexts, as numbers."""
+    return keys >> np.uint64(8 * (8 - order)) if order else np.zeros_like(keys)
+
+
+def shorter(pairs: np.ndarray) -> np.ndarray:
+    """(context, symbol) numbers without the farthest byte of the context."""
+    return pairs >> np.uint64(16) << np.uint64(8) | pairs & np.uint64(255)
+
+
+def bounds_of(blocks: DataFrame, parts: int, size: int) -> np.ndarray:
+    """Gram values that cut all grams into about so many ranges of equal size, from about 100 grams a range."""
+    step = max(1, size // (100 * parts))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("grams").to_pylist():
+                keys = unpacked_keys(block)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(keys[len(keys) % step // 2::step].view(np.int64), pa.int64())})
+
+    if parts == 1:
+        return np.zeros(0, dtype=np.uint64)
+    sample = np.sort(blocks.select("grams").mapInArrow(some, "gram long").toArrow()["gram"].to_numpy().view(np.uint64))
+    return np.unique(sample[np.linspace(0, len(sample), parts + 1).astype(int)[1:-1]])
 
 
-def chunk_words(rows: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, word, n): distinct words of each chunk, the end token among them, with their count in training rows."""
+def shared_counts(blocks: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(part, length, pair, n): what follows contexts that a bound falls into, for the ranges on either side."""
+    spark = blocks.sparkSession
+    cuts = spark.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {}
-        trained: dict[int, Counter] = {}
+        held = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))] * (ORDER + 1)
+        edges = [np.unique(context_of(cuts.value, order)) for order in range(ORDER + 1)]
+        for batch in batches:
+            for block, numbers in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist()):
+                keys, n = unpacked_keys(block), np.frombuffer(zlib.decompress(numbers), dtype=np.int64)
+                keys, n = keys[n > 0], n[n > 0]
+                for order in range(ORDER, -1, -1):
+                    if order < ORDER:  # a longer context that a bound falls into is part of a shorter one
+                        keys, n = reduced(shorter(keys), n)
+                    own = np.isin(keys >> np.uint64(8), edges[order])
+                    held[order] = reduced(np.concatenate([held[order][0], keys[own]]), np.concatenate([held[order][1], n[own]]))
+        for order, (pairs, n) in enumerate(held):
+            yield pa.RecordBatch.from_pydict({"length": pa.array([order] * len(pairs), pa.int32()), "pair": pa.array(pairs.view(np.int64), pa.int64()),
+                                              "n": pa.array(n, pa.int64())})
+
+    totals = blocks.select("grams", "counts").mapInArrow(run, "length int, pair long, n long").groupBy("length", "pair").agg(F.sum("n").alias("n"))
+    near = [(part, order, int(x)) for order in range(ORDER + 1) for k, x in enumerate(context_of(bounds, order).view(np.int64).tolist())
+            for part in (k, k + 1)]
+    near = spark.createDataFrame(sorted(set(near)), "part int, length int, context long")
+    return totals.withColumn("context", F.shiftrightunsigned("pair", 8)).join(near, ["length", "context"]).select("part", "length", "pair", "n")
+
+
+def positions(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where numbers stand in a sorted array, -1 where they do not."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, shared: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each of a range's sorted distinct grams; `shared`: by order, (context, symbol) and counts of
+    the contexts that other ranges hold parts of."""
+    out = np.zeros(len(keys))
+    todo = np.arange(len(keys))
+    pairs, n = keys[counts > 0], counts[counts > 0]
+    symbol = keys & np.uint64(255)
+    above = None  # the order above: its pairs, contexts, different symbols, and where the grams' contexts are
+    for order in range(ORDER, -1, -1):
+        if order < ORDER:
+            pairs, n = reduced(shorter(pairs), n)
+        table, number = pairs, n
+        if order in shared:
+            whole, m = shared[order]
+            own = ~np.isin(pairs >> np.uint64(8), whole >> np.uint64(8))
+            table, number = reduced(np.concatenate([pairs[own], whole]), np.concatenate([n[own], m]))
+        contexts, first = np.unique(table >> np.uint64(8), return_index=True)
+        total = np.add.reduceat(number, first) if len(first) else number
+        different = np.diff(np.append(first, len(table)))
+        context = context_of(keys[todo], order)
+        at = positions(contexts, context)
+        rest, left = np.where(at >= 0, total[at], 0) if len(total) else np.zeros(len(at)), np.where(at >= 0, different[at], 0) if len(total) else np.zeros(len(at))
+        if above is not None and len(above[0]):
+            longer, starts, several, place = above
+            gone = np.add.reduceat(number[positions(table, shorter(longer))], starts)
+            rest = rest - np.where(place >= 0, gone[place], 0)
+            left = left - np.where(place >= 0, several[place], 0)
+        seen = positions(table, context << np.uint64(8) | symbol[todo])
+        open_ = left > 0
+        hit = open_ & (seen >= 0)
+        out[todo[hit]] += np.log10((number[seen[hit]] - 0.5) / rest[hit])
+        miss = open_ & ~hit
+        out[todo[miss]] += np.log10(left[miss] / (2 * rest[miss]))
+        todo, at = todo[~hit], at[~hit]
+        above = table, first, different, at
+    out[todo] -= math.log10(SYMBOLS - len(above[0]))
+    return out
 
-        def emit():
-            for chunk, words in seen.items():
-                counts = trained.get(chunk, {})
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array([chunk] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary()),
-                    "n": pa.array([counts.get(w, 0) for w in words], pa.int64())})
-            seen.clear()
-            trained.clear()
 
-        for batch in batches:
-            for low, high, data, offsets in slices(batch.column("text")):
-                raw, where = data.tobytes().translate(FOLD), offsets.tolist()
-                part = batch.slice(low, high - low)
-                for a, b, chunk, held in zip(where, where[1:], part.column("chunk").to_pylist(),
-                                             part.column("held_out").to_pylist()):
-                    words = raw[a:b].split()
-                    words.append(b"")
-                    seen.setdefault(chunk, Counter()).update(words) if held else trained.setdefault(
-                        chunk, Counter()).update(words)
-                for chunk, counts in trained.items():
-                    seen.setdefault(chunk, Counter()).update(dict.fromkeys(counts, 0))
-                if sum(map(len, seen.values())) > FLUSH:
-                    yield from emit()
-        yield from emit()
-
-    dealt = rows.repartition(chunks, "chunk").select("chunk", "held_out", "text")
-    return dealt.mapInArrow(run, "chunk int, word binary, n long")
-
-
-def context_keys(before: np.ndarray, order: int) -> np.ndarray:
-    """Keys of contexts of this order, given as a number of their last bytes."""
-    value = before.astype(np.uint64)
-    if order > 2:
-        value = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-    return (np.uint64(order) << np.uint64(16) | value).astype(np.int64)
-
-
-def low_counts(vocabulary: DataFrame) -> pa.Table:
-    """(code, n): how often each symbol follows each context of ORDERS; code is context key * 512 + symbol."""
+def scored_blocks(blocks: DataFrame) -> DataFrame:
+    """(chunk, part, lp): of each chunk and range, the log10 probabilities of the chunk's grams in the range, in order."""
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    bounds = bounds_of(blocks, max(1, -(-size // PART_WORDS)), size)
+    cuts = blocks.sparkSession.sparkContext.broadcast(bounds)
+    shared = shared_counts(blocks, bounds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False)
-            if not words:
-                continue
-            text = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
-            stop = text == 32
-            place = np.arange(len(text))
-            start = np.maximum.accumulate(np.where(stop, place, 0))
-            depth = place[1:] - start[:-1]  # bytes of context, the word's start included
-            symbol = np.where(stop[1:], END, text[1:])
-            weight = np.repeat(counts, [len(w) + 1 for w in words])
-            codes, weights, before = [], [], np.zeros(len(text) - 1, dtype=np.int64)
-            for order in sorted(ORDERS):
-                if order:
-                    shifted = np.zeros(len(text) - 1, dtype=np.int64)
-                    shifted[order - 1:] = text[:len(text) - order]
-                    before = before | shifted << 8 * (order - 1)
-                fits = depth >= order
-                codes.append(context_keys(before[fits], order) << 9 | symbol[fits])
-                weights.append(weight[fits])
-            found, where = np.unique(np.concatenate(codes), return_inverse=True)
-            total = np.bincount(where.reshape(-1), weights=np.concatenate(weights), minlength=len(found))
-            yield pa.RecordBatch.from_pydict({"code": pa.array(found, pa.int64()), "n": pa.array(total.astype(np.int64))})
-
-    parts = vocabulary.where("c > 0").select("word", "c").mapInArrow(run, "code long, n long")
-    return parts.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+            for chunk, block, numbers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "grams", "counts"))):
+                keys, n = unpacked_keys(block), np.frombuffer(zlib.decompress(numbers), dtype=np.int64)
+                ends = np.searchsorted(keys, cuts.value).tolist()
+                found = [(part, a, b) for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)])) if a < b]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([x[0] for x in found], pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()),
+                    "first": pa.array(keys[[a for _, a, _ in found]].view(np.int64), pa.int64()),
+                    "grams": pa.array([packed_keys(keys[a:b]) for _, a, b in found], pa.binary()),
+                    "counts": pa.array([zlib.compress(n[a:b].tobytes(), 1) for _, a, b in found], pa.binary())})
+
+    def score(group: pa.Table, nodes: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x) for x in group["grams"].to_pylist()]
+        if not keys:
+            return pa.table({"chunk": pa.array([], pa.int32()), "first": pa.array([], pa.int64()), "lp": pa.array([], pa.binary())})
+        distinct, counts = reduced(np.concatenate(keys), np.concatenate(
+            [np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in group["counts"].to_pylist()]))
+        length, pair, n = (nodes[c].to_numpy() for c in ("length", "pair", "n"))
+        whole = {int(k): reduced(pair[length == k].view(np.uint64), n[length == k]) for k in np.unique(length)}
+        lp = log_probabilities(distinct, counts, whole)
+        found = [zlib.compress(lp[np.searchsorted(distinct, x)].view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x in keys]
+        return pa.table({"chunk": group["chunk"], "first": group["first"], "lp": pa.array(found, pa.binary())})
+
+    dealt = blocks.select("chunk", "grams", "counts").mapInArrow(split, "part int, chunk int, first long, grams binary, counts binary")
+    return dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(score, "chunk int, first long, lp binary")
+
+
+class Scores:
+    """The log10 probabilities of a chunk's grams, found by the grams."""
+
+    def __init__(self, firsts: np.ndarray, blocks: list[bytes], keys: np.ndarray) -> None:
+        order = np.argsort(firsts.view(np.uint64))
+        lp = [np.ascontiguousarray(np.frombuffer(zlib.decompress(blocks[k]), dtype=np.uint8).reshape(8, -1).T).view(np.float64).ravel()
+              for k in order.tolist()]
+        spread = keys * SPREAD  # an odd factor: different grams stay different
+        order = np.argsort(spread)
+        self.spread, self.lp = spread[order], np.concatenate(lp)[order]
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length() - 1))
+        slots = np.bincount((self.spread >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.starts = (np.cumsum(slots) - slots).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys * SPREAD
+        at = self.starts[(spread >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.spread[at] != spread)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.spread[at[todo]] != spread[todo]]
+        return self.lp[at]
+
+
+# --- scoring --------------------------------------------------------------------------------------------------------
+
+def ppm_scores(documents: DataFrame, held_out: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The model learns from rows where `held_out` (by default: crc32 of the id's text mod 10 is 0) is false. A null text
+    is empty: the end token alone. Repeated rows count as often as they stand. Without training rows nothing is known
+    and bytes are uniform. An empty table gives an empty result.
+    """
+    held_out = held_out if held_out is not None else fold_of(F.col("doc_id"), 10) == 0
+    rows = chunked(documents, held_out)
+    found = written(chunk_counts(rows), "chunk-counts")
+    words = found.where("word is not null").select("chunk", "word", "n")
+    vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    tokens, different = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    tokens = tokens or 0
+    floor = tokens + 0.1 * (different + 1)
+    blocks = scored_blocks(found.where("grams is not null").select("chunk", "grams", "counts", "size"))
+    lists = words.select("chunk", "word").join(vocabulary, "word").select("chunk", "word", "c").unionByName(
+        blocks, allowMissingColumns=True)
+
+    def score(docs: pa.Table, lists_: pa.Table) -> pa.Table:
+        own = lists_.filter(pc.is_valid(lists_["word"]))
+        place, c = {w: k for k, w in enumerate(own["word"].to_pylist())}, own["c"].to_numpy()
+        base = np.log10((c + 0.1) / floor)
+        own = lists_.filter(pc.is_valid(lists_["lp"]))
+        keys = np.zeros(0, dtype=np.uint64)
+        for texts, _ in texts_of(docs):
+            more = counted(grams_of(texts)[0])[0]
+            at = np.searchsorted(keys, more)
+            new = at == len(keys)
+            new[~new] = keys[at[~new]] != more[~new]
+            keys = np.insert(keys, at[new], more[new])
+        lps = Scores(own["first"].to_numpy(), own["lp"].to_pylist(), keys)
+        counts, known, bases, scores = [], [], [], []
+        for texts, _ in texts_of(docs):
+            grams, lengths = grams_of(texts)
+            scores += np.add.reduceat(lps.of(grams), np.cumsum(lengths) - lengths).tolist()
+            for words_ in texts:
+                words_ = [*words_, b""]
+                at = np.fromiter(map(place.__getitem__, words_), dtype=np.int64, count=len(words_))
+                counts.append(len(at))
+                known.append(int(np.count_nonzero(c[at])))
+                bases.append(float(base[at].sum()))
+        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(counts, pa.int64()),
+                         "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(counts), pa.int64()),
+                         "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
+
+    return rows.groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+# --- words by themselves: not used by ppm_scores, kept for the test of their probabilities ----------------------------
+
+ORDERS = (4, 3, 2, 1, 0)
+TRUSTED = 2
 
 
 class LowOrders:
@@ -183,22 +420,6 @@ class LowOrders:
         return out - math.log10(SYMBOLS - len(excluded))
 
 
-# --- the trie of words ----------------------------------------------------------------------------------------------
-
-def next_symbols(words: list[bytes], counts: list[int], prefix: bytes) -> dict[int, int]:
-    """What follows a prefix, over sorted words."""
-    low, depth = bisect_left(words, prefix), len(prefix)
-    out: dict[int, int] = {}
-    for k in range(low, len(words)):
-        word = words[k]
-        if not word.startswith(prefix):
-            break
-        if counts[k]:
-            symbol = word[depth] if len(word) > depth else END
-            out[symbol] = out.get(symbol, 0) + counts[k]
-    return out
-
-
 def score_words(words: list[bytes], counts: list[int], shared: dict[bytes, dict[int, int]], low: LowOrders) -> list[float]:
     """log10 probability of each of the sorted distinct words of a partition; `shared`: nodes whose counts also come
     from other partitions."""
@@ -243,84 +464,3 @@ def score_words(words: list[bytes], counts: list[int], shared: dict[bytes, dict[
             else:
                 todo.append((x, y, depth + 1, value))
     return out
-
-
-def scored_vocabulary(vocabulary: DataFrame, words: int) -> DataFrame:
-    """(word, c, lp) of a vocabulary (word, c) of so many distinct words."""
-    spark = vocabulary.sparkSession
-    parts = max(1, -(-words // PART_WORDS))
-    ranged = written(vocabulary.repartitionByRange(parts, "word").withColumn("part", F.spark_partition_id()), "vocabulary")
-    table = low_counts(ranged)
-    low = spark.sparkContext.broadcast((table["code"].to_numpy(), table["n"].to_numpy()))
-
-    def ordered(group: pa.Table) -> tuple[list[bytes], list[int]]:
-        group = group.sort_by("word")
-        return group["word"].to_pylist(), group["c"].to_pylist()
-
-    def edge_nodes(group: pa.Table) -> pa.Table:
-        words, counts = ordered(group)
-        prefixes = {w[:k] for w in (words[0], words[-1]) for k in range(len(w) + 1)}
-        rows = [(p, s, n) for p in prefixes for s, n in [(-1, 0), *next_symbols(words, counts, p).items()]]
-        prefix, symbol, n = zip(*rows)
-        return pa.table({"part": pa.array([group["part"][0].as_py()] * len(rows), pa.int32()),
-                         "prefix": pa.array(prefix, pa.binary()), "symbol": pa.array(symbol, pa.int32()),
-                         "n": pa.array(n, pa.int64())})
-
-    edges = written(ranged.groupBy("part").applyInArrow(edge_nodes, "part int, prefix binary, symbol int, n long"), "trie-edges")
-    totals = edges.groupBy("prefix", "symbol").agg(F.sum("n").alias("n")).where("n > 0")
-    shared = edges.select("part", "prefix").distinct().join(totals, "prefix").select("part", "prefix", "symbol", "n")
-
-    def score(group: pa.Table, nodes: pa.Table) -> pa.Table:
-        words, counts = ordered(group)
-        common: dict[bytes, dict[int, int]] = {}
-        for prefix, symbol, n in zip(nodes["prefix"].to_pylist(), nodes["symbol"].to_pylist(), nodes["n"].to_pylist()):
-            common.setdefault(prefix, {})[symbol] = n
-        lp = score_words(words, counts, common, LowOrders(*low.value)) if words else []
-        return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts, pa.int64()),
-                         "lp": pa.array(lp, pa.float64())})
-
-    return ranged.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(score, "word binary, c long, lp double")
-
-
-# --- scoring --------------------------------------------------------------------------------------------------------
-
-def ppm_scores(documents: DataFrame, held_out: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    The model learns from rows where `held_out` (by default: crc32 of the id's text mod 10 is 0) is false. A null text
-    is empty: the end token alone. Repeated rows count as often as they stand. Without training rows nothing is known
-    and bytes are uniform. An empty table gives an empty result.
-    """
-    held_out = held_out if held_out is not None else fold_of(F.col("doc_id"), 10) == 0
-    rows, chunks = chunked(documents, held_out)
-    found = written(chunk_words(rows, chunks), "chunk-words")
-    vocabulary = written(found.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    size, tokens, different = vocabulary.agg(F.count(F.lit(1)), F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    tokens = tokens or 0
-    floor = tokens + 0.1 * (different + 1)
-    scored = written(scored_vocabulary(vocabulary, size), "word-scores")
-    lists = found.select("chunk", "word").distinct().join(scored, "word").select("chunk", "word", "c", "lp")
-
-    def score(docs: pa.Table, words: pa.Table) -> pa.Table:
-        place = {w: k for k, w in enumerate(words["word"].to_pylist())}
-        c, lp = words["c"].to_numpy(), words["lp"].to_numpy()
-        base = np.log10((c + 0.1) / floor)
-        docs = docs.combine_chunks()
-        counts, known, bases, scores = [], [], [], []
-        for part in docs.to_batches():
-            for _, _, data, offsets in slices(part.column("text")):
-                raw, where = data.tobytes().translate(FOLD), offsets.tolist()
-                for a, b in zip(where, where[1:]):
-                    tokens_ = raw[a:b].split()
-                    tokens_.append(b"")
-                    at = np.fromiter(map(place.__getitem__, tokens_), dtype=np.int64, count=len(tokens_))
-                    counts.append(len(at))
-                    known.append(int(np.count_nonzero(c[at])))
-                    bases.append(float(base[at].sum()))
-                    scores.append(float(lp[at].sum()))
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(counts, pa.int64()),
-                         "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(counts), pa.int64()),
-                         "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
-
-    return rows.groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -75,6 +75,38 @@ def test_join_near_copies_on_both_sides_of_the_boundary(spark, monkeypatch, ligh
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == plain_components(rows)
 
 
+def plain_links(documents):
+    """(doc_id, links) by comparing every pair."""
+    sets = [shingles(t) for _, t in documents]
+    count = [0] * len(sets)
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= 90 * (len(sets[a]) + len(sets[b]) - shared):
+                count[a] += 1
+                count[b] += 1
+    return sorted(((i, n) for (i, _), n in zip(documents, count)), key=repr)
+
+
+@pytest.mark.parametrize("light_most", [0, 60, 10**6])
+def test_join_counts_links(spark, sf_dir, monkeypatch, light_most):
+    """Links inside a component are counted, copies by their number."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(r[:2]) for r in AWKWARD if r[0] not in (7, 8, 9)]  # too long for pairs of all prefixes
+    for base in range(6):
+        text = [f"b{base}w{k}" for k in range(int(rng.integers(30, 120)))]
+        for copy in range(7):
+            text = list(text)
+            text[int(rng.integers(len(text)))] = f"e{rng.integers(10**6)}"
+            rows += [(1000 + len(rows) + k, " ".join(text)) for k in range(1 + copy % 3)]
+    monkeypatch.setattr(ngram_join, "boundary", lambda *_: light_most)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(df, links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == plain_links(rows)
+    assert sorted((tuple(r)[:3] for r in got), key=repr) == plain_components(rows)
+    assert ngram_join.jaccard_components(df.limit(0), links=True).count() == 0
+
+
 def test_join_awkward(spark):
     assert joined(awkward(spark)) == plain_components([r[:2] for r in AWKWARD])
     assert joined(awkward(spark, [])) == []

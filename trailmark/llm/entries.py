@@ -43,6 +43,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op1_ngram_jaccard_links")
+def op1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), links=True)
+
+
 def packed_documents(documents: DataFrame) -> DataFrame:
     pieces = token_pieces(documents, public_tokenizers.path("word_bpe_49k.json"))
     return packed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))

@@ -274,12 +274,17 @@ def components(links: DataFrame) -> DataFrame:
 
 # --- the join -------------------------------------------------------------------------------------------------------
 
-def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY,
+                       links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included);
+    with `links` also n_links, the number of other documents that it is linked to.
 
     `documents` needs doc_id and text; other columns are ignored. A null or wordless text has no shingles and its own
     id as component. Rows with one doc_id are documents of their own; a null doc_id is never a component's id unless
     all its ids are null. An empty table gives an empty result.
+
+    Links are counted between different sets and weighted by how many documents have each: copies are never expanded,
+    but every pair of different sets in a bucket is looked at, whatever its component.
     """
     spark = documents.sparkSession
     texts = text_rows(documents)
@@ -287,7 +292,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     light_most = boundary(size_histogram(texts, width), list_length(counts), similarity)
     ranks = spark.sparkContext.broadcast(ranks_of(counts))
     rows = written(signatures(texts, ranks, light_most, width, similarity), "signatures")
-    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                       .withColumn("node", F.monotonically_increasing_id()), "classes")
     sides = rows.where(F.size("prefix") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     sides = written(sides.select("node", F.col("n_shingles").alias("n"), "pairs", "prefix", "listed"), "sides")
@@ -305,8 +310,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
 
     stars = written(shared.where((F.col("node") != F.col("pivot")) & may_link("n", "place", "pivot_n", "pivot_place", similarity))
                     .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = written(checked(stars), "links")
-    roots = components(links)
+    near = written(checked(stars), "links")
+    roots = components(near)
 
     placed = shared.select("key", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
@@ -321,14 +326,32 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        roots = components(links.union(checked(rest)))
+        roots = components(near.union(checked(rest)))
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id")
-    out = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(named, "digest")
+    named = named.join(least, "root")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id").union(alone)
+    if links:
+        pairs = written(pairs_within(shared, similarity), "pairs")
+        ends = written(checked(pairs), "all-links")
+        ends = ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        weights = classes.select(F.col("node").alias("b"), "copies")
+        counts = ends.join(weights, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+        named = named.join(counts, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
+    named = named.select("digest", *alone.columns[2:])
+    out = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(named, "digest")
+    return out.select(alone.columns).union(alone)
+
+
+def pairs_within(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): the pairs of different sets in a bucket that may be linked, the smaller one having the shingle early."""
+    members = shared.select("key", "node", "n", "place")
+    smaller = members.where(is_early("n", "place", similarity)).toDF("key", "x", "x_n", "x_place")
+    both = smaller.join(members, "key").where((F.col("x") != F.col("node")) & (F.col("x_n") <= F.col("n")) &
+                                              may_link("n", "place", "x_n", "x_place", similarity))
+    return both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def postings_of(sides: DataFrame) -> DataFrame:

@@ -14,9 +14,12 @@ from trailmark.llm.hilbert import nearest
 from trailmark.llm.language import identified
 from trailmark.llm.ngram_join import jaccard_components
 from trailmark.llm.packing import packed, token_pieces
+from trailmark.llm.periodic import periodic_runs, planted_repeats
 from trailmark.llm.ppm import ppm_scores
 from trailmark.llm.quality import quality
+from trailmark.llm.repair import damaged, repaired
 from trailmark.llm.secret_scan import secret_spans
+from trailmark.llm.simhash import simhash_components
 from trailmark.llm.warc import read_archives, write_archives
 from trailmark.session import prepare
 
@@ -112,3 +115,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ppm_score")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_pivots")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), planted_repeats)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")), F.col("kept"))

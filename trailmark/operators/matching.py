@@ -1,4 +1,7 @@
-"""Match events to funnel steps: the first step, in order, any of whose rules holds."""
+"""Match events to funnel steps: the first step, in order, any of whose rules holds.
+
+Expressions are SQL texts: matching stands below most reports, and its plan is made anew for each of them.
+"""
 
 from __future__ import annotations
 
@@ -11,29 +14,30 @@ from trailmark.params import SCOPE
 from trailmark.sources.definitions import Definitions
 
 FUNNEL_COLUMNS = ["funnel_id", "funnel_version_id", "window_days", "total_steps"]
+STEP = [*FUNNEL_COLUMNS, "order_index", "step_type"]
 NAMED = ("event_name", "page_url", "page_title", "utm_source", "custom_property")
 STORED = ("page", "event")
 OPERATORS = ("eq", "equals", "contains", "starts_with", "in", "greater_than", "less_than")
 # Fixed value: characters of a pattern that stand for themselves.
 SPECIAL = r"([\\\.\[\]\{\}\(\)\+\-\^\$\|&#~])"
+KEPT = r"\\$1"
+# An event's properties as texts, and as JSON texts that keep the type.
+PROPERTIES = {"_texts": "from_json(props, 'map<string, string>')",
+              "_values": "transform_values(from_json(props, 'map<string, variant>'), (k, v) -> to_json(v))"}
 
 
 def parsed_rules(definitions: DataFrame) -> DataFrame:
     """Rule rows with the fields of their JSON; what is missing or malformed is null. Values keep their JSON type:
     `"1"` is a text, `1` a number."""
-    fields = "struct<event_name:string,pattern:string,source:string,property:string,value:variant," \
-             "url_match:struct<type:string,value:string>,prop_filters:array<struct<key:string,operator:string,value:variant>>>"
-    rows = definitions.withColumn("_r", F.from_json("rules", fields))
-    pattern = F.col("_r.pattern")
-    wild = F.replace(F.replace(F.regexp_replace(pattern, SPECIAL, r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    return rows.withColumn("_rule", F.struct(
-        "kind", F.col("_r.event_name").alias("event"), pattern.alias("pattern"),
-        F.when(pattern.contains("*"), F.concat(F.lit("(?is)^"), wild, F.lit("$"))).alias("regex"),
-        F.col("_r.source").alias("source"), F.col("_r.property").alias("property"), F.to_json("_r.value").alias("value"),
-        F.col("_r.url_match.type").alias("how"), F.col("_r.url_match.value").alias("url"),
-        F.transform("_r.prop_filters", lambda f: F.struct(
-            f["key"].alias("key"), F.coalesce(f["operator"], F.lit("eq")).alias("operator"), F.to_json(f["value"]).alias("value"),
-            F.from_json(F.to_json(f["value"]), "array<variant>").alias("list"))).alias("filters"))).drop("_r")
+    fields = ("event_name string, pattern string, source string, property string, value variant, "
+              "url_match struct<type: string, value: string>, prop_filters array<struct<key: string, operator: string, value: variant>>")
+    wild = f"replace(replace(regexp_replace(_r.pattern, r'{SPECIAL}', r'{KEPT}'), '*', '.*'), '?', '.')"
+    rule = f"""struct(kind, _r.event_name as event, _r.pattern as pattern,
+        case when contains(_r.pattern, '*') then concat('(?is)^', {wild}, '$') end as regex,
+        _r.source as source, _r.property as property, to_json(_r.value) as value, _r.url_match.type as how, _r.url_match.value as url,
+        transform(_r.prop_filters, f -> struct(f.key as key, coalesce(f.operator, 'eq') as operator, to_json(f.value) as value,
+            from_json(to_json(f.value), 'array<variant>') as list)) as filters) as _rule"""
+    return definitions.selectExpr("*", f"from_json(rules, '{fields}') as _r").selectExpr(*definitions.columns, rule)
 
 
 def bad_rules(definitions: DataFrame) -> DataFrame:
@@ -53,75 +57,123 @@ def bad_rules(definitions: DataFrame) -> DataFrame:
     return rows.where("violation is not null").select("funnel_version_id", "order_index", "violation")
 
 
+# ---------------------------------------------------------------- the index
+PATTERNS = "w:"
+ALTERNATIONS = ("_url_lower", "_url_regex", "_url_part", "_title_lower", "_title_regex")
+
+
+def _json_key(value: str) -> str:
+    """One text for all JSON texts that are the same value: numbers by value, everything else by type and text."""
+    return f"coalesce(concat('d', cast(try_cast({value} as double) + 0D as string)), concat('j', {value}))"
+
+
+def _property_key(name: str, value: str) -> str:
+    return f"concat('p:', {name}, '\\u0001', {_json_key(value)})"
+
+
+def rule_index(definitions: DataFrame) -> DataFrame:
+    """The rules of each workspace by what an event must have to meet them: one row per (workspace, key).
+
+    Keys are an event name (`n:`), a page address (`u:`) or a source (`s:`) that a rule asks for as it is. The row `w:` of
+    the workspace itself holds, in a map, the rules that ask for a property's value (`p:`) or a property (`k:`), and
+    those with patterns, with one alternation of all their patterns for lower-case addresses and titles and for those
+    as they are, which tells whether any of them can hold. Rules that can match nothing have no key and are left out.
+    """
+    stored = f"kind in {STORED}"
+    literal = lambda c: f"concat('(?:', replace(replace(regexp_replace({c}, r'{SPECIAL}', r'{KEPT}'), '?', r'\\?'), '*', r'\\*'), ')')"
+    key = f"""case when kind = 'event_name' then concat('n:', _rule.event) when kind = 'utm_source' then concat('s:', _rule.source)
+        when kind = 'custom_property' then {_property_key('_rule.property', '_rule.value')}
+        when kind in ('page_url', 'page_title') then if(_rule.pattern is not null, '{PATTERNS}', null)
+        when not {stored} then null when _rule.event is not null then concat('n:', _rule.event)
+        when _rule.how = 'exact' then concat('u:', _rule.url) when _rule.how is not null then if(_rule.url is not null, '{PATTERNS}', null)
+        when size(_rule.filters) > 0 then concat('k:', _rule.filters[0].key) when _rule.filters is not null then '{PATTERNS}' end"""
+    whole = f"""kind in ('event_name', 'utm_source', 'custom_property')
+        or {stored} and _rule.how is null and _rule.filters is null"""
+    entry = f"struct({', '.join(STEP)}, if({whole}, null, _rule) as test)"
+    lowered = lambda subject: f"case when kind = '{subject}' and _rule.regex is null then {literal('lower(_rule.pattern)')} end"
+    regex = lambda subject: f"case when kind = '{subject}' then concat('(?:', _rule.regex, ')') end"
+    keyed = parsed_rules(definitions).selectExpr(
+        *SCOPE, f"{key} as _key", f"{entry} as _entry", f"{lowered('page_url')} as _url_lower", f"{regex('page_url')} as _url_regex",
+        f"case when {stored} then {literal('_rule.url')} end as _url_part", f"{lowered('page_title')} as _title_lower",
+        f"{regex('page_title')} as _title_regex", f"{stored} and _rule.how is null as _always",
+        "_rule.filters is not null as _filters").where("_key is not null")
+    grouped = keyed.groupBy(*SCOPE, "_key").agg(
+        F.collect_list("_entry").alias("_rules"), F.expr("bool_or(_always)").alias("_always"), F.expr("bool_or(_filters)").alias("_filters"),
+        *(F.expr(f"array_join(collect_list({c}), '|')").alias(c) for c in ALTERNATIONS))
+    named = "left(_key, 2) in ('p:', 'k:')"
+    return grouped.groupBy(*SCOPE, F.expr(f"if({named}, '{PATTERNS}', _key)").alias("_key")).agg(
+        F.expr(f"flatten(collect_list(_rules) filter (where not {named}))").alias("_rules"),
+        F.expr(f"map_from_entries(collect_list(struct(_key, _rules)) filter (where {named}))").alias("_named"),
+        F.expr("bool_or(_filters)").alias("_filters"), F.expr("bool_or(_always)").alias("_always"),
+        *(F.expr(f"max({c})").alias(c) for c in ALTERNATIONS))
+
+
 def match_funnel_events(events: DataFrame, definitions: Definitions) -> DataFrame:
     """One row per (event, funnel) with the matched step, for every published funnel of its workspace.
 
-    The rules of a workspace are one row of the joined side, so an event meets them once and only its matches become
-    rows; batch and stream alike. Every rule is evaluated in one way, whatever their number, and a rule that cannot be
-    read matches nothing.
+    An event meets only rules that it has the key of: equi-joins on its name, address and source, and lookups of its
+    properties, bring their rules (see `rule_index`); what else such a rule asks is looked at then. Properties are parsed
+    only where rules need them. Batch and stream alike; a rule that cannot be read matches nothing.
     """
-    rule = F.struct(*FUNNEL_COLUMNS, "order_index", "step_type", F.col("_rule").alias("rule"))
-    rules = parsed_rules(definitions.load().where("kind is not null")).groupBy(*SCOPE).agg(F.collect_list(rule).alias("_rules"))
-    columns = events.columns
-    rows = events.withColumns(_properties()).join(rules, SCOPE)
-    step = lambda r: F.struct(*(r[c].alias(c) for c in (*FUNNEL_COLUMNS, "order_index", "step_type")))
-    hits = F.array_sort(F.transform(F.filter("_rules", lambda r: F.coalesce(_holds(r["rule"]), F.lit(False))), step))
-    rows = rows.select(*columns, hits.alias("_hits")).where(F.size("_hits") > 0)
-    versions = F.array_distinct(F.transform("_hits", lambda h: F.struct(h["funnel_id"].alias("f"), h["funnel_version_id"].alias("v"))))
-    firsts = F.transform(versions, lambda v: F.get(F.filter("_hits", lambda h: (h["funnel_id"] == v["f"]) & (h["funnel_version_id"] == v["v"])), F.lit(0)))
-    found = rows.select(*columns, F.explode(firsts).alias("_hit"))
-    return found.select(*columns, *(F.col(f"_hit.{c}").alias(c) for c in FUNNEL_COLUMNS),
-                        F.col("_hit.order_index").alias("step_order"), F.col("_hit.step_type").alias("step_type"))
-
-
-def _properties() -> dict[str, Column]:
-    """An event's properties as texts, and as JSON texts that keep the type."""
-    values = F.transform_values(F.from_json("props", "map<string,variant>"), lambda k, v: F.to_json(v))
-    return {"_texts": F.from_json("props", "map<string,string>"), "_values": values}
+    columns, index = events.columns, rule_index(definitions.load().where("kind is not null"))
+    none = f"cast(array() as {index.schema['_rules'].dataType.simpleString()})"
+    rows = events
+    for slot, key in (("n", "concat('n:', event_name)"), ("u", "concat('u:', page.url)"), ("s", "concat('s:', utm.source)"), ("w", f"'{PATTERNS}'")):
+        more = ["_named", "_always", *ALTERNATIONS] if slot == "w" else []
+        side = index.selectExpr(*(f"{c} as _{slot}_{c}" for c in (*SCOPE, "_key")), f"_rules as _{slot}", f"_filters as _{slot}_filters", *more)
+        rows = rows.join(side, F.expr(f"_{slot}__key = {key} and " + " and ".join(f"_{slot}_{c} = {c}" for c in SCOPE)), "left")
+    has = lambda text, regex: f"coalesce({regex} <> '' and regexp_instr({text}, {regex}) > 0, false)"
+    can_hold = " or ".join(["coalesce(_always, false)", has("lower(page.url)", "_url_lower"), has("page.url", "_url_regex"),
+                            has("page.url", "_url_part"), has("lower(page.title)", "_title_lower"), has("page.title", "_title_regex")])
+    by_property = "coalesce(size(_named) > 0, false)"
+    met = ", ".join(f"coalesce({rules}, {none})" for rules in ("_n", "_u", "_s", f"if({can_hold}, _w, null)"))
+    of_property = f"flatten(transform(map_entries(_values), e -> array({_property_key('e.key', 'e.value')}, concat('k:', e.key))))"
+    looked_up = f"flatten(filter(transform({of_property}, k -> try_element_at(_named, k)), x -> x is not null))"
+    parsed = f"{by_property} or " + " or ".join(f"coalesce(_{slot}_filters, false)" for slot in "nusw")
+    steps = f"array_sort(transform(filter(_met, c -> c.test is null or coalesce({_holds('c.test')}, false)), c -> struct({', '.join('c.' + c for c in STEP)})))"
+    first = "k = 0 or h.funnel_id <> _hits[k - 1].funnel_id or h.funnel_version_id <> _hits[k - 1].funnel_version_id"
+    firsts = f"if(size(_hits) < 2, _hits, filter(_hits, (h, k) -> {first}))"
+    rows = rows.selectExpr(*columns, f"if({by_property}, _named, null) as _named", f"concat({met}) as _met",
+                           *(f"if({parsed}, {value}, null) as {name}" for name, value in PROPERTIES.items()))
+    rows = rows.selectExpr(*columns, "_texts", "_values", f"if(_named is not null and _values is not null, concat(_met, {looked_up}), _met) as _met")
+    # an outer explode: before a plain one, Spark would filter on the whole expression a second time
+    rows = rows.selectExpr(*columns, f"{steps} as _hits").selectExpr(*columns, f"explode_outer({firsts}) as _hit").where("_hit is not null")
+    return rows.selectExpr(*columns, *(f"_hit.{c} as {c}" for c in FUNNEL_COLUMNS), "_hit.order_index as step_order", "_hit.step_type as step_type")
 
 
 def property_predicate(key: str, operator: str, value: object) -> Column:
     """One condition on an event property, as in a rule."""
     if operator not in OPERATORS:
         raise ValueError(f"unknown operator {operator!r}")
-    wanted = F.lit(json.dumps(value))
-    wish = F.struct(F.lit(key).alias("key"), F.lit(operator).alias("operator"), wanted.alias("value"),
-                    F.from_json(wanted, "array<variant>").alias("list"))
-    return _condition(wish, **_properties())
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    wanted = text(json.dumps(value))
+    wish = f"named_struct('key', {text(key)}, 'operator', '{operator}', 'value', {wanted}, 'list', from_json({wanted}, 'array<variant>'))"
+    return F.expr(_condition(wish, **PROPERTIES))
 
 
-def _same(actual: Column, wanted: Column) -> Column:
+def _same(actual: str, wanted: str) -> str:
     """Equal as JSON values: numbers by value, everything else by type and text."""
-    return (actual == wanted) | F.coalesce(actual.try_cast("double") == wanted.try_cast("double"), F.lit(False))
-
+    return f"({actual} = {wanted} or coalesce(try_cast({actual} as double) = try_cast({wanted} as double), false))"
 
-def _holds(r: Column) -> Column:
-    url, title = F.col("page.url"), F.col("page.title")
 
-    def like(value: Column) -> Column:
-        return F.when(r["regex"].isNotNull(), F.regexp_like(value, r["regex"])).otherwise(F.contains(F.lower(value), F.lower(r["pattern"])))
+def _holds(r: str) -> str:
+    """What a rule asks besides its key."""
+    def like(value: str) -> str:
+        return f"if({r}.regex is not null, rlike({value}, {r}.regex), contains(lower({value}), lower({r}.pattern)))"
 
-    stored = (
-        (r["event"].isNotNull() | r["how"].isNotNull() | r["filters"].isNotNull())
-        & (r["event"].isNull() | (F.col("event_name") == r["event"]))
-        & (r["how"].isNull() | F.when(r["how"] == "exact", url == r["url"]).otherwise(F.contains(url, r["url"])))
-        & (r["filters"].isNull() | F.forall(r["filters"], lambda f: _condition(f))))
-    return (
-        F.when(r["kind"] == "event_name", F.col("event_name") == r["event"])
-        .when(r["kind"] == "page_url", like(url)).when(r["kind"] == "page_title", like(title))
-        .when(r["kind"] == "utm_source", F.col("utm.source") == r["source"])
-        .when(r["kind"] == "custom_property", _same(F.try_element_at("_values", r["property"]), r["value"]))
-        .when(r["kind"].isin(*STORED), stored))
+    return f"""case {r}.kind when 'page_url' then {like('page.url')} when 'page_title' then {like('page.title')} else
+        ({r}.event is null or event_name = {r}.event)
+        and ({r}.how is null or if({r}.how = 'exact', page.url = {r}.url, contains(page.url, {r}.url)))
+        and ({r}.filters is null or forall({r}.filters, f -> {_condition('f')})) end"""
 
 
-def _condition(f: Column, _texts: Column | str = "_texts", _values: Column | str = "_values") -> Column:
+def _condition(f: str, _texts: str = "_texts", _values: str = "_values") -> str:
     """One condition on an event property; an unknown operator never holds."""
-    actual, value = F.try_element_at(_texts, f["key"]), F.try_element_at(_values, f["key"])
-    wanted = F.regexp_replace(f["value"], r'^"|"$', "")
-    return F.coalesce(
-        F.when(f["operator"].isin("eq", "equals"), _same(value, f["value"]))
-        .when(f["operator"] == "contains", F.contains(actual, wanted))
-        .when(f["operator"] == "starts_with", F.startswith(actual, wanted))
-        .when(f["operator"] == "in", F.exists(f["list"], lambda x: _same(value, F.to_json(x))))
-        .when(f["operator"] == "greater_than", actual.try_cast("double") > wanted.try_cast("double"))
-        .when(f["operator"] == "less_than", actual.try_cast("double") < wanted.try_cast("double")), F.lit(False))
+    actual, value = f"try_element_at({_texts}, {f}.key)", f"try_element_at({_values}, {f}.key)"
+    wanted = f"regexp_replace({f}.value, '^\"|\"$', '')"
+    number = lambda x: f"try_cast({x} as double)"
+    return f"""coalesce(case when {f}.operator in ('eq', 'equals') then {_same(value, f + '.value')}
+        when {f}.operator = 'contains' then contains({actual}, {wanted}) when {f}.operator = 'starts_with' then startswith({actual}, {wanted})
+        when {f}.operator = 'in' then exists({f}.list, x -> {_same(value, 'to_json(x)')})
+        when {f}.operator = 'greater_than' then {number(actual)} > {number(wanted)}
+        when {f}.operator = 'less_than' then {number(actual)} < {number(wanted)} end, false)"""

@@ -23,6 +23,32 @@ def visitors(events: DataFrame) -> DataFrame:
         latest("device").alias("last_device"), latest("geo").alias("last_geo"))
 
 
+ORDER = "struct<timestamp: timestamp, id: bigint>"
+VISITORS = f"""tenant_id bigint, workspace_id bigint, anonymous_id string, first_seen_at timestamp, last_seen_at timestamp,
+  first_utm struct<source:string,medium:string,campaign:string,term:string,content:string>, first_order {ORDER},
+  last_utm struct<source:string,medium:string,campaign:string,term:string,content:string>, utm_order {ORDER},
+  last_device struct<type:string>, device_order {ORDER}, last_geo struct<country:string>, geo_order {ORDER}"""
+
+
+def visitor_changes(events: DataFrame) -> DataFrame:
+    """Visitors of some events as rows that `fold_visitors` merges with those stored."""
+    order = F.struct("timestamp", "id")
+    known = {c: F.when(F.col(c).isNotNull(), order) for c in ("utm", "device", "geo")}
+    return events.groupBy(*VISITOR).agg(
+        F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"), F.min_by("utm", order).alias("first_utm"),
+        F.min(order).alias("first_order"),
+        *(x for c, at in known.items() for x in (F.max_by(c, at).alias(f"last_{c}"), F.max(at).alias(f"{c}_order"))))
+
+
+def fold_visitors(rows: DataFrame) -> DataFrame:
+    """One row per visitor; the order of batches does not matter, nor that rows are folded again."""
+    return rows.groupBy(*VISITOR).agg(
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+        F.min_by("first_utm", "first_order").alias("first_utm"), F.min("first_order").alias("first_order"),
+        *(x for c in ("utm", "device", "geo") for x in (
+            F.max_by(f"last_{c}", f"{c}_order").alias(f"last_{c}"), F.max(f"{c}_order").alias(f"{c}_order"))))
+
+
 # --------------------------------------------------------------- fingerprints
 def normal_email(email: Column) -> Column:
     return F.lower(F.trim(email))

@@ -7,12 +7,14 @@ import hashlib
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import ts_text
-from trailmark.operators import identity, sessions
+from trailmark.operators import identity, leads, sessions, traffic
 from trailmark.params import SCOPE
-from trailmark.plans import payloads
+from trailmark.plans import payloads, sql
 from trailmark.plans.events import RAW, S
-from trailmark.plans.registry import Inputs, query
+from trailmark.plans.registry import CURRENT, Inputs, query
 from trailmark.plans.sql import oracle, tstext
+from trailmark.session import shared_folder
+from trailmark.sources.keyed import Keyed, KeyedStore
 
 
 def texts(df, *columns):
@@ -125,6 +127,75 @@ def link_leads(i: Inputs):
     return identity.link_leads(i.anonymous_events, _resolved(i)).select(*SCOPE, "id", "anonymous_id", "lead_key")
 
 
+# ------------------------------------------------------------- upserts over batches
+SECOND_BATCH = "2024-01-16"
+LEADS_SQL = f"""{IDENTIFIES},
+bt AS (SELECT *, CASE WHEN pt < TIMESTAMP '{SECOND_BATCH}' THEN 1 ELSE 2 END AS bn FROM fp),
+hd AS (SELECT v.bn, workspace_id, ne, MIN(pt) AS c, ARG_MAX(np, (pt, id)) FILTER (WHERE np IS NOT NULL) AS p
+       FROM bt JOIN (VALUES (1), (2)) v(bn) ON bt.bn <= v.bn WHERE ne IS NOT NULL GROUP BY 1, 2, 3),
+ow AS (SELECT bn, workspace_id AS w, p, ARG_MIN(ne, (c, ne)) AS owner FROM hd WHERE p IS NOT NULL GROUP BY 1, 2, 3),
+rs AS (SELECT bt.*, COALESCE(CASE WHEN ne IS NULL THEN 'e:' || owner END, 'e:' || ne, 'p:' || np, 'n:' || id) AS lead
+       FROM bt LEFT JOIN ow ON ow.bn = bt.bn AND w = workspace_id AND p = np)"""
+
+
+def _by_batch(rows, at="timestamp"):
+    second = F.col(at) >= F.lit(SECOND_BATCH).cast("timestamp")
+    return [rows.where(~second), rows.where(second)]
+
+
+def _lead_store(i: Inputs) -> KeyedStore:
+    """The identifies in two batches, the second one twice."""
+    rows = payloads.identifies(i.spark, i.sf_dir).withColumns({
+        "email_fingerprint": identity.normal_email(F.col("email")), "phone_fingerprint": identity.normal_phone(F.col("phone"))})
+    store = leads.lead_store(i.spark, shared_folder(i.spark, "leads"), buckets=8)
+    for number, batch in enumerate([*_by_batch(rows), _by_batch(rows)[1]]):
+        leads.upsert_leads(store, batch, min(number, 1))
+    return store
+
+
+@query("lead_upsert", oracle("e", f"""{LEADS_SQL}
+SELECT {S}, lead AS lead_key, MAX(ne) AS email_fingerprint,
+  ARG_MAX(np, (pt, id)) FILTER (WHERE np IS NOT NULL AND (ne IS NOT NULL OR lead LIKE 'p:%')) AS phone_fingerprint,
+  {tstext('MIN(pt)')} AS created_at, {tstext('MAX(pt)')} AS updated_at, COUNT(*) AS identifies FROM rs GROUP BY 1, 2, 3"""))
+def lead_upsert(i: Inputs):
+    return texts(_lead_store(i).read("leads").select(
+        *SCOPE, "lead_key", "email_fingerprint", "phone_fingerprint", "created_at", "updated_at", "identifies"), "created_at", "updated_at")
+
+
+@query("lead_links", oracle("e", f"""{LEADS_SQL}
+SELECT {S}, anonymous_id, lead AS lead_key, {tstext('MIN(pt)')} AS first_at, {tstext('MAX(pt)')} AS last_at FROM rs GROUP BY 1, 2, 3, 4"""))
+def lead_links(i: Inputs):
+    return texts(_lead_store(i).read("links"), "first_at", "last_at")
+
+
+@query("upsert_sink", oracle("e", f"""
+o AS (SELECT *, CONCAT('u_', split_part(anonymous_id, '_', 2)) AS who,
+        ROW_NUMBER() OVER (PARTITION BY {S}, split_part(anonymous_id, '_', 2) ORDER BY "timestamp", id) AS rn FROM e)
+SELECT {S}, who AS anonymous_id, {tstext('MIN("timestamp")')} AS first_seen_at, {tstext('MAX("timestamp")')} AS last_seen_at,
+  MAX(utm_source) FILTER (WHERE rn = 1) AS first_source, ARG_MAX(utm_source, rn) FILTER (WHERE utm_source IS NOT NULL) AS last_source
+FROM o GROUP BY 1, 2, 3"""))
+def upsert_sink(i: Inputs):
+    """Visitors, each a user over the month, upserted batch by batch into a keyed table; the last batch comes twice."""
+    rows = i.anonymous_events.withColumn("anonymous_id", F.regexp_replace("anonymous_id", r"^a_(\d+)_.*$", "u_$1"))
+    store = KeyedStore(i.spark, shared_folder(i.spark, "visitors"), {"visitors": Keyed(identity.VISITORS, identity.VISITOR, 8)})
+    for number, batch in enumerate([*_by_batch(rows), _by_batch(rows)[1]]):
+        store.upsert({"visitors": (identity.visitor_changes(batch), identity.fold_visitors)}, "events", min(number, 1))
+    return texts(store.read("visitors").select(
+        *SCOPE, "anonymous_id", "first_seen_at", "last_seen_at", F.col("first_utm.source").alias("first_source"),
+        F.col("last_utm.source").alias("last_source")), "first_seen_at", "last_seen_at")
+
+
+@query("overview_linked", oracle("e", f"""{RESOLVED},
+lk AS (SELECT e.*, (SELECT ARG_MAX(lead, (pt, lead)) FROM rs WHERE rs.workspace_id = e.workspace_id
+  AND rs.anonymous_id = e.anonymous_id AND rs.pt <= e."timestamp") AS lk FROM e WHERE "timestamp" {sql.CURRENT})
+SELECT {S}, COUNT(*) AS events, COUNT(DISTINCT anonymous_id) AS visitors, COUNT(DISTINCT session_id) AS sessions,
+  COUNT(DISTINCT anonymous_id) FILTER (WHERE lk IS NOT NULL) AS conversions FROM lk GROUP BY 1, 2"""))
+def overview_linked(i: Inputs):
+    """The overview of events that carry the lead their visitor was linked to."""
+    linked = identity.link_leads(i.anonymous_events, _resolved(i)).withColumn("lead_id", leads.lead_id())
+    return traffic.overview_counts(linked, CURRENT)
+
+
 SESSION_BASE = """
 o AS (SELECT id, tenant_id, workspace_id, CONCAT('u_', CAST(b.user_id AS VARCHAR)) AS anonymous_id, e."timestamp" AS pt,
         ROW_NUMBER() OVER (PARTITION BY b.user_id ORDER BY e."timestamp", id) AS rn FROM e JOIN (SELECT id, user_id FROM b) b USING (id))"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +42,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix="trailmark-checkpoint-")
+
+
+_FOLDERS: list[str] = []
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the cluster's shared folder, for tables that a query writes and reads again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def clear_folders(spark: SparkSession) -> int:
+    """Removes the folders that this application's queries wrote, once their results are no longer read."""
+    removed = 0
+    while _FOLDERS:
+        removed += remove_folder(spark, _FOLDERS.pop())
+    return removed
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))

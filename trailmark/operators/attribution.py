@@ -1,4 +1,9 @@
-"""Multi-touch attribution: every model in one pass over touchpoints, without collecting journeys."""
+"""Multi-touch attribution: every model from one pass over the touches.
+
+Touches of one journey that are alike (channel, campaign, device, referrer) get alike credit but for the first and the
+last, so they combine before the shuffle to one row with their number, first, last and decayed weight. A window over
+these few rows of a journey gives its totals; touches are never numbered, joined or collected.
+"""
 
 from __future__ import annotations
 
@@ -28,12 +33,8 @@ def touchpoint_type(utm_source: Column, referrer: Column) -> Column:
         .when(referrer.isNull(), "direct").when(referrer.contains("social"), "social").otherwise("referral"))
 
 
-def touchpoints(events: DataFrame, period: Period, lookback_days: int = LOOKBACK_DAYS, as_of: str | None = None,
-                max_touches: int | None = None) -> DataFrame:
-    """Each person's touches, numbered, since `lookback_days` before `as_of` (the period's end by default).
-
-    `max_touches` keeps a person's first ones only.
-    """
+def touchpoints(events: DataFrame, period: Period, lookback_days: int = LOOKBACK_DAYS, as_of: str | None = None) -> DataFrame:
+    """Each person's touches since `lookback_days` before `as_of` (the period's end by default)."""
     since = timestamp(as_of or period.end) - F.expr(f"interval {lookback_days} days")
     inside = events.where((F.col("timestamp") >= since) & (F.col("timestamp") <= timestamp(period.end)))
     source, referrer = F.col("utm.source"), F.col("page.referrer")
@@ -42,20 +43,40 @@ def touchpoints(events: DataFrame, period: Period, lookback_days: int = LOOKBACK
         source.alias("utm_source"), F.col("utm.medium").alias("utm_medium"), F.col("utm.campaign").alias("utm_campaign"),
         F.col("device.type").alias("device_type"),
         F.regexp_replace(referrer, "https?://([^/]+).*", "$1").alias("referrer_domain"))
-    numbered = number_rows(rows.withColumn("user_id", person()).drop("lead_id"), PERSON).drop("previous_at").withColumnRenamed(
-        "position", "touchpoint_order")
+    return rows.withColumn("user_id", person()).drop("lead_id")
+
+
+def numbered_touches(touches: DataFrame, max_touches: int | None = None) -> DataFrame:
+    """Touches with their place among their person's; `max_touches` keeps the first ones only."""
+    numbered = number_rows(touches, PERSON).drop("previous_at").withColumnRenamed("position", "touchpoint_order")
     return numbered if max_touches is None else numbered.where(F.col("touchpoint_order") <= max_touches)
 
 
+def _decayed(at: Column, until: Column) -> Column:
+    """Weight of a touch: half for every half-life before `until`."""
+    return F.pow(F.lit(0.5), (F.unix_micros(until) - F.unix_micros(at)) / F.lit(86_400e6) / HALF_LIFE_DAYS)
+
+
 def journey_touches(touches: DataFrame, period: Period, conversions: DataFrame | None = None) -> DataFrame:
-    """Touches with their position in the journey, for journeys whose first touch is in the period.
+    """Alike touches of each journey whose first touch is in the period: one row per (journey, kind of touch) with their
+    number `n`, `weight`, first and last, and the journey's `touches`, `first_at`, `last_at`, `weights`.
 
     A journey with at least three touches counts as converted; `conversions` (visitors, such as those who
-    completed a funnel) replaces that rule.
+    completed a funnel) replaces that rule. Rows of a journey are bounded by the kinds of touches, not by its touches.
     """
-    facts = touches.groupBy(*JOURNEY).agg(
-        F.count("*").alias("touches"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
-    rows = number_rows(touches, JOURNEY).drop("previous_at").join(facts.where(period.contains("first_at")), JOURNEY)
+    at, until = F.struct("timestamp", "id"), timestamp(period.end)
+    alike = touches.groupBy(*JOURNEY, *TOUCH).agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"),
+        F.sum(_decayed(F.col("timestamp"), until)).alias("weight"))
+    journey = Window.partitionBy(*JOURNEY)
+    rows = alike.withColumns({
+        "touches": F.sum("n").over(journey), "_first": F.min("first").over(journey), "_last": F.max("last").over(journey),
+        "weights": F.sum("weight").over(journey)})
+    rows = rows.withColumns({
+        "has_first": F.col("first") == F.col("_first"), "has_last": (F.col("last") == F.col("_last")) & (F.col("touches") > 1),
+        "first_at": F.col("_first.timestamp"), "last_at": F.col("_last.timestamp"),
+        "first_weight": _decayed(F.col("_first.timestamp"), until), "last_weight": _decayed(F.col("_last.timestamp"), until)})
+    rows = rows.where(period.contains("first_at")).drop("_first", "_last")
     if conversions is None:
         return rows.withColumn("converted", F.col("touches") >= CONVERTED_STEPS)
     keys = [*SCOPE, "anonymous_id"]
@@ -73,12 +94,6 @@ def touchpoint_journeys(touches: DataFrame, period: Period) -> DataFrame:
         "duration_seconds": (F.unix_micros("last_at") - F.unix_micros("first_at")) / F.lit(1e6)})
 
 
-def _middle_share(first: float, last: float, whole: Column, i: Column, n: Column) -> Column:
-    middle = F.lit(1.0) - first - last if whole is None else whole
-    return (F.when(n == 1, F.lit(1.0)).when(i == 1, F.lit(first)).when(i == n, F.lit(last))
-            .otherwise(middle / (n - 2)))
-
-
 def check_custom_weights(first: float, middle: float, last: float) -> None:
     if not all(0 <= w <= 1 for w in (first, middle, last)) or abs(first + middle + last - 1) > 0.01:
         raise ValueError("custom weights are 0 to 1 each and add up to 1")
@@ -86,28 +101,32 @@ def check_custom_weights(first: float, middle: float, last: float) -> None:
 
 def credits(touches: DataFrame, models: tuple[str, ...] = MODELS,
             custom: tuple[float, float, float] = (0.5, 0.2, 0.3)) -> DataFrame:
-    """Credit of every touch of a converted journey, one column per model.
+    """Credit of the alike touches of converted journeys: a column per model, and its parts from the journey's first and
+    last touch (`<model>_first`, `<model>_last`).
 
     `custom` is (first, middle, last). With two touches the middle share is lost, in both weighted models.
     """
     check_custom_weights(*custom)
-    i, n = F.col("position"), F.col("touches")
-    age_days = (F.unix_micros("last_at") - F.unix_micros("timestamp")) / F.lit(86_400e6)
-    weight = F.pow(F.lit(0.5), age_days / HALF_LIFE_DAYS)
+    n, one = F.col("touches"), F.lit(1.0)
     first, middle, last = (w / sum(custom) for w in custom)
-    converted = touches.where("converted")
-    if "time_decay" in models:
-        whole = converted.groupBy(*JOURNEY).agg(F.sum(weight).alias("_weights"))
-        converted = converted.join(whole, JOURNEY)
-    formulas = {
-        "first_touch": F.when(i == 1, 1.0).otherwise(0.0),
-        "last_touch": F.when(i == n, 1.0).otherwise(0.0),
-        "linear": F.lit(1.0) / n,
-        "time_decay": weight / F.col("_weights") if "time_decay" in models else None,
-        "position_based": _middle_share(*POSITION_WEIGHTS, None, i, n),
-        "custom": _middle_share(first, last, F.lit(middle), i, n),
-    }
-    return converted.withColumns({m: formulas[m] for m in models}).drop("_weights")
+    alone = lambda value: F.when(n == 1, one).otherwise(value)
+    among = lambda whole: F.when(n > 2, F.lit(whole) / (n - 2)).otherwise(0.0)
+    ends = F.col("has_first").cast("int") + F.col("has_last").cast("int")
+    position = (*map(F.lit, POSITION_WEIGHTS), 1 - sum(POSITION_WEIGHTS))
+    each = {  # credit of a first touch, of a last one, and of each between
+        "first_touch": (one, F.lit(0.0), F.lit(0.0)), "last_touch": (alone(0.0), one, F.lit(0.0)),
+        "linear": (one / n, one / n, one / n), "position_based": (alone(position[0]), position[1], among(position[2])),
+        "custom": (alone(first), F.lit(last), among(middle))}
+    columns = {}
+    for m in models:
+        if m == "time_decay":
+            a, b = F.col("first_weight") / F.col("weights"), F.col("last_weight") / F.col("weights")
+        else:
+            a, b, c = each[m]
+        of_first, of_last = F.when(F.col("has_first"), a).otherwise(0.0), F.when(F.col("has_last"), b).otherwise(0.0)
+        rest = F.col("weight") / F.col("weights") - of_first - of_last if m == "time_decay" else (F.col("n") - ends) * c
+        columns |= {m: of_first + of_last + rest, f"{m}_first": of_first, f"{m}_last": of_last}
+    return touches.where("converted").withColumns(columns)
 
 
 def credit_table(credited: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
@@ -115,12 +134,7 @@ def credit_table(credited: DataFrame, models: tuple[str, ...] = MODELS) -> DataF
 
     Touches combine to this small table before anything else; every report below reads it.
     """
-    first = F.col("position") == 1
-    last = ~first & (F.col("position") == F.col("touches"))
-    sums = []
-    for m in models:
-        sums += [F.sum(m).alias(m), F.sum(F.when(first, F.col(m)).otherwise(0.0)).alias(f"{m}_first"),
-                 F.sum(F.when(last, F.col(m)).otherwise(0.0)).alias(f"{m}_last")]
+    sums = [F.sum(f"{m}{part}").alias(f"{m}{part}") for m in models for part in ("", "_first", "_last")]
     return credited.groupBy(*SCOPE, *TOUCH).agg(*sums)
 
 

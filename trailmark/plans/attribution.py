@@ -77,7 +77,7 @@ def _attributed(i: Inputs):
 SELECT {S}, user_id, anonymous_id, id, {tstext('"timestamp"')} AS "timestamp", touchpoint_type, utm_source, utm_medium,
   device_type, referrer_domain, touchpoint_order FROM tp"""))
 def touchpoints(i: Inputs):
-    return _touches(i).drop("utm_campaign").withColumns({
+    return attr.numbered_touches(_touches(i)).drop("utm_campaign").withColumns({
         "timestamp": ts_text(F.col("timestamp")), "touchpoint_order": F.col("touchpoint_order").cast("bigint")})
 
 

@@ -375,11 +375,26 @@ def test_channels(spark):
     assert found[4].referrer_domain == "blog.io"
 
 
-def test_journeys_cap_and_default_time(spark):
-    ev = events(spark, [{"t": n * 5, "who": "a_1"} for n in range(14)] + [{"t": 3, "who": "a_2"}])
-    found = journeys.user_journeys(journeys.journey_steps(ev, MONTH, 10)).collect()
-    assert len(found) == 1 and found[0].total_events == 10 and found[0].converted
-    assert [s.time_spent_seconds for s in found[0].steps] == [5.0] * 9 + [60.0]
+def test_long_journeys_are_whole(spark):
+    """500 steps over several hours and two visitors of one person, and the same path taken by twelve others."""
+    name = lambda n: f"s{n * n % 7}"
+    ev = events(spark, [{"t": n * 40, "who": f"a_{n % 2}", "lead": 7, "name": name(n)} for n in range(500)] + [{"t": 3, "who": "a_x"}]
+                + [{"t": 50 * n + k, "who": f"b_{k}", "name": name(n)} for n in range(60) for k in range(12)])
+    steps = journeys.journey_steps(ev, MONTH).cache()
+    mine = [r for r in steps.where("user_id = '7'").orderBy("step_order").collect()]
+    assert [r.step_order for r in mine] == list(range(1, 501)) and [r.position for r in mine] == [n // 2 + 1 for n in range(500)]
+    assert [r.time_spent_seconds for r in mine] == [40.0] * 499 + [60.0]
+    assert [r.from_step for r in mine] == [None, None] + [name(n - 2) for n in range(2, 500)]
+    found = journeys.user_journeys(steps, 3)
+    whole = {r.anonymous_id: r for r in found.collect()}
+    assert "a_x" not in whole and whole["a_1"].total_events == 250 and whole["a_1"].converted and whole["a_1"].last_order == 500
+    assert whole["b_0"].pattern == "event:s0 -> event:s1 -> event:s4 -> (60 steps)" and whole["a_0"].pattern != whole["b_0"].pattern
+    assert len({whole[f"b_{k}"].path for k in range(12)}) == 1 and len({r.path for r in whole.values()}) == 3
+    path = journeys.path_groups(found).collect()
+    assert [(r.users, r.path_steps, r.conversion_rate) for r in path] == [(12, 60, 100.0)]
+    by_step = journeys.path_steps(found, steps).orderBy("step_order").collect()
+    assert [r.step_identifier for r in by_step] == [name(n) for n in range(60)] and by_step[-1].alternative_exits == 12
+    assert journeys.path_transitions(steps).agg(F.sum("moves")).first()[0] == 12 * 59 + 2 * 249
 
 
 # ------------------------------------------------------------------ statistics
@@ -501,5 +516,5 @@ def test_empty_inputs(spark, inputs):
     assert st.count() == 0
     assert traffic.overview_counts(none, DAY).count() == 0
     assert conversion.conversion_steps(st, inputs.steps, DAY).agg(F.sum("users")).first()[0] == 0
-    assert journeys.user_journeys(journeys.journey_steps(none, DAY)).count() == 0
+    assert journeys.user_journeys(journeys.journey_steps(none, DAY), 5).count() == 0
     assert live.live_basic(st, inputs.steps, str(BASE)).where("active_users = 0").count() == 9

@@ -1,4 +1,9 @@
-"""User journeys and the conversion paths they form."""
+"""User journeys and the conversion paths they form.
+
+Journeys have any length: steps are numbered per (person, hour) and small rows per hour carry the numbers on, and a path
+is known by an order-sensitive hash of all its steps, which combines before the shuffle. Only its first steps, as many as
+the caller asks for, are spelled out.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import labels_where, round_half_up, share
+from trailmark.operators.blocks import block_of
 from trailmark.operators.percentiles import distribution
 from trailmark.params import SCOPE, Period
 
 PERSON = [*SCOPE, "user_id"]
 JOURNEY = [*PERSON, "anonymous_id"]
 PATH = [*SCOPE, "pattern"]
+PATH_KEY = [*SCOPE, "path", "pattern", "length"]
 
 # Fixed values of the journey and path reports.
 LAST_STEP_SECONDS = 60
@@ -26,55 +33,62 @@ def person() -> Column:
     return F.coalesce(F.col("lead_id").cast("string"), F.col("anonymous_id"))
 
 
-def first_events(events: DataFrame, limit: int, order: str = "step_order") -> DataFrame:
-    """Each person's first `limit` events, numbered.
-
-    Spark limits the ranked window before the shuffle, so a person with very many events sends at most
-    `limit` rows per task.
-    """
-    by_time = Window.partitionBy(*PERSON).orderBy("timestamp", "id")
-    rows = events.withColumn("user_id", person())
-    return rows.withColumn(order, F.row_number().over(by_time)).where(F.col(order) <= limit)
-
-
-def journey_steps(events: DataFrame, period: Period, max_steps: int = 10) -> DataFrame:
-    """Steps of each person's journey: type, identifier, label and seconds to the next kept step."""
+def journey_steps(events: DataFrame, period: Period) -> DataFrame:
+    """Every step of each person's journeys: its number among the person's (`step_order`) and the journey's steps
+    (`position`), the step before it in the journey, and seconds to the person's next step."""
     inside = events.where(period.contains("timestamp")).select(
-        *SCOPE, "id", "anonymous_id", "lead_id", "timestamp", F.col("event_name").alias("step_identifier"),
+        *SCOPE, "id", "anonymous_id", person().alias("user_id"), "timestamp", F.col("event_name").alias("step_identifier"),
         F.coalesce("page.title", "event_name").alias("step_label"),
         F.when(F.col("page").isNotNull(), "page").otherwise("event").alias("step_type"))
-    steps = first_events(inside, max_steps)
-    following = F.lead("timestamp").over(Window.partitionBy(*PERSON).orderBy("timestamp", "id"))
-    spent = (F.unix_micros(following) - F.unix_micros("timestamp")) / F.lit(1e6)
-    return steps.select(*JOURNEY, "step_order", "step_type", "step_identifier", "step_label", "timestamp",
-                        F.coalesce(spent, F.lit(float(LAST_STEP_SECONDS))).alias("time_spent_seconds"))
-
-
-def user_journeys(steps: DataFrame) -> DataFrame:
-    """One row per person and visitor with at least two steps; the array is bounded by the step limit.
-
-    Runs on the partitioning journey_steps leaves behind, so it adds no shuffle.
-    """
-    step = F.struct("step_order", "step_type", "step_identifier", "step_label", "timestamp", "time_spent_seconds")
+    rows = inside.withColumn("_block", block_of(F.unix_micros("timestamp")))
+    blocks = rows.groupBy(*JOURNEY, "_block").agg(
+        F.count("*").alias("_n"), F.min("timestamp").alias("_first"), F.max_by("step_identifier", F.struct("timestamp", "id")).alias("_last"))
+    of_person = Window.partitionBy(*PERSON)
+    earlier = of_person.orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    later = of_person.orderBy(-F.col("_block")).rangeBetween(Window.unboundedPreceding, -1)
+    of_journey = Window.partitionBy(*JOURNEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(
+        *JOURNEY, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_person_before"), F.min("_first").over(later).alias("_next"),
+        F.coalesce(F.sum("_n").over(of_journey), F.lit(0)).alias("_journey_before"), F.last("_last").over(of_journey).alias("_from"))
+    in_person = Window.partitionBy(*PERSON, "_block").orderBy("timestamp", "id")
+    in_journey = Window.partitionBy(*JOURNEY, "_block").orderBy("timestamp", "id")
+    steps = rows.join(carried, [*JOURNEY, "_block"]).withColumns({
+        "_k": F.row_number().over(in_journey), "_before": F.lag("step_identifier").over(in_journey),
+        "step_order": F.col("_person_before") + F.row_number().over(in_person),
+        "_next": F.coalesce(F.lead("timestamp").over(in_person), "_next")})
+    spent = (F.unix_micros("_next") - F.unix_micros("timestamp")) / F.lit(1e6)
+    return steps.select(
+        *JOURNEY, "step_order", (F.col("_journey_before") + F.col("_k")).alias("position"), "step_type", "step_identifier", "step_label",
+        "timestamp", F.when(F.col("_k") == 1, F.col("_from")).otherwise(F.col("_before")).alias("from_step"),
+        F.coalesce(spent, F.lit(float(LAST_STEP_SECONDS))).alias("time_spent_seconds"))
+
+
+def user_journeys(steps: DataFrame, spelled: int) -> DataFrame:
+    """One row per person and visitor with at least two steps. `path` stands for all steps in their order; `pattern` spells
+    the first `spelled` of them and says how many there are if there are more."""
+    label = F.concat("step_type", F.lit(":"), "step_identifier")
+    place = ("position", "step_type", "step_identifier")
     rows = steps.groupBy(*JOURNEY).agg(
-        F.array_sort(F.collect_list(step)).alias("steps"), F.count("*").alias("total_events"),
+        F.count("*").alias("total_events"),
         (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))).alias("completion_micros"),
-        (F.max("step_order") >= CONVERTED_STEPS).alias("_far"),
+        F.max("step_order").alias("last_order"), F.max_by("step_identifier", "position").alias("last_step"),
+        F.bit_xor(F.xxhash64(*place)).alias("_a"), F.bit_xor(F.xxhash64(F.lit("again"), *place)).alias("_b"),
+        F.array_sort(F.collect_list(F.when(F.col("position") <= spelled, F.struct("position", label.alias("label"))))).alias("_spelled"),
     ).where(F.col("total_events") >= MIN_JOURNEY_STEPS)
-    label = F.transform("steps", lambda s: F.concat(s["step_type"], F.lit(":"), s["step_identifier"]))
+    more = F.when(F.col("total_events") > spelled, F.concat(F.lit(" -> ("), F.col("total_events").cast("string"), F.lit(" steps)"))).otherwise("")
     return rows.select(
-        *JOURNEY, "steps", "total_events", "completion_micros",
-        ((F.col("total_events") >= CONVERTED_STEPS) & F.col("_far")).alias("converted"),
-        F.array_join(label, " -> ").alias("pattern"))
+        *JOURNEY, "total_events", "completion_micros", "last_order", "last_step",
+        ((F.col("total_events") >= CONVERTED_STEPS) & (F.col("last_order") >= CONVERTED_STEPS)).alias("converted"),
+        F.concat_ws("-", F.hex("_a"), F.hex("_b")).alias("path"), F.col("total_events").alias("length"),
+        F.concat(F.array_join(F.col("_spelled.label"), " -> "), more).alias("pattern"))
 
 
 def path_groups(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFrame:
     """Paths taken by at least `min_users` journeys: conversion, time, drop-out, scores and popularity."""
     timed = F.when(F.col("completion_micros") > 0, F.col("completion_micros"))
-    facts = distribution(journeys, PATH, timed, {"median_seconds": 0.5}, min_rows=min_users,
+    facts = distribution(journeys, PATH_KEY, timed, {"median_seconds": 0.5}, min_rows=min_users,
                          sums={"conversions": F.col("converted").cast("bigint")}).withColumnsRenamed(
-        {"rows": "users", "mean": "mean_seconds"}).withColumn(
-        "path_steps", F.size(F.split("pattern", " -> ")).cast("bigint"))
+        {"rows": "users", "mean": "mean_seconds", "length": "path_steps"})
     rate, mean = share(F.col("conversions"), F.col("users")), F.col("mean_seconds")
     speed = F.when(mean > 0, F.greatest(F.lit(0.0), F.lit(1.0) - mean / 3600)).otherwise(F.lit(1.0))
     simplicity = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("path_steps") / 20)
@@ -82,7 +96,7 @@ def path_groups(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFra
     efficiency = (F.least(rate / 100, F.lit(1.0)) * weights["conversion"] + speed * weights["speed"]
                   + simplicity * weights["simplicity"]) * 100
     velocity = F.least(F.lit(100.0), (F.greatest(F.lit(0.0), F.lit(100.0) - mean / 60) + rate) / 2)
-    by_users = Window.partitionBy(*SCOPE).orderBy(F.desc("users"), "pattern")
+    by_users = Window.partitionBy(*SCOPE).orderBy(F.desc("users"), "pattern", "path")
     return facts.select(
         *PATH, F.row_number().over(by_users).cast("bigint").alias("popularity_rank"), "users", "conversions",
         rate.alias("conversion_rate"), F.coalesce(mean, F.lit(0.0)).alias("avg_seconds"),
@@ -93,23 +107,21 @@ def path_groups(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFra
 
 
 def _popular(journeys: DataFrame, min_users: int) -> DataFrame:
-    counts = journeys.groupBy(*PATH).agg(F.count("*").alias("path_users")).where(F.col("path_users") >= min_users)
-    return journeys.join(counts, PATH)
+    counts = journeys.groupBy(*SCOPE, "path", "length").agg(F.count("*").alias("path_users")).where(F.col("path_users") >= min_users)
+    return journeys.join(counts, [*SCOPE, "path", "length"])
 
 
-def path_steps(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFrame:
+def path_steps(journeys: DataFrame, steps: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFrame:
     """Per path and position: share that got there, mean seconds spent, bounces and exits."""
-    rows = _popular(journeys, min_users).select(
-        *PATH, "path_users", F.size("steps").alias("length"), F.posexplode("steps").alias("position", "s"))
-    last = F.col("position") + 1 == F.col("length")
-    spent = F.when(F.col("s.time_spent_seconds") > 0, F.col("s.time_spent_seconds"))
-    return rows.groupBy(*PATH, "path_users", "position", F.col("s.step_type").alias("step_type"),
-                        F.col("s.step_identifier").alias("step_identifier")).agg(
+    rows = steps.join(_popular(journeys, min_users).select(*JOURNEY, "path", "pattern", "length", "path_users"), JOURNEY)
+    last = F.col("position") == F.col("length")
+    spent = F.when(F.col("time_spent_seconds") > 0, F.col("time_spent_seconds"))
+    return rows.groupBy(*PATH_KEY, "path_users", "position", "step_type", "step_identifier").agg(
         share(F.count("*"), F.first("path_users")).alias("completion_rate"),
         F.coalesce(F.avg(spent), F.lit(0.0)).alias("avg_time_spent"),
         F.when(F.col("step_type") == "page", share(F.count_if(last), F.count("*"))).alias("bounce_rate"),
         F.count_if(last).alias("alternative_exits"),
-    ).select(*PATH, (F.col("position") + 1).cast("bigint").alias("step_order"), "step_type", "step_identifier",
+    ).select(*PATH, F.col("position").cast("bigint").alias("step_order"), "step_type", "step_identifier",
              "completion_rate", "avg_time_spent", "bounce_rate", "alternative_exits")
 
 
@@ -127,23 +139,16 @@ def path_indicators(paths: DataFrame) -> DataFrame:
 
 def abandonment_points(journeys: DataFrame, min_users: int = MIN_PATH_USERS) -> DataFrame:
     """Per path: the last step of journeys that did not convert."""
-    last = F.element_at("steps", -1)
     return _popular(journeys, min_users).where(~F.col("converted")).groupBy(
-        *PATH, "path_users", last["step_order"].cast("bigint").alias("step_order"),
-        last["step_identifier"].alias("step_identifier")
+        *PATH_KEY, "path_users", F.col("last_order").cast("bigint").alias("step_order"), F.col("last_step").alias("step_identifier")
     ).agg(F.count("*").alias("abandonment_count")).select(
         *PATH, "step_order", "step_identifier", "abandonment_count",
         share(F.col("abandonment_count"), F.col("path_users")).alias("abandonment_rate"))
 
 
-def path_transitions(journeys: DataFrame) -> DataFrame:
+def path_transitions(steps: DataFrame) -> DataFrame:
     """Moves between consecutive steps of journeys: volume, share of the outflow, branching and merging."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("steps") - 1),
-        lambda i: F.struct(F.element_at("steps", i)["step_identifier"].alias("from_step"),
-                           F.element_at("steps", i + 1)["step_identifier"].alias("to_step")))
-    moves = journeys.select(*SCOPE, F.explode(pairs).alias("_m")).groupBy(
-        *SCOPE, F.col("_m.from_step").alias("from_step"), F.col("_m.to_step").alias("to_step")).agg(
+    moves = steps.where(F.col("position") > 1).groupBy(*SCOPE, "from_step", F.col("step_identifier").alias("to_step")).agg(
         F.count("*").alias("moves"))
     out, into = Window.partitionBy(*SCOPE, "from_step"), Window.partitionBy(*SCOPE, "to_step")
     return moves.withColumns({

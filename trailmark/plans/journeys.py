@@ -13,25 +13,28 @@ from trailmark.plans.sql import oracle, pct, rnd, tstext
 from trailmark.plans.timing import rounded
 
 S = "tenant_id, workspace_id"
+SPELLED = 50
 STEPS = f"""
 fe AS (SELECT *, COALESCE(CAST(lead_id AS VARCHAR), anonymous_id) AS user_id,
               CASE WHEN page_url IS NOT NULL OR page_referrer IS NOT NULL THEN 'page' ELSE 'event' END AS step_type
        FROM e WHERE "timestamp" {sql.WHOLE}),
 fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {S}, user_id ORDER BY "timestamp", id) AS step_order FROM fe),
-js AS (SELECT {S}, user_id, anonymous_id, step_order, step_type, event_name AS step_identifier, "timestamp",
+js AS (SELECT {S}, user_id, anonymous_id, step_order, ROW_NUMBER() OVER (PARTITION BY {S}, user_id, anonymous_id ORDER BY "timestamp", id) AS pos, step_type, event_name AS step_identifier, "timestamp",
          COALESCE((epoch_us(LEAD("timestamp") OVER (PARTITION BY {S}, user_id ORDER BY "timestamp", id))
                    - epoch_us("timestamp")) / 1e6, 60.0) AS time_spent_seconds
-       FROM fr WHERE step_order <= 10),
+       FROM fr),
 jj AS (SELECT {S}, user_id, anonymous_id, COUNT(*) AS total_events,
          epoch_us(MAX("timestamp")) - epoch_us(MIN("timestamp")) AS us,
          COUNT(*) >= 3 AND MAX(step_order) >= 3 AS converted,
-         string_agg(CONCAT(step_type, ':', step_identifier), ' -> ' ORDER BY step_order) AS pattern
+         string_agg(CONCAT(step_type, ':', step_identifier), ' -> ' ORDER BY step_order) AS path,
+         string_agg(CONCAT(step_type, ':', step_identifier), ' -> ' ORDER BY step_order) FILTER (WHERE pos <= {SPELLED})
+           || CASE WHEN COUNT(*) > {SPELLED} THEN ' -> (' || COUNT(*) || ' steps)' ELSE '' END AS pattern
        FROM js GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 2),
-pc AS (SELECT {S}, pattern, COUNT(*) AS users FROM jj GROUP BY 1, 2, 3 HAVING COUNT(*) >= 10)"""
+pc AS (SELECT {S}, path, COUNT(*) AS users FROM jj GROUP BY 1, 2, 3 HAVING COUNT(*) >= 10)"""
 
 
 def _journeys(i: Inputs):
-    return journeys.user_journeys(journeys.journey_steps(i.events, WHOLE))
+    return journeys.user_journeys(journeys.journey_steps(i.events, WHOLE), SPELLED)
 
 
 @query("user_journeys", oracle("e", f"""{STEPS}
@@ -46,14 +49,14 @@ def user_journeys(i: Inputs):
 SELECT {S}, user_id, anonymous_id, step_order, step_type, step_identifier, step_identifier AS step_label,
   {tstext('"timestamp"')} AS "timestamp", time_spent_seconds FROM js"""))
 def journey_steps(i: Inputs):
-    return journeys.journey_steps(i.events, WHOLE).withColumns({
+    return journeys.journey_steps(i.events, WHOLE).drop("position", "from_step").withColumns({
         "timestamp": ts_text(F.col("timestamp")), "step_order": F.col("step_order").cast("bigint")})
 
 
 PATHS = f"""{STEPS},
 pg0 AS (SELECT {S}, pattern, COUNT(*) AS users, COUNT(*) FILTER (WHERE converted) AS conversions,
           AVG(us) FILTER (WHERE us > 0) / 1e6 AS mean, quantile_cont(CAST(us AS DOUBLE), 0.5) FILTER (WHERE us > 0) / 1e6 AS med,
-          MAX(total_events) AS path_steps FROM jj GROUP BY 1, 2, 3 HAVING COUNT(*) >= 10),
+          MAX(total_events) AS path_steps FROM jj GROUP BY 1, 2, 3, path HAVING COUNT(*) >= 10),
 pg1 AS (SELECT *, {pct('conversions', 'users', None)} AS conversion_rate,
           ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY users DESC, pattern) AS popularity_rank FROM pg0),
 pg AS (SELECT {S}, pattern, popularity_rank, users, conversions, conversion_rate, COALESCE(mean, 0.0) AS avg_seconds,
@@ -84,10 +87,9 @@ def path_efficiency(i: Inputs):
 
 
 @query("path_steps", oracle("e", f"""{STEPS},
-x AS (SELECT js.*, jj.pattern, total_events, users,
-        ROW_NUMBER() OVER (PARTITION BY js.workspace_id, js.user_id, js.anonymous_id ORDER BY step_order) AS pos
+x AS (SELECT js.*, jj.pattern, total_events, users
       FROM js JOIN jj ON jj.workspace_id = js.workspace_id AND jj.user_id = js.user_id AND jj.anonymous_id = js.anonymous_id
-      JOIN pc ON pc.workspace_id = jj.workspace_id AND pc.pattern = jj.pattern)
+      JOIN pc ON pc.workspace_id = jj.workspace_id AND pc.path = jj.path)
 SELECT {S}, pattern, pos AS step_order, step_type, step_identifier, {pct('COUNT(*)', 'MAX(users)', 4)} AS completion_rate,
   {rnd('COALESCE(AVG(time_spent_seconds) FILTER (WHERE time_spent_seconds > 0), 0.0)', 3)} AS avg_time_spent,
   CASE WHEN step_type = 'page' THEN {pct('COUNT(*) FILTER (WHERE pos = total_events)', 'COUNT(*)', 4)} END AS bounce_rate,
@@ -95,7 +97,7 @@ SELECT {S}, pattern, pos AS step_order, step_type, step_identifier, {pct('COUNT(
 FROM (SELECT x.tenant_id, x.workspace_id, x.pattern, pos, step_type, step_identifier, users, time_spent_seconds, total_events
       FROM x) GROUP BY 1, 2, 3, 4, 5, 6"""))
 def path_steps(i: Inputs):
-    rows = journeys.path_steps(_journeys(i))
+    rows = journeys.path_steps(_journeys(i), journeys.journey_steps(i.events, WHOLE))
     return rounded(rounded(rows, 4, "completion_rate", "bounce_rate"), 3, "avg_time_spent")
 
 
@@ -113,7 +115,7 @@ def path_indicators(i: Inputs):
 l AS (SELECT jj.tenant_id, jj.workspace_id, jj.pattern, users,
         (SELECT (MAX(step_order), ARG_MAX(step_identifier, step_order)) FROM js WHERE js.workspace_id = jj.workspace_id
            AND js.user_id = jj.user_id AND js.anonymous_id = jj.anonymous_id) AS k
-      FROM jj JOIN pc ON pc.workspace_id = jj.workspace_id AND pc.pattern = jj.pattern WHERE NOT converted)
+      FROM jj JOIN pc ON pc.workspace_id = jj.workspace_id AND pc.path = jj.path WHERE NOT converted)
 SELECT {S}, pattern, CAST(k[1] AS BIGINT) AS step_order, k[2] AS step_identifier, COUNT(*) AS abandonment_count,
   {pct('COUNT(*)', 'MAX(users)', 4)} AS abandonment_rate FROM l GROUP BY 1, 2, 3, 4, 5"""))
 def abandonment(i: Inputs):
@@ -130,7 +132,7 @@ d AS (SELECT *, COUNT(*) OVER (PARTITION BY {S}, from_step) AS out_degree, COUNT
 SELECT {S}, from_step, to_step, moves, out_degree, in_degree, {pct('moves', 'so', 4)} AS outflow_pct,
   {pct('moves', 'si', 4)} AS inflow_pct, out_degree > 1 AS is_branch, in_degree > 1 AS is_merge FROM d"""))
 def path_transitions(i: Inputs):
-    return rounded(journeys.path_transitions(_journeys(i)), 4, "outflow_pct", "inflow_pct")
+    return rounded(journeys.path_transitions(journeys.journey_steps(i.events, WHOLE)), 4, "outflow_pct", "inflow_pct")
 
 
 @query("path_comparison", oracle("e", f"""{PATHS},

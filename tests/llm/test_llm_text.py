@@ -109,7 +109,11 @@ def test_replay_takes_a_lower_rank_that_a_merge_opens():
 
 
 def test_bpe_awkward(spark, tik):
-    got = sorted((r.doc_id or 0, r.ids) for r in byte_bpe.encoded(awkward(spark), RANKS, public_tokenizers.PATTERN).collect())
+    rows = byte_bpe.encoded(awkward(spark), RANKS, public_tokenizers.PATTERN, decode=True)
+    got = sorted((r.doc_id or 0, r.ids) for r in rows.collect())
+    assert sorted(bytes(r.bytes) for r in rows.collect()) == sorted((r[1] or "").encode() for r in AWKWARD)
+    apart = byte_bpe.decoded(rows.select("doc_id", "ids"), RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(repr, apart.collect())) == sorted(map(repr, rows.collect()))
     want = sorted((r[0] or 0, np.array(tik.encode_ordinary(r[1] or ""), "<u4").tobytes()) for r in AWKWARD)
     assert got == want
 
@@ -146,6 +150,33 @@ def test_packing_query(spark, sf_dir, texts):
     assert used <= least + 1
 
 
+SPECIAL = ["x<|endoftext|>y", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "A<|startoftext|>B.", "<| endoftext|>", "<|", "|", "a|b", " | ", "<|endoftext|>."]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return packing.Encoder(WORDS)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.lists(st.sampled_from([*SPECIAL, "Don't ", "w,", "w. ", "É", " ", "\n"]), max_size=8).map("".join)), max_size=5), st.booleans())
+def test_ids_are_those_of_the_tokenizer(encoder, some, forget):
+    encoder.known.limit = 1000 if forget else packing.KNOWN_BYTES  # letting go of words changes nothing
+    column = packing.pa.array([*some, "tail <|"], packing.pa.string())
+    for _, _, data, offsets in packing.slices(column):
+        ids, cuts = encoder.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [
+            encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in column.to_pylist()]
+
+
+def test_special_strings_become_their_tokens(spark):
+    rows = [(n, text, "en", "s") for n, text in enumerate([*SPECIAL, " ".join(SPECIAL), "".join(SPECIAL)])]
+    found = entries.packed_documents(awkward(spark, rows)).collect()
+    check_packing(found, [r[:2] for r in rows])
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.token_pieces(awkward(spark, rows), WORDS).collect()}
+    assert ids[1] == [49407, 1] and ids[2] == [49406, 1] and 49407 not in ids[3]
+
+
 def test_packing_awkward_and_tree(spark):
     check_packing(entries.packed_documents(awkward(spark)).collect(), [r[:2] for r in AWKWARD])
     assert entries.packed_documents(awkward(spark, [])).count() == 0

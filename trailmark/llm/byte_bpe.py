@@ -20,10 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from trailmark.llm.packing import Remembered
 from trailmark.llm.tables import text_rows
 from trailmark.llm.words import slices
 
-KNOWN_WORDS = 1_000_000  # words a worker remembers before it forgets them all; sways speed only
+SLICE = 1 << 20  # bytes of texts whose words are sorted out at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -119,30 +120,31 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()  # of bounded size; sways speed only
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         words = [self.split(text) for text in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set(chain.from_iterable(words)) if w not in known]
-        for word, ids in zip(new, replay([w.encode() for w in new], self.ranks)):
-            known[word] = np.array(ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        distinct = list(set(chain.from_iterable(words)))
+        ids = dict(zip(distinct, self.known.get(distinct)))
+        new = [w for w, x in ids.items() if x is None]
+        for word, made in zip(new, replay([w.encode() for w in new], self.ranks)):
+            self.known[word] = ids[word] = np.array(made, dtype="<u4").tobytes()
+        self.known.settle()
+        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encoded(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Of each row: doc_id, ids (binary, little-endian unsigned 32-bit integers).
+def encoded(documents: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
+    """Of each row: doc_id, ids (binary, little-endian unsigned 32-bit integers) and, with `decode`, bytes (what the ids
+    stand for, from the ids alone, in the same pass).
 
     A null text counts as empty; an empty text has no ids. `path` is the rank file, which every executor must have.
     """
@@ -150,12 +152,13 @@ def encoded(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
         for batch in batches:
-            for low, high, _, _ in slices(batch.column("text")):
-                texts = batch.column("text").slice(low, high - low).fill_null("").to_pylist()
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(low, high - low),
-                                                  "ids": pa.array(use.encode(texts), pa.binary())})
+            for low, high, _, _ in slices(batch.column("text"), SLICE):
+                ids = use.encode(batch.column("text").slice(low, high - low).fill_null("").to_pylist())
+                columns = {"doc_id": batch.column("doc_id").slice(low, high - low), "ids": pa.array(ids, pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns | ({"bytes": pa.array(map(use.decode, ids), pa.binary())} if decode else {}))
+        codec.cache_clear()  # the worker lives on
 
-    return text_rows(documents).mapInArrow(run, "doc_id long, ids binary")
+    return text_rows(documents).mapInArrow(run, "doc_id long, ids binary" + (", bytes binary" if decode else ""))
 
 
 def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -169,5 +172,6 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "ids": part.column("ids"),
                     "bytes": pa.array(map(use.decode, part.column("ids").to_pylist()), pa.binary())})
+        codec.cache_clear()
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.byte_bpe import decoded, encoded
+from trailmark.llm.byte_bpe import encoded
 from trailmark.llm.chat import PREFERENCES_SQL, contrasted, conversations, preferences
 from trailmark.llm.hilbert import nearest
 from trailmark.llm.language import identified
@@ -64,8 +64,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encoded(table(spark, sf_dir, "documents"), path, pattern)
-    return decoded(ids, path, pattern).select(
+    return encoded(table(spark, sf_dir, "documents"), path, pattern, decode=True).select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))
 

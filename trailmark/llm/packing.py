@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,51 +20,140 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.tables import text_rows, written
-from trailmark.llm.words import slices
+from trailmark.llm.words import IS_SPACE, slices
 
 CAPACITY = 4096
 END_ID = 1
 FAN_IN = 8
 BLOCK = 200_000  # items packed together in a task
 ROOM = 8  # a bin with at most this much room is full
-KNOWN_WORDS = 1_000_000
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+KNOWN_BYTES = 32 << 20
+WORD_COST = 180  # bytes that a remembered word takes besides its own and its ids
+TOGETHER = 256  # new words given to the tokenizer in one text
+BETWEEN = b"|"  # a word that is one token, put between them
+MARK = b"<|"  # begins the strings of special tokens, which are looked for before letters are lowered
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
+class Remembered:
+    """Ids of words met before, in two generations of bounded size: words that are met again stay."""
+
+    def __init__(self, limit: int = KNOWN_BYTES) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.taken, self.limit = 0, limit
+
+    def __setitem__(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.taken += len(word) + len(ids) + WORD_COST
+
+    def get(self, words: list[bytes]) -> list[bytes | None]:
+        out = list(map(self.young.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            if (ids := self.old.get(words[k])) is not None:
+                self[words[k]] = out[k] = ids
+        return out
+
+    def settle(self) -> None:
+        """Between two slices: lets go of what was not met for a generation."""
+        if self.taken > self.limit:
+            self.young, self.old, self.taken = {}, self.young, 0
+
+
 class Encoder:
-    """A lower-casing tokenizer whose tokens end at white space, run once per distinct word."""
+    """A lower-casing tokenizer whose tokens end at white space, run once per distinct word of a slice."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, encoding in zip(words, got):
-            self.known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+        self.lettered = Tokenizer.from_file(path)  # for words of a-z, which nothing splits or changes
+        self.lettered.normalizer, self.lettered.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.known = Remembered()
+        between = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. Most go through the tokenizer many at once, with a known token between them."""
+        together = [w for w in words if BETWEEN not in w] if self.between is not None else []
+        alone = [w for w in words if BETWEEN in w] if together else words
+        sep = b" " + BETWEEN + b" "
+        found: dict[bytes, bytes] = {}
+        for tokenizer, some in ((self.lettered, [w for w in together if w.isalpha()]), (self.tokenizer, [w for w in together if not w.isalpha()])):
+            groups = [some[k:k + TOGETHER] for k in range(0, len(some), TOGETHER)]
+            encodings = tokenizer.encode_batch_fast([sep.join(g).decode() for g in groups], add_special_tokens=False)
+            for group, encoding in zip(groups, encodings):
+                ids = np.array(encoding.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.between)
+                if len(cuts) + 1 != len(group):
+                    alone = alone + group
+                    continue
+                bounds = zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist())
+                raw = ids.tobytes()
+                found.update((w, raw[4 * a:4 * b]) for w, (a, b) in zip(group, bounds))
+        for word, encoding in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+            found[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        return found
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         known = self.known
-        words = [text.translate(FOLD).split() for text in texts]
-        new = [w for w in set(chain.from_iterable(words)) if w not in known]
-        # a full stop or comma after a letter is a token of its own
-        tailed = [w for w in new if w[-1] in b".," and w[-2:-1].isalpha()]
-        self.learn(list({w[:-1] for w in tailed} | {b".", b","} | set(new).difference(tailed) - known.keys()))
-        for w in tailed:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        out = known.get(words)
+        new = {words[k] for k in [k for k, ids in enumerate(out) if ids is None]}
+        if new:
+            # a full stop or comma after a letter is a token of its own
+            tailed = [w for w in new if w[-1] in b".," and w[-2:-1].isalpha()]
+            stems = list({w[:-1] for w in tailed} | {b".", b","})
+            found = {w: ids for w, ids in zip(stems, known.get(stems)) if ids is not None}
+            made = self.learn(list((new.difference(tailed) | set(stems)) - found.keys()))
+            for w in tailed:
+                made[w] = (found.get(w[:-1]) or made[w[:-1]]) + (found.get(w[-1:]) or made[w[-1:]])
+            for w, ids in made.items():
+                known[w] = ids
+            out = [made[w] if ids is None else ids for w, ids in zip(words, out)]
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice (see `words.slices`), and where each text's ids begin and end."""
+        lowered = FOLD[data]
+        solid = ~IS_SPACE[lowered]
+        before = np.append(False, solid[:-1]) if len(solid) else solid
+        first = np.zeros(len(data), dtype=bool)
+        first[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(solid & (~before | first))
+        for at in found_at(data.tobytes(), MARK):  # as it is: the tokenizer lowers what is no special token
+            k = int(np.searchsorted(starts, at, "right")) - 1
+            end = at
+            while end < len(data) and solid[end] and (end == at or not first[end]):
+                end += 1
+            lowered[starts[k]:end] = data[starts[k]:end]
+        length = np.add.reduceat(solid, starts) if len(starts) else np.zeros(0, dtype=np.int64)
+        bounds = np.append(0, np.cumsum(length)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(lowered[solid])])
+        coded = words.dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        self.known.settle()
+        each = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        begin = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        total = np.append(0, np.cumsum(size[which]))
+        place = np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], size[which])
+        return each[place], total[np.searchsorted(starts, offsets)]
+
+
+def found_at(data: bytes, mark: bytes) -> Iterator[int]:
+    at = data.find(mark)
+    while at >= 0:
+        yield at
+        at = data.find(mark, at + 1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -74,7 +162,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) of each document's ids and end id.
 
     Only documents longer than `capacity` are cut, into pieces of that length but the last. A null or empty text is
-    the end id alone.
+    the end id alone. Strings of special tokens in a text become those tokens, as the tokenizer has it.
     """
     step, end = 4 * capacity, int(end_id).to_bytes(4, "little")
 
@@ -82,16 +170,17 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
         use = encoder(path)
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
-                raw, where = data.tobytes(), offsets.tolist()
                 docs = batch.column("doc_id").slice(low, high - low).to_pylist()
-                rows = [(doc, at // step, at // 4, ids[at:at + step])
-                        for doc, body in zip(docs, use.encode([raw[a:b] for a, b in zip(where, where[1:])]))
-                        for ids in [body + end] for at in range(0, len(ids), step)]
+                found, cuts = use.encode(data, offsets)
+                raw, cuts = found.tobytes(), (4 * cuts).tolist()
+                rows = [(doc, at // step, at // 4, ids[at:at + step]) for doc, a, b in zip(docs, cuts, cuts[1:])
+                        for ids in [raw[a:b] + end] for at in range(0, len(ids), step)]
                 doc, piece, start, ids = (list(x) for x in zip(*rows))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()), "length": pa.array([len(x) // 4 for x in ids], pa.int64()),
                     "ids": pa.array(ids, pa.binary())})
+        encoder.cache_clear()  # the worker lives on
 
     return text_rows(documents).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

@@ -18,19 +18,22 @@ def funnel_user_state(matched: DataFrame) -> DataFrame:
 
     Entry and activity are the first and last matched event, the position is the furthest step, and the
     completion time moves with every later matched event once a conversion step was matched. All are
-    order-free aggregates that combine before the shuffle, so late rows and hot visitors are no problem.
+    order-free aggregates that combine before the shuffle, so late rows and hot visitors are no problem. The lead is that of
+    the latest matched event that has one.
     """
     completed = F.bool_or(F.col("step_type") == "conversion")
     last = F.max("timestamp")
+    lead = F.col("lead_id") if "lead_id" in matched.columns else F.lit(None).cast("bigint")
     state = matched.groupBy(*SCOPE, *FUNNEL_COLUMNS, "anonymous_id").agg(
         F.min("timestamp").alias("entered_at"),
         last.alias("last_activity_at"),
         F.max("step_order").alias("current_step_index"),
         F.when(completed, last).alias("completed_at"),
+        F.max_by(lead, F.when(lead.isNotNull(), F.struct("timestamp", "id"))).alias("lead_id"),
     )
     done = F.col("completed_at").isNotNull()
     return state.select(
-        *SCOPE, *FUNNEL_COLUMNS, "anonymous_id", "current_step_index", "entered_at", "last_activity_at",
+        *SCOPE, *FUNNEL_COLUMNS, "anonymous_id", "lead_id", "current_step_index", "entered_at", "last_activity_at",
         "completed_at",
         F.lit(None).cast("timestamp").alias("exited_at"),
         F.lit(None).cast("int").alias("exit_step_index"),
@@ -39,6 +42,11 @@ def funnel_user_state(matched: DataFrame) -> DataFrame:
     )
 
 
+def state_as_of(matched: DataFrame, now: str) -> DataFrame:
+    """The state that was known at an instant: later events do not count yet."""
+    return funnel_user_state(matched.where(F.col("timestamp") <= timestamp(now)))
+
+
 def reached_all_steps() -> Column:
     """At the last step and completed."""
     return (F.col("current_step_index") + 1 == F.col("total_steps")) & F.col("completed_at").isNotNull()

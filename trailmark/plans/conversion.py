@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import round_half_up, ts_text
-from trailmark.operators import conversion, dropoff, rollups
+from trailmark.operators import conversion, dropoff, refresh, rollups
 from trailmark.operators.matching import match_funnel_events
 from trailmark.operators.state import abandon_users, progression_events, strict_funnel
 from trailmark.params import FUNNEL, SCOPE
 from trailmark.plans import sql
 from trailmark.plans.registry import AS_OF, CURRENT, WHOLE, Inputs, query
 from trailmark.plans.sql import avg_secs, oracle, pct, rnd, secs, tstext
+from trailmark.session import shared_folder
 from trailmark.sources.definitions import funnel_inventory, validate_funnel_defs
 
 G = "tenant_id, workspace_id, funnel_id"
@@ -88,11 +89,11 @@ def join_funnel_match(i: Inputs):
 @query("funnel_user_state", oracle("st", f"""
 SELECT {G}, anonymous_id, CAST(current_step_index AS BIGINT) AS current_step_index, status,
   {tstext('entered_at')} AS entered_at, {tstext('last_activity_at')} AS last_activity_at,
-  {tstext('completed_at')} AS completed_at, {secs('completed_at', 'entered_at')} AS conversion_time_seconds FROM st"""))
+  {tstext('completed_at')} AS completed_at, {secs('completed_at', 'entered_at')} AS conversion_time_seconds, user_lead AS lead_id FROM st"""))
 def user_state(i: Inputs):
-    columns = [*FUNNEL, "anonymous_id", "current_step_index", "status", "entered_at", "last_activity_at",
+    columns = [*FUNNEL, "anonymous_id", "lead_id", "current_step_index", "status", "entered_at", "last_activity_at",
                "completed_at", "conversion_time_seconds"]
-    return texts(longs(i.state.select(*columns), "current_step_index"), "entered_at", "last_activity_at", "completed_at")
+    return texts(longs(i.led_state.select(*columns), "current_step_index"), "entered_at", "last_activity_at", "completed_at")
 
 
 @query("scan_funnel_state", oracle("st", f"""
@@ -454,42 +455,77 @@ def summary(i: Inputs):
 CONV_SECONDS = "CAST(epoch_us(completed_at) - epoch_us(entered_at) AS DOUBLE) / 1e6"
 
 
-@query("mv_daily_step_completions", oracle("st", f"""
+LEFT = f"completed_at IS NULL AND epoch_us({sql.AS_OF}) - epoch_us(last_activity_at) > 604800000000"
+DAILY_SQL = oracle("st", f"""
 SELECT {G}, CAST(current_step_index AS BIGINT) AS current_step_index,
   strftime(last_activity_at, '%Y-%m-%d') AS activity_date, COUNT(*) AS users_at_step,
-  COUNT(completed_at) AS completions, CAST(0 AS BIGINT) AS exits,
+  COUNT(completed_at) AS completions, COUNT(*) FILTER (WHERE {LEFT}) AS exits,
   {rnd(f'AVG({CONV_SECONDS})', 3)} AS avg_conversion_time
-FROM st WHERE last_activity_at >= TIMESTAMP '2023-11-02' GROUP BY 1, 2, 3, 4, 5"""))
+FROM st WHERE last_activity_at >= TIMESTAMP '2023-11-02' GROUP BY 1, 2, 3, 4, 5""")
+
+
+def _daily_rows(rows):
+    return longs(rows, "current_step_index").withColumns({
+        "activity_date": F.col("activity_date").cast("string"), "avg_conversion_time": round_half_up(F.col("avg_conversion_time"), 3)})
+
+
+@query("mv_daily_step_completions", DAILY_SQL)
 def daily(i: Inputs):
-    return longs(rollups.daily_step_completions(i.state, AS_OF), "current_step_index").withColumns({
-        "activity_date": F.col("activity_date").cast("string"),
-        "avg_conversion_time": round_half_up(F.col("avg_conversion_time"), 3)})
+    return _daily_rows(rollups.daily_step_completions(abandon_users(i.state, AS_OF), AS_OF))
+
+
+def _refreshed(i: Inputs):
+    """The rollups after two loads, the second one twice: events that arrived by the middle of the month, then the rest.
+    Every fifth event arrives late, so days of the first load change with the second."""
+    second = (F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp")) | (F.col("id") % 5 == 0)
+    store = refresh.rollup_store(i.spark, shared_folder(i.spark, "rollups"), buckets=8)
+    for number, rows in enumerate([i.matched.where(~second), i.matched.where(second), i.matched.where(second)]):
+        refresh.refresh(store, rows, min(number, 1))
+    return store
+
+
+@query("mv_daily_refreshed", DAILY_SQL)
+def daily_refreshed(i: Inputs):
+    return _daily_rows(refresh.daily_step_completions(_refreshed(i), AS_OF))
 
 
-@query("mv_conversion_summary", oracle("st", f"""
+SUMMARY_SQL = oracle("st", f"""
 f AS (SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(w AS BIGINT) AS workspace_id, CAST(10 * n + w AS BIGINT) AS funnel_id, nm AS funnel_name
       FROM (VALUES (1, 'Signup to purchase'), (2, 'Pages to purchase'), (3, 'Click to purchase'), (4, 'Draft')) a(n, nm),
            (VALUES (1), (2), (3)) b(w))
 SELECT f.tenant_id, f.workspace_id, f.funnel_id, funnel_name, COUNT(anonymous_id) AS total_users,
-  COUNT(completed_at) AS conversions, CAST(0 AS BIGINT) AS exits, CAST(0 AS BIGINT) AS abandoned,
+  COUNT(completed_at) AS conversions, COUNT(*) FILTER (WHERE anonymous_id IS NOT NULL AND {LEFT}) AS exits,
+  COUNT(*) FILTER (WHERE anonymous_id IS NOT NULL AND {LEFT}) AS abandoned,
   CASE WHEN COUNT(anonymous_id) > 0 THEN {pct('COUNT(completed_at)', 'COUNT(anonymous_id)')} END AS conversion_rate,
   {rnd(f'AVG({CONV_SECONDS})', 3)} AS avg_conversion_time, {tstext('MIN(entered_at)')} AS first_entry,
   {tstext('MAX(last_activity_at)')} AS last_activity
-FROM f LEFT JOIN st ON st.funnel_id = f.funnel_id GROUP BY 1, 2, 3, 4"""))
+FROM f LEFT JOIN st ON st.funnel_id = f.funnel_id GROUP BY 1, 2, 3, 4""")
+
+
+@query("mv_conversion_summary", SUMMARY_SQL)
 def conversion_summary(i: Inputs):
-    rows = rollups.conversion_summary(i.defs.funnels, i.state)
+    return _summary_rows(rollups.conversion_summary(i.defs.funnels, abandon_users(i.state, AS_OF)))
+
+
+@query("mv_summary_refreshed", SUMMARY_SQL)
+def summary_refreshed(i: Inputs):
+    return _summary_rows(refresh.conversion_summary(_refreshed(i), i.defs.funnels, AS_OF))
+
+
+def _summary_rows(rows):
     return texts(rows, "first_entry", "last_activity").withColumn(
         "avg_conversion_time", round_half_up(F.col("avg_conversion_time"), 3))
 
 
 @query("mv_progression_paths", oracle("st", f"""
-SELECT {G}, anonymous_id, CAST(current_step_index AS BIGINT) AS current_step_index, status,
+SELECT {G}, anonymous_id, user_lead AS lead_id, CAST(current_step_index AS BIGINT) AS current_step_index,
+  CAST(CASE WHEN {LEFT} THEN current_step_index END AS BIGINT) AS exit_step_index, CASE WHEN {LEFT} THEN 'abandoned' ELSE status END AS status,
   {tstext('entered_at')} AS entered_at, {tstext('completed_at')} AS completed_at,
   {CONV_SECONDS} AS conversion_time_seconds, CAST(greatest(current_step_index, 0) AS BIGINT) AS steps_completed
 FROM st WHERE entered_at >= TIMESTAMP '2024-01-01'"""))
 def paths(i: Inputs):
-    rows = rollups.progression_paths(i.state, AS_OF).drop("exit_step_index")
-    return texts(longs(rows, "current_step_index"), "entered_at", "completed_at")
+    rows = rollups.progression_paths(abandon_users(i.led_state, AS_OF), AS_OF)
+    return texts(longs(rows, "current_step_index", "exit_step_index"), "entered_at", "completed_at")
 
 
 # --------------------------------------------------------------------- exports

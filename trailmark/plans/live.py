@@ -8,7 +8,8 @@ from trailmark.functions.columns import ts_text
 from trailmark.operators import anomalies, conversion, live
 from trailmark.plans import sql
 from trailmark.plans.conversion import G
-from trailmark.plans.registry import AS_OF, CURRENT, WHOLE, Inputs, query
+from trailmark.operators.state import state_as_of
+from trailmark.plans.registry import AS_OF, CURRENT, REGISTRY, WHOLE, Inputs, query
 from trailmark.plans.sql import AS_OF as NOW
 from trailmark.plans.sql import avg_secs, oracle, pct, rnd, secs, tstext
 from trailmark.plans.timing import rounded
@@ -72,6 +73,28 @@ def rate_anomaly(i: Inputs):
     return live.rate_anomaly(i.state, AS_OF)
 
 
+# ------------------------------------------------- an instant with events after it
+PAST = "2024-01-16 12:00:00"
+
+
+def _past_sql(name: str) -> str:
+    """The query's SQL over the events up to the instant."""
+    text = REGISTRY[name].sql.replace(NOW, f"TIMESTAMP '{PAST}'")
+    return text.replace("m AS (SELECT * FROM m0 WHERE step IS NOT NULL)",
+                        f"""m AS (SELECT * FROM m0 WHERE step IS NOT NULL AND "timestamp" <= TIMESTAMP '{PAST}')""")
+
+
+def _past(i: Inputs):
+    return state_as_of(i.matched, PAST)
+
+
+query("live_basic_past", _past_sql("live_basic"))(lambda i: live.live_basic(_past(i), i.steps, PAST))
+query("live_steps_past", _past_sql("live_steps"))(lambda i: live.live_steps(_past(i), PAST))
+query("live_trend_past", _past_sql("live_trend"))(
+    lambda i: live.live_trend(_past(i), i.steps, PAST).withColumn("minute", ts_text(F.col("minute"))))
+query("rate_anomaly_past", _past_sql("rate_anomaly"))(lambda i: live.rate_anomaly(_past(i), PAST))
+
+
 @query("stuck_users", oracle("st", f"""{STUCK}
 SELECT * REPLACE ({rnd('avg_idle_seconds', 3)} AS avg_idle_seconds) FROM su"""))
 def stuck_users(i: Inputs):

@@ -56,6 +56,11 @@ class Inputs:
     def state(self) -> DataFrame:
         return funnel_user_state(self.matched)
 
+    @cached_property
+    def led_state(self) -> DataFrame:
+        """Funnel state with leads."""
+        return funnel_user_state(match_funnel_events(self.events, self.defs))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

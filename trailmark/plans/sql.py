@@ -64,7 +64,8 @@ st AS (
   SELECT m.tenant_id, m.workspace_id, m.funnel_id, m.anonymous_id,
          MIN("timestamp") AS entered_at, MAX("timestamp") AS last_activity_at, MAX(step) AS current_step_index,
          CASE WHEN BOOL_OR(step_type = 'conversion') THEN MAX("timestamp") END AS completed_at,
-         CASE WHEN BOOL_OR(step_type = 'conversion') THEN 'completed' ELSE 'active' END AS status
+         CASE WHEN BOOL_OR(step_type = 'conversion') THEN 'completed' ELSE 'active' END AS status,
+         ARG_MAX(lead_id, ("timestamp", id)) FILTER (WHERE lead_id IS NOT NULL) AS user_lead
   FROM m JOIN steps ON steps.funnel_id = m.funnel_id AND steps.order_index = m.step
   GROUP BY 1, 2, 3, 4)"""
 

@@ -156,7 +156,7 @@ def encoded(documents: DataFrame, path: str, pattern: str, decode: bool = False)
                 ids = use.encode(batch.column("text").slice(low, high - low).fill_null("").to_pylist())
                 columns = {"doc_id": batch.column("doc_id").slice(low, high - low), "ids": pa.array(ids, pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns | ({"bytes": pa.array(map(use.decode, ids), pa.binary())} if decode else {}))
-        codec.cache_clear()  # the worker lives on
+        use.known.forget()  # the worker lives on
 
     return text_rows(documents).mapInArrow(run, "doc_id long, ids binary" + (", bytes binary" if decode else ""))
 
@@ -172,6 +172,5 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "ids": part.column("ids"),
                     "bytes": pa.array(map(use.decode, part.column("ids").to_pylist()), pa.binary())})
-        codec.cache_clear()
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")

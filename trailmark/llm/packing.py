@@ -27,7 +27,8 @@ END_ID = 1
 FAN_IN = 8
 BLOCK = 200_000  # items packed together in a task
 ROOM = 8  # a bin with at most this much room is full
-KNOWN_BYTES = 32 << 20
+KNOWN_BYTES = 16 << 20
+SLICE = 2 << 20  # bytes of texts whose words are sorted out at once
 WORD_COST = 180  # bytes that a remembered word takes besides its own and its ids
 TOGETHER = 256  # new words given to the tokenizer in one text
 BETWEEN = b"|"  # a word that is one token, put between them
@@ -57,6 +58,9 @@ class Remembered:
                 self[words[k]] = out[k] = ids
         return out
 
+    def forget(self) -> None:
+        self.young, self.old, self.taken = {}, {}, 0
+
     def settle(self) -> None:
         """Between two slices: lets go of what was not met for a generation."""
         if self.taken > self.limit:
@@ -68,11 +72,11 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lettered = Tokenizer.from_file(path)  # for words of a-z, which nothing splits or changes
-        self.lettered.normalizer, self.lettered.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.lettered = Tokenizer(self.tokenizer.model)  # shares the model: for words of a-z, which nothing splits or changes
+        self.lettered.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known = Remembered()
         between = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
@@ -169,7 +173,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path)
         for batch in batches:
-            for low, high, data, offsets in slices(batch.column("text")):
+            for low, high, data, offsets in slices(batch.column("text"), SLICE):
                 docs = batch.column("doc_id").slice(low, high - low).to_pylist()
                 found, cuts = use.encode(data, offsets)
                 raw, cuts = found.tobytes(), (4 * cuts).tolist()
@@ -180,7 +184,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
                     "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()), "length": pa.array([len(x) // 4 for x in ids], pa.int64()),
                     "ids": pa.array(ids, pa.binary())})
-        encoder.cache_clear()  # the worker lives on
+        use.known.forget()  # the worker lives on
 
     return text_rows(documents).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

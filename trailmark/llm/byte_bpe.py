@@ -24,7 +24,7 @@ from trailmark.llm.packing import Remembered
 from trailmark.llm.tables import text_rows
 from trailmark.llm.words import slices
 
-SLICE = 1 << 20  # bytes of texts whose words are sorted out at once
+KNOWN_BYTES = 96 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -120,7 +120,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.known = Remembered()  # of bounded size; sways speed only
+        self.known = Remembered(KNOWN_BYTES)  # of bounded size; sways speed only
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -152,7 +152,7 @@ def encoded(documents: DataFrame, path: str, pattern: str, decode: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
         for batch in batches:
-            for low, high, _, _ in slices(batch.column("text"), SLICE):
+            for low, high, _, _ in slices(batch.column("text")):
                 ids = use.encode(batch.column("text").slice(low, high - low).fill_null("").to_pylist())
                 columns = {"doc_id": batch.column("doc_id").slice(low, high - low), "ids": pa.array(ids, pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns | ({"bytes": pa.array(map(use.decode, ids), pa.binary())} if decode else {}))

@@ -1,8 +1,7 @@
 """From raw documents to packed sequences: the stages of a training corpus.
 
-Each stage takes the documents that the one before it kept and returns documents, the last one sequences. Rows without
-doc_id pass the first two stages and leave at the third, where they cannot be told apart; rows that share a doc_id are
-one document there, of which one row stays.
+Each stage takes the documents that the one before it kept and returns documents, the last one sequences. Every row is a
+document of its own, also without a doc_id or with one that other rows have.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from trailmark.llm.tables import written
 from trailmark.session import prepare
 
 LEAST_SURE = 0.5
+WORDS_TOGETHER, NEAR = 5, (80, 100)
 
 
 def kept_rows(judged: DataFrame, documents: DataFrame) -> DataFrame:
@@ -39,9 +39,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: that with the smallest doc_id.
+
+    Near are texts that share 80 % of their shingles of five words. Every row is a document of its own, whatever its
+    doc_id: rows without one, or with one that others have, stay unless their text is near another's.
+    """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), WORDS_TOGETHER, NEAR)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    named = rows.select("doc_id", key).join(found.select(F.col("doc_id").alias(key), "component_id"), key)
+    first = named.groupBy("component_id").agg(F.min(order)[key].alias(key)).select(key)
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

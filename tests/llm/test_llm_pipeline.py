@@ -2,8 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
-from llm_helpers import awkward
-from test_llm_tables import plain_components
+from llm_helpers import awkward, words
 from test_llm_text import check_packing, plain_quality, plain_spans
 
 from trailmark.llm import quality
@@ -53,10 +52,39 @@ def test_language_stage(stages):
     assert made.count() >= 0.99 * docs.count()
 
 
+def plain_groups(texts, width=5):
+    """Components of texts whose sets of shingles share 80 %, every pair compared; texts without words are alone."""
+    sets = [frozenset(tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset() for w in map(words, texts)]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                label = [label[a] if x == label[b] else x for x in label]
+    return label
+
+
 def test_duplicate_stage(stages):
     docs, made = stages["near duplicates"]
-    want = {component for _, _, component in plain_components(list(docs_text(docs).items()))}
-    assert sorted(r.doc_id for r in made.collect()) == sorted(want)
+    rows = docs.select("doc_id", "text").collect()
+    first = {}
+    for row, group in zip(rows, plain_groups([r.text for r in rows])):
+        first[group] = min(row.doc_id, first.get(group, row.doc_id))
+    assert sorted(r.doc_id for r in made.collect()) == sorted(first.values())
+
+
+def test_duplicate_stage_keeps_different_texts(spark, sf_dir):
+    """A copy with 15 % more text and one cut short go; shared and missing ids cost no text."""
+    base = " ".join(f"w{k * k % 1009}" for k in range(300))
+    added, cut, other = base + " " + " ".join(f"x{k}" for k in range(45)), " ".join(base.split()[:255]), " ".join(f"y{k}" for k in range(60))
+    rows = [(2, base, "en", "s"), (1, added, "en", "s"), (3, cut, "en", "s"), (None, other, "en", "s"), (None, other + " z", "en", "s"),
+            (9, "one text here", "en", "s"), (9, "and another one", "en", "s"), (9, "one text here", "en", "s"), (None, None, "en", "s"), (None, "", "en", "s")]
+    docs = awkward(spark, rows).withColumn("_row", corpus_pipeline.F.lit(7))
+    made = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert made.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in made.collect()]
+    assert len(kept) == 6 and {(1, added), (9, "one text here"), (9, "and another one"), (None, None), (None, "")} <= set(kept)
+    assert {t for _, t in kept} & {other, other + " z"}
 
 
 def test_secret_stage(stages):

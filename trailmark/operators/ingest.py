@@ -190,6 +190,29 @@ def client_ip(headers: dict[str, Column], remote: Column | None = None) -> Colum
     return F.coalesce(*candidates, *([remote] if remote is not None else []))
 
 
+def processed(payloads: DataFrame, user_agent: str = "user_agent", addresses: dict[str, str] | None = None,
+              batch: str = "batch_id") -> DataFrame:
+    """A whole ingest of track payloads: each with its `outcome` (accepted, duplicate or rejected), `errors`, the device
+    that its user agent tells, the client's address and the page's path.
+
+    A batch over the allowed size is rejected whole. Duplicates are counted among valid payloads, the first arrival being
+    accepted. `addresses` names the columns of address headers. Rejected rows are the quarantine, accepted ones the events.
+    """
+    columns = payloads.columns
+    large = validate_batches(payloads, batch).select(F.col(batch).alias("_large"))
+    checked = validate_events(payloads).join(large, F.col(batch) == F.col("_large"), "left").withColumn(
+        "errors", F.when(F.col("_large").isNotNull(), F.array_append("errors", "batch_size")).otherwise(F.col("errors"))).drop("_large")
+    valid, refused = checked.where(F.size("errors") == 0), checked.where(F.size("errors") > 0)
+    rows = mark_duplicates(valid).unionByName(refused.withColumn("is_duplicate", F.lit(False)))
+    outcome = F.when(F.size("errors") > 0, "rejected").when(F.col("is_duplicate"), "duplicate").otherwise("accepted")
+    headers = {header: F.col(column) for header, column in (addresses or {}).items()}
+    page = [F.col(c) if c in columns else F.lit(None).cast("string") for c in ("page_path", "page_url")]
+    return rows.select(
+        *columns, "event_time", "errors", outcome.alias("outcome"),
+        parse_device(F.col(user_agent) if user_agent in columns else F.lit(None).cast("string")).alias("parsed_device"),
+        (client_ip(headers) if headers else F.lit(None).cast("string")).alias("client_address"), page_path(*page).alias("path"))
+
+
 def page_path(path: Column, url: Column) -> Column:
     """The given path, else the URL's; null for a URL that cannot be parsed."""
     return F.coalesce(path, F.try_parse_url(url, F.lit("PATH")))

@@ -13,7 +13,9 @@ from trailmark.plans import sql
 from trailmark.plans.registry import AS_OF, CURRENT, WHOLE, Inputs, query
 from trailmark.plans.sql import avg_secs, oracle, pct, rnd, secs, tstext
 from trailmark.session import shared_folder
-from trailmark.sources.definitions import funnel_inventory, validate_funnel_defs
+from trailmark.sources.definitions import (
+    MATCH_SCHEMA, PUBLICATION_SCHEMA, STEP_SCHEMA, Definitions, funnel_inventory, validate_funnel_defs,
+)
 
 G = "tenant_id, workspace_id, funnel_id"
 
@@ -40,14 +42,23 @@ def load_funnel_defs(i: Inputs):
         F.coalesce("n", F.lit(0).cast("bigint")).alias("matched_events")), "order_index")
 
 
-@query("funnel_inventory", oracle("st", """
-SELECT e.tenant_id, e.workspace_id, COUNT(*) AS events, CAST(4 AS BIGINT) AS total_funnels,
-       CAST(1 AS BIGINT) AS with_draft, CAST(3 AS BIGINT) AS with_published, CAST(0 AS BIGINT) AS archived_funnels
-FROM e GROUP BY 1, 2"""))
+@query("funnel_inventory", """
+WITH f AS (SELECT p_partkey AS id, CAST(1 AS BIGINT) AS tenant_id, CAST(1 + p_partkey % 3 AS BIGINT) AS workspace_id, p_size > 45 AS archived FROM part),
+v AS (SELECT l_partkey AS id, BOOL_OR(l_linestatus = 'O') AS draft, BOOL_OR(l_linestatus = 'F') AS published
+      FROM lineitem WHERE l_quantity < 10 GROUP BY 1)
+SELECT tenant_id, workspace_id, COUNT(*) FILTER (WHERE NOT archived) AS total_funnels,
+  COUNT(*) FILTER (WHERE NOT archived AND draft) AS with_draft, COUNT(*) FILTER (WHERE NOT archived AND published) AS with_published,
+  COUNT(*) FILTER (WHERE archived) AS archived_funnels FROM f LEFT JOIN v USING (id) GROUP BY 1, 2""")
 def inventory(i: Inputs):
-    """Funnel inventory of the workspaces that have events."""
-    events = i.anonymous_events.groupBy(*SCOPE).agg(F.count("*").alias("events"))
-    return events.join(funnel_inventory(i.defs), SCOPE)
+    """Funnels told from the tables: a part is a funnel, archived where it is large, and its small lines are versions."""
+    created = F.lit("2024-01-01").cast("timestamp")
+    funnels = i.table("part").select(
+        F.col("p_partkey").alias("id"), F.lit(1).cast("bigint").alias("tenant_id"), (F.col("p_partkey") % 3 + 1).cast("bigint").alias("workspace_id"),
+        F.col("p_name").alias("name"), created.alias("created_at"), F.when(F.col("p_size") > 45, created).alias("archived_at"))
+    versions = i.table("lineitem").where("l_quantity < 10").select(
+        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("funnel_id"), F.col("l_linenumber").cast("int").alias("version"),
+        F.when(F.col("l_linestatus") == "F", "published").otherwise("DRAFT").alias("state"), created.alias("created_at"))
+    return funnel_inventory(Definitions(funnels, versions, *[i.spark.createDataFrame([], s) for s in (PUBLICATION_SCHEMA, STEP_SCHEMA, MATCH_SCHEMA)]))
 
 
 @query("validate_funnel_defs", oracle("e", """

@@ -210,6 +210,33 @@ AGENT_VALUES = ", ".join("(" + ", ".join([str(n)] + ["NULL" if v is None else f"
                          for n, row in enumerate(AGENTS))
 
 
+BATCH = "CASE WHEN id // 600 % 2 = 0 THEN id // 60 ELSE -(id // 40) END"
+
+
+@query("ingest_pipeline", oracle("e", f"""{ERRORS},
+bt AS (SELECT pl.*, {BATCH} AS own_batch, COUNT(*) OVER (PARTITION BY {BATCH}) AS together FROM pl),
+eb AS (SELECT id, error FROM er UNION ALL SELECT id, 'batch_size' FROM bt WHERE together > 50),
+el AS (SELECT id, string_agg(error, ',' ORDER BY error) AS errors FROM eb GROUP BY 1),
+oc AS (SELECT bt.*, COALESCE(errors, '') AS errs, errors IS NOT NULL AS bad FROM bt LEFT JOIN el USING (id)),
+od AS (SELECT *, NOT bad AND event_id IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY bad, tenant_id, event_id ORDER BY ingested_at, id) > 1 AS dup FROM oc),
+ag(n, t, os, osv, br, brv) AS (VALUES {AGENT_VALUES})
+SELECT od.id, CASE WHEN bad THEN 'rejected' WHEN dup THEN 'duplicate' ELSE 'accepted' END AS outcome, errs AS errors, t AS device_type,
+  os AS os_name, br AS browser, '/' || rw.name AS path, CASE WHEN rw.k % 3 = 0 THEN '8.8.8.' || (rw.k % 200) END AS client_address
+FROM od JOIN rw ON rw.id = od.id JOIN ag ON n = rw.k % 8"""))
+def ingest_pipeline(i: Inputs):
+    """Checks, batch limit, duplicates and enrichment of one feed of payloads, some of whose batches are too large."""
+    k, agents = F.col("k"), F.array(*[F.lit(a) for a in payloads.USER_AGENTS])
+    named = payloads.raw(i.spark, i.sf_dir).select("id", F.concat(F.lit("https://example.com/"), "name", F.lit("?q=1")).alias("page_url"))
+    rows = _payloads(i).join(named, "id").withColumns({
+        "batch_id": F.when(F.floor(F.col("id") / 600) % 2 == 0, F.floor(F.col("id") / 60)).otherwise(-F.floor(F.col("id") / 40)),
+        "user_agent": F.get(agents, k % (len(payloads.USER_AGENTS) + 1)),
+        "forwarded": F.when(k % 3 == 0, F.concat(F.lit("8.8.8."), (k % 200).cast("string"), F.lit(", 10.0.0.1"))).otherwise("192.168.0.1")})
+    done = ingest.processed(rows, addresses={"x_forwarded_for": "forwarded"})
+    return done.select(
+        "id", "outcome", F.array_join(F.array_sort("errors"), ",").alias("errors"), F.col("parsed_device.type").alias("device_type"),
+        F.col("parsed_device.os.name").alias("os_name"), F.col("parsed_device.browser.name").alias("browser"), "path", "client_address")
+
+
 @query("enrich_device", oracle("e", f"""{RAW},
 ag(n, t, os, osv, br, brv) AS (VALUES {AGENT_VALUES})
 SELECT t AS device_type, os AS os_name, osv AS os_version, br AS browser, brv AS browser_version, COUNT(*) AS events

@@ -20,11 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from trailmark.llm.packing import Remembered
 from trailmark.llm.tables import text_rows
 from trailmark.llm.words import slices
 
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 160 << 20  # of words that a worker remembers before it forgets them all; sways speed only
+WORD_COST = 180  # bytes that a remembered word takes besides its own and its ids
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -120,18 +120,20 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.known = Remembered(KNOWN_BYTES)  # of bounded size; sways speed only
+        self.known: dict[str, bytes] = {}
+        self.taken = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         words = [self.split(text) for text in texts]
-        distinct = list(set(chain.from_iterable(words)))
-        ids = dict(zip(distinct, self.known.get(distinct)))
-        new = [w for w, x in ids.items() if x is None]
+        if self.taken > KNOWN_BYTES:
+            self.known, self.taken = {}, 0
+        known = self.known
+        new = [w for w in set(chain.from_iterable(words)) if w not in known]
         for word, made in zip(new, replay([w.encode() for w in new], self.ranks)):
-            self.known[word] = ids[word] = np.array(made, dtype="<u4").tobytes()
-        self.known.settle()
-        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+            known[word] = ids = np.array(made, dtype="<u4").tobytes()
+            self.taken += len(word) + len(ids) + WORD_COST
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -156,7 +158,6 @@ def encoded(documents: DataFrame, path: str, pattern: str, decode: bool = False)
                 ids = use.encode(batch.column("text").slice(low, high - low).fill_null("").to_pylist())
                 columns = {"doc_id": batch.column("doc_id").slice(low, high - low), "ids": pa.array(ids, pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns | ({"bytes": pa.array(map(use.decode, ids), pa.binary())} if decode else {}))
-        use.known.forget()  # the worker lives on
 
     return text_rows(documents).mapInArrow(run, "doc_id long, ids binary" + (", bytes binary" if decode else ""))
 

@@ -40,7 +40,8 @@ FOLD[65:91] += 32
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 class Remembered:
-    """Ids of words met before, in two generations of bounded size: words that are met again stay."""
+    """Ids of words met before, in two generations of bounded size: words that are met again stay. A worker keeps them for
+    its next task."""
 
     def __init__(self, limit: int = KNOWN_BYTES) -> None:
         self.young: dict[bytes, bytes] = {}
@@ -58,9 +59,6 @@ class Remembered:
                 self[words[k]] = out[k] = ids
         return out
 
-    def forget(self) -> None:
-        self.young, self.old, self.taken = {}, {}, 0
-
     def settle(self) -> None:
         """Between two slices: lets go of what was not met for a generation."""
         if self.taken > self.limit:
@@ -184,7 +182,6 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
                     "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()), "length": pa.array([len(x) // 4 for x in ids], pa.int64()),
                     "ids": pa.array(ids, pa.binary())})
-        use.known.forget()  # the worker lives on
 
     return text_rows(documents).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

@@ -53,6 +53,11 @@ def joined(documents):
     return sorted(map(tuple, ngram_join.jaccard_components(documents).collect()), key=repr)
 
 
+def test_join_refuses_similarities_it_cannot_keep_whole(spark):
+    with pytest.raises(ValueError):
+        ngram_join.jaccard_components(awkward(spark), similarity=(50, 100))
+
+
 def test_join_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, entries.QUERIES["op1_ngram_jaccard_join"](spark, sf_dir).collect()), key=repr) == plain_components(docs)

@@ -237,6 +237,9 @@ def test_language_awkward(spark):
 
     no_language = language.identified(awkward(spark).withColumn("lang", F.lit(None).cast("string")), PIECES).collect()
     assert {(r.lang_pred, r.score) for r in no_language} == {("und", 0.0)}
+    clash = awkward(spark).withColumn("_held", F.lit("x"))
+    kept = language.identified(clash, PIECES, carry=True)
+    assert kept.schema["doc"].dataType == clash.schema and {(r.doc_id, r.lang_pred) for r in kept.collect()} == rows
 
 
 # --- quality --------------------------------------------------------------------------------------------------------

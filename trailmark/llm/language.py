@@ -216,7 +216,10 @@ def identified(documents: DataFrame, path: str, held_out: Column | None = None,
     """
     spark = documents.sparkSession
     held_out = held_out if held_out is not None else fold_of(F.col("doc_id"), 4) == 2
-    rows = text_rows(documents.withColumn("_held", held_out), carry=True).withColumn("held_out", F.col("doc._held"))
+    held = "_held"
+    while held in documents.columns:
+        held += "_"
+    rows = text_rows(documents.withColumn(held, held_out), carry=True).withColumn("held_out", F.col(f"doc.{held}"))
     languages, model = learn(rows.where("not held_out").select("text", F.col("doc.lang").cast("string").alias("lang")), path)
     shared = spark.sparkContext.broadcast(model)
 

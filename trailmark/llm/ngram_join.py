@@ -285,7 +285,12 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
 
     Links are counted between different sets and weighted by how many documents have each: copies are never expanded,
     but every pair of different sets in a bucket is looked at, whatever its component.
+
+    `similarity` is above one half: below, two different sets may be linked by one shared shingle, and light sets are
+    found by two.
     """
+    if 2 * similarity[0] <= similarity[1]:
+        raise ValueError("the similarity must be above one half")
     spark = documents.sparkSession
     texts = text_rows(documents)
     counts = count_sketch(texts, width)

@@ -74,3 +74,16 @@ def test_attribution_plans_its_input_four_times_at_most(spark, inputs):
     for name, scans in (("attribution", 4), ("attr_time_decay", 4), ("credit_distribution", 2), ("user_journeys", 4), ("match_funnel_events", 1)):
         plan = registry[name](spark, inputs.sf_dir)._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("FileScan parquet") <= scans, name
+
+
+def test_returning_visitors_without_their_history(spark):
+    from trailmark.operators import traffic
+    from trailmark.operators.identity import visitors
+    from trailmark.params import Period
+
+    period = Period.of("2024-01-05", "2024-01-08")
+    ev = events(spark, [{"who": "old", "t": 0}, {"who": "old", "t": 5 * DAY_S, "lead": 3}, {"who": "new", "t": 5 * DAY_S}, {"who": "later", "t": 12 * DAY_S}])
+    seen, inside = visitors(ev), ev.where(period.contains("timestamp"))
+    for report in (traffic.user_summary, traffic.user_analytics):
+        assert rows(report(inside, period, seen)) == rows(report(ev, period))
+    assert traffic.user_summary(inside, period, seen).first().returning_visitors == 1

@@ -174,9 +174,17 @@ def activity_levels(sessions: DataFrame, events: DataFrame, period: Period,
     return facts.select(*SCOPE, levels.alias("_l")).select(*SCOPE, "_l.*")
 
 
-def _visitor_facts(events: DataFrame, period: Period) -> DataFrame:
-    """One row per visitor of the period: identified in it, and seen before it."""
+def _visitor_facts(events: DataFrame, period: Period, first_seen: DataFrame | None = None) -> DataFrame:
+    """One row per visitor of the period: identified in it, and seen before it.
+
+    With `first_seen` (a maintained table of visitors with first_seen_at) only the period's events are read.
+    """
     inside = period.contains("timestamp")
+    if first_seen is not None:
+        keys = [*SCOPE, "anonymous_id"]
+        present = events.where(inside).groupBy(*keys).agg(F.bool_or(F.col("lead_id").isNotNull()).alias("identified"))
+        return present.join(first_seen.select(*keys, "first_seen_at"), keys, "left").withColumn(
+            "returning", F.coalesce(F.col("first_seen_at") < timestamp(period.start), F.lit(False)))
     return (
         events.where(F.col("timestamp") <= timestamp(period.end))
         .groupBy(*SCOPE, "anonymous_id")
@@ -187,16 +195,16 @@ def _visitor_facts(events: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def user_summary(events: DataFrame, period: Period) -> DataFrame:
+def user_summary(events: DataFrame, period: Period, first_seen: DataFrame | None = None) -> DataFrame:
     """Visitors of the period: all, identified, returning (any earlier event) and new."""
-    return _visitor_facts(events, period).groupBy(*SCOPE).agg(
+    return _visitor_facts(events, period, first_seen).groupBy(*SCOPE).agg(
         F.count("*").alias("total_visitors"), F.count_if("identified").alias("identified_leads"),
         F.count_if("returning").alias("returning_visitors"), F.count_if(~F.col("returning")).alias("new_visitors"))
 
 
-def user_analytics(events: DataFrame, period: Period) -> DataFrame:
+def user_analytics(events: DataFrame, period: Period, first_seen: DataFrame | None = None) -> DataFrame:
     """Summary, identification rate and the visitor / engaged / identified stages, one row per stage."""
-    summary = user_summary(events, period).withColumn(
+    summary = user_summary(events, period, first_seen).withColumn(
         "identification_rate", rate(F.col("identified_leads"), F.col("total_visitors")))
     stage = lambda name, n, pct: F.struct(
         F.lit(name).alias("stage"), n.cast("bigint").alias("stage_count"), pct.cast("double").alias("stage_pct"))

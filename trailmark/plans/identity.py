@@ -175,14 +175,35 @@ SELECT {S}, who AS anonymous_id, {tstext('MIN("timestamp")')} AS first_seen_at,
   MAX(utm_source) FILTER (WHERE rn = 1) AS first_source, ARG_MAX(utm_source, rn) FILTER (WHERE utm_source IS NOT NULL) AS last_source
 FROM o GROUP BY 1, 2, 3"""))
 def upsert_sink(i: Inputs):
-    """Visitors, each a user over the month, upserted batch by batch into a keyed table; the last batch comes twice."""
-    rows = i.anonymous_events.withColumn("anonymous_id", F.regexp_replace("anonymous_id", r"^a_(\d+)_.*$", "u_$1"))
+    return texts(_visitor_table(i).select(
+        *SCOPE, "anonymous_id", "first_seen_at", "last_seen_at", F.col("first_utm.source").alias("first_source"),
+        F.col("last_utm.source").alias("last_source")), "first_seen_at", "last_seen_at")
+
+
+def _by_user(events):
+    """Events whose visitor is a user over the whole month."""
+    return events.withColumn("anonymous_id", F.regexp_replace("anonymous_id", r"^a_(\d+)_.*$", "u_$1"))
+
+
+def _visitor_table(i: Inputs):
+    """Visitors upserted batch by batch into a keyed table; the last batch comes twice."""
+    rows = _by_user(i.anonymous_events)
     store = KeyedStore(i.spark, shared_folder(i.spark, "visitors"), {"visitors": Keyed(identity.VISITORS, identity.VISITOR, 8)})
     for number, batch in enumerate([*_by_batch(rows), _by_batch(rows)[1]]):
         store.upsert({"visitors": (identity.visitor_changes(batch), identity.fold_visitors)}, "events", min(number, 1))
-    return texts(store.read("visitors").select(
-        *SCOPE, "anonymous_id", "first_seen_at", "last_seen_at", F.col("first_utm.source").alias("first_source"),
-        F.col("last_utm.source").alias("last_source")), "first_seen_at", "last_seen_at")
+    return store.read("visitors")
+
+
+@query("user_summary_maintained", oracle("e", f"""
+u AS (SELECT {S}, split_part(anonymous_id, '_', 2) AS who, "timestamp", lead_id FROM e),
+f AS (SELECT {S}, who, MIN("timestamp") AS first_at FROM u GROUP BY 1, 2, 3),
+p AS (SELECT {S}, who, BOOL_OR(lead_id IS NOT NULL) AS known FROM u WHERE "timestamp" {sql.CURRENT} GROUP BY 1, 2, 3)
+SELECT {S}, COUNT(*) AS total_visitors, COUNT(*) FILTER (WHERE known) AS identified_leads,
+  COUNT(*) FILTER (WHERE first_at < TIMESTAMP '2024-01-16') AS returning_visitors,
+  COUNT(*) FILTER (WHERE first_at >= TIMESTAMP '2024-01-16') AS new_visitors FROM p JOIN f USING ({S}, who) GROUP BY 1, 2"""))
+def user_summary_maintained(i: Inputs):
+    """Returning visitors by the maintained table of visitors: events before the period are not read again."""
+    return traffic.user_summary(_by_user(i.events), CURRENT, _visitor_table(i))
 
 
 @query("overview_linked", oracle("e", f"""{RESOLVED},

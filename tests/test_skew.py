@@ -11,9 +11,9 @@ from helpers import BASE, at, events, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import sessions, timing
+from trailmark.operators import sessions, state, timing
 from trailmark.operators.blocks import as_of, carry_forward, number_rows
-from trailmark.operators.matching import FUNNEL_COLUMNS
+from trailmark.operators.matching import FUNNEL_COLUMNS, match_funnel_events
 from trailmark.operators.percentiles import distribution
 from trailmark.params import FUNNEL, Period
 
@@ -136,3 +136,19 @@ def test_step_transitions_agree_with_all_pairs(spark):
     for step, values in waits.items():
         assert sorted(nearest[step], key=key) == pytest.approx(sorted(values, key=key))
     assert set(FUNNEL) <= set(matched.columns)
+
+
+def test_states_of_one_workspace_are_dealt_by_visitor(spark, inputs):
+    """Matching leaves no partitioning by workspace behind that the fold of the events would inherit."""
+    seen = events(spark, [{"id": n, "who": f"a_{n % 200}", "name": ("view", "purchase")[n % 2]} for n in range(400)]).drop("lead_id")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        users = state.funnel_user_state(match_funnel_events(seen, inputs.defs))
+        plan = users._jdf.queryExecution().executedPlan().toString()
+        dealt = users.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < sum(r["count"] for r in dealt) / 2
+    fold = plan[:plan.index("Generate")]
+    assert "SortAggregate" not in fold and "Sort [" not in fold  # nor are a task's rows sorted to be folded

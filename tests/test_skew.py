@@ -11,7 +11,7 @@ from helpers import BASE, at, events, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import sessions, state, timing
+from trailmark.operators import cohorts, sessions, state, timing
 from trailmark.operators.blocks import as_of, carry_forward, number_rows
 from trailmark.operators.matching import FUNNEL_COLUMNS, match_funnel_events
 from trailmark.operators.percentiles import distribution
@@ -152,3 +152,18 @@ def test_states_of_one_workspace_are_dealt_by_visitor(spark, inputs):
     assert len(dealt) == 4 and max(r["count"] for r in dealt) < sum(r["count"] for r in dealt) / 2
     fold = plan[:plan.index("Generate")]
     assert "SortAggregate" not in fold and "Sort [" not in fold  # nor are a task's rows sorted to be folded
+
+
+def test_cohort_values_are_counted_from_one_row_per_visitor(spark):
+    schema = """tenant_id bigint, workspace_id bigint, funnel_id bigint, anonymous_id string, entered_at timestamp"""
+    users = spark.createDataFrame([(1, 1, 7, w, at(0)) for w in ("a", "b", "c")] + [(1, 1, 7, None, at(0)), (1, 1, 8, "a", at(9))], schema)
+    seen = events(spark, [{"who": "a", "t": 0, "device": "x", "source": "s"}, {"who": "a", "t": 5, "device": "x"}, {"who": "a", "t": 9, "device": "y"},
+                          {"who": "b", "t": 86400, "device": "x"}, {"who": "b", "t": 86401, "device": "y"}])
+    found = cohorts.cohorts(users, seen, Period.of("2024-01-01", "2024-01-02"))
+    got = rows(found, "funnel_id", "dimension", "value", "users", "cohort_size")
+    assert got == sorted([
+        (7, "device", "x", 2, 4), (7, "device", "y", 1, 4), (7, "device", "unknown", 2, 4), (7, "source", "s", 1, 4), (7, "source", "direct", 4, 4),
+        (7, "geo", "unknown", 4, 4), (8, "device", "y", 1, 1), (8, "source", "direct", 1, 1), (8, "geo", "unknown", 1, 1)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    by_visitor = [line for line in plan.splitlines() if "Aggregate [" in line and "anonymous_id" in line]
+    assert by_visitor and not any("dimension" in line.split("], [")[0] for line in by_visitor)  # not a row per visitor and value

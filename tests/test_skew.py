@@ -138,6 +138,21 @@ def test_step_transitions_agree_with_all_pairs(spark):
     assert set(FUNNEL) <= set(matched.columns)
 
 
+def test_step_transitions_read_matched_events_once(spark):
+    """Gaps of about 7 days, within an hour and across hours; the events are read once, not once for each figure."""
+    week = 7 * 86400
+    times = [(0, 0), (0, 1), (0, 3599.5), (0, week), (1, week), (1, week + 1), (0, week + 5), (1, 2 * week + 6), (0, 3 * week), (1, 3 * week + 1800)]
+    matched = events(spark, [{"t": t} for _, t in times]).withColumns({
+        "step_order": F.element_at(F.array(*[F.lit(s) for s, _ in times]), (F.col("id") + 1).cast("int")),
+        "funnel_id": F.lit(1).cast("bigint"), "total_steps": F.lit(2)})
+    out = timing.step_transition_pairs(matched, Period(BASE, BASE + timedelta(days=60)))
+    waits = [[b - a for s, b in times if s == 1 and a < b <= a + week] for r, a in times if r == 0]
+    first = next(r for r in out.collect() if r.step_order == 0)
+    assert (first.events, first.without_next, first.pairs) == (len(waits), sum(not w for w in waits), sum(map(len, waits)))
+    assert first.avg_pair_seconds == pytest.approx(sum(map(sum, waits)) / first.pairs)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Scan") == 1
+
+
 def test_states_of_one_workspace_are_dealt_by_visitor(spark, inputs):
     """Matching leaves no partitioning by workspace behind that the fold of the events would inherit."""
     seen = events(spark, [{"id": n, "who": f"a_{n % 200}", "name": ("view", "purchase")[n % 2]} for n in range(400)]).drop("lead_id")

@@ -169,6 +169,18 @@ def test_ids_are_those_of_the_tokenizer(encoder, some, forget):
             encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in column.to_pylist()]
 
 
+def test_packing_remembers_words_without_the_stop_that_ends_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(path)
+    texts = ["Foo foo. foo, (foo.) foo..", ".foo a", ".", "", "b", ".", "a, .", "x.y. é. 7. Z.", "<|endoftext|>. <|Foo.", "a.\x00 b.", "end."]
+    column = packing.pa.array(texts)
+    for low, high, data, offsets in packing.slices(column):
+        ids, cuts = encoder.encode(data, offsets)
+        for text, a, b in zip(texts[low:high], cuts, cuts[1:]):
+            assert ids[a:b].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert b"foo" in encoder.known.young and not {b"foo.", b"foo,", b"z.", b"end."} & encoder.known.young.keys()
+
+
 def test_special_strings_become_their_tokens(spark):
     rows = [(n, text, "en", "s") for n, text in enumerate([*SPECIAL, " ".join(SPECIAL), "".join(SPECIAL)])]
     found = entries.packed_documents(awkward(spark, rows)).collect()

@@ -35,6 +35,8 @@ BETWEEN = b"|"  # a word that is one token, put between them
 MARK = b"<|"  # begins the strings of special tokens, which are looked for before letters are lowered
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+IS_TAIL = np.isin(np.arange(256), list(b".,"))
+IS_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -48,15 +50,19 @@ class Remembered:
         self.old: dict[bytes, bytes] = {}
         self.taken, self.limit = 0, limit
 
-    def __setitem__(self, word: bytes, ids: bytes) -> None:
-        self.young[word] = ids
-        self.taken += len(word) + len(ids) + WORD_COST
+    def update(self, found: dict[bytes, bytes]) -> None:
+        self.young.update(found)
+        self.taken += sum(map(len, found)) + sum(map(len, found.values())) + WORD_COST * len(found)
 
     def get(self, words: list[bytes]) -> list[bytes | None]:
         out = list(map(self.young.get, words))
-        for k in [k for k, ids in enumerate(out) if ids is None]:
-            if (ids := self.old.get(words[k])) is not None:
-                self[words[k]] = out[k] = ids
+        if self.old:
+            missing = [k for k, ids in enumerate(out) if ids is None]
+            again = {}
+            for k, ids in zip(missing, map(self.old.get, [words[k] for k in missing])):
+                if ids is not None:
+                    again[words[k]] = out[k] = ids
+            self.update(again)
         return out
 
     def settle(self) -> None:
@@ -103,19 +109,11 @@ class Encoder:
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
-        known = self.known
-        out = known.get(words)
-        new = {words[k] for k in [k for k, ids in enumerate(out) if ids is None]}
+        out = self.known.get(words)
+        new = [words[k] for k, ids in enumerate(out) if ids is None]
         if new:
-            # a full stop or comma after a letter is a token of its own
-            tailed = [w for w in new if w[-1] in b".," and w[-2:-1].isalpha()]
-            stems = list({w[:-1] for w in tailed} | {b".", b","})
-            found = {w: ids for w, ids in zip(stems, known.get(stems)) if ids is not None}
-            made = self.learn(list((new.difference(tailed) | set(stems)) - found.keys()))
-            for w in tailed:
-                made[w] = (found.get(w[:-1]) or made[w[:-1]]) + (found.get(w[-1:]) or made[w[-1:]])
-            for w, ids in made.items():
-                known[w] = ids
+            made = self.learn(new)
+            self.known.update(made)
             out = [made[w] if ids is None else ids for w, ids in zip(words, out)]
         return out
 
@@ -126,7 +124,12 @@ class Encoder:
         before = np.append(False, solid[:-1]) if len(solid) else solid
         first = np.zeros(len(data), dtype=bool)
         first[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(solid & (~before | first))
+        begins = solid & (~before | first)
+        if len(data):  # a full stop or comma that ends a word after a letter is a token of its own
+            tail = IS_TAIL[lowered[1:]] & IS_LETTER[lowered[:-1]] & ~first[1:]
+            tail[:-1] &= ~solid[2:] | first[2:]
+            begins[1:] |= tail
+        starts = np.flatnonzero(begins)
         for at in found_at(data.tobytes(), MARK):  # as it is: the tokenizer lowers what is no special token
             k = int(np.searchsorted(starts, at, "right")) - 1
             end = at
@@ -139,13 +142,11 @@ class Encoder:
         coded = words.dictionary_encode()
         ids = self.ids_of(coded.dictionary.to_pylist())
         self.known.settle()
-        each = np.frombuffer(b"".join(ids), dtype="<u4")
-        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        begin = np.cumsum(size) - size
-        which = coded.indices.to_numpy()
-        total = np.append(0, np.cumsum(size[which]))
-        place = np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], size[which])
-        return each[place], total[np.searchsorted(starts, offsets)]
+        found = pa.array(ids, pa.large_binary()).take(coded.indices)
+        _, where, raw = found.buffers()
+        total = np.frombuffer(where, dtype=np.int64)[:len(found) + 1] if len(found) else np.zeros(1, dtype=np.int64)
+        each = np.frombuffer(raw, dtype="<u4", count=int(total[-1]) // 4) if total[-1] else np.zeros(0, dtype="<u4")
+        return each, total[np.searchsorted(starts, offsets)] // 4
 
 
 def found_at(data: bytes, mark: bytes) -> Iterator[int]:

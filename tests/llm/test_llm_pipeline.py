@@ -87,6 +87,19 @@ def test_duplicate_stage_keeps_different_texts(spark, sf_dir):
     assert {t for _, t in kept} & {other, other + " z"}
 
 
+@pytest.mark.parametrize("bits", [7, 24])
+def test_only_rows_that_may_go_are_moved(spark, monkeypatch, bits):
+    """Right with a filter that is nearly full as with one that is nearly empty."""
+    monkeypatch.setattr(corpus_pipeline, "FILTER_BITS", bits)
+    rows = spark.range(1000).selectExpr("id as k", "id % 7 as word", "cast(id as string) as bits", "1 as `a.b`")
+    gone = spark.range(0, 1000, 3).selectExpr("id as k")
+    left = corpus_pipeline.without(rows, gone, "k")
+    assert left.columns == rows.columns
+    assert sorted(map(tuple, left.collect())) == [(k, k % 7, str(k), 1) for k in range(1000) if k % 3]
+    assert corpus_pipeline.without(rows, gone.limit(0), "k").count() == 1000
+    assert corpus_pipeline.without(rows, rows.select("k"), "k").count() == 0
+
+
 def test_secret_stage(stages):
     docs, made = stages["secret scan"]
     before, after = docs_text(docs), docs_text(made)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.entries import packed_documents
 from trailmark.llm.language import UNKNOWN, identified
-from trailmark.llm.ngram_join import FILTER_BITS, jaccard_components
+from trailmark.llm.ngram_join import jaccard_components
 from trailmark.llm.quality import quality
 from trailmark.llm.secret_scan import redacted
-from trailmark.llm.tables import written
+from trailmark.llm.tables import FILTER_BITS, unmatched, written
 from trailmark.session import prepare
 
 LEAST_SURE = 0.5
@@ -39,17 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not among those of `gone`. Rows whose place in a filter of fixed size is free stay where they
-    are; only those that share a place with a key of `gone` are moved and joined."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-    taken = gone.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-    taken = F.broadcast(written(taken, "filter"))  # at most 2^18 words of 64 bits
-    held = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(key).alias("key"), place.alias("place"))
-    held = held.join(taken, F.shiftright("place", 6) == F.col("word"), "left")
-    may_go = F.coalesce(F.expr("(shiftright(bits, cast(place % 64 as int)) & 1L) = 1"), F.lit(False))
-    moved = held.where(may_go).join(gone.select(F.col(key).alias("key")), "key", "left_anti")
-    return held.where(~may_go).select("row.*").union(moved.select("row.*"))
+    """The rows whose key is not among those of `gone`."""
+    return unmatched(rows, gone, key, FILTER_BITS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,27 @@ def test_join_awkward(spark):
     assert joined(spark.createDataFrame([(None, "a b c d"), (None, "a b c d")], "doc_id long, text string")) == [(None, 2, None)] * 2
 
 
+def test_join_moves_prefixes_once(spark, sf_dir, monkeypatch):
+    """Buckets are told apart and counted in one exchange, sets come from the signatures where they lie, and only counters
+    that are used are sent."""
+    made = {}
+
+    def noted(df, label):
+        made.setdefault(label, df)
+        return written(df, label)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ngram_join.jaccard_components(documents, 5, (80, 100)).count()
+    assert "sides" not in made
+    plan = made["shared"]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert sum("hashpartitioning(key#" in line and "Exchange" in line for line in plan.splitlines()) <= 2  # and one for copies
+    few = np.zeros(ngram_join.BLOCK, dtype=np.int64)
+    few[[3, 77]] = 5, 2**31 - 1
+    assert len(ngram_join.packed_counts(few)) < 200
+    assert np.array_equal(ngram_join.unpacked_counts(ngram_join.packed_counts(few)), few)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(0, 60).selectExpr("id as a", "id + 1 as b").union(spark.range(100, 105).selectExpr("id as a", "100 as b"))
     got = {r.node: r.root for r in ngram_join.components(written(links, "test")).collect()}

@@ -20,23 +20,23 @@ and its prefixes must allow the similarity before its sets are fetched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.tables import text_rows, written
+from trailmark.llm.tables import FILTER_BITS, marked, text_rows, unmatched, written
 from trailmark.llm.words import mixed, shingle_sets, slices
 
 WIDTH = 3
 SIMILARITY = (90, 100)
 SKETCH_BITS = 20  # 2^20 counters: 4 MB as counts, 1 MB as broadcast ranks, whatever the corpus
 BLOCK = 1 << 12
-FILTER_BITS = 24  # bits of the filter of wanted documents: 2 MB
 
 
 def least_shared(size: np.ndarray | int, similarity: tuple[int, int]):
@@ -61,26 +61,37 @@ def count_sketch(texts: DataFrame, width: int) -> np.ndarray:
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1)).tolist()
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array(range(len(blocks)), pa.int32()), "salt": pa.array([salt] * len(blocks), pa.int32()),
-            "counts": pa.array([b.tobytes() for b in blocks.astype(np.int32)], pa.binary())})
+            "block": pa.array(used, pa.int32()), "salt": pa.array([salt] * len(used), pa.int32()),
+            "counts": pa.array([packed_counts(blocks[k]) for k in used], pa.binary())})
 
     def summed(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in table["counts"].to_pylist())
+        total = sum(unpacked_counts(x) for x in table["counts"].to_pylist())
         return pa.table({"block": table["block"].slice(0, 1), "salt": table["salt"].slice(0, 1),
-                         "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+                         "counts": pa.array([packed_counts(np.minimum(total, 2**31 - 1))], pa.binary())})
 
     kind = "block int, salt int, counts binary"
     parts = texts.select("text").mapInArrow(partial, kind)
     once = parts.groupBy("block", "salt").applyInArrow(summed, kind)
-    rows = once.groupBy("block").applyInArrow(summed, kind).collect()  # 256 rows of 16 KB
+    rows = once.groupBy("block").applyInArrow(summed, kind).collect()  # 256 rows of at most 16 KB
     out = np.zeros((size // BLOCK, BLOCK), dtype=np.int64)
     for row in rows:
-        out[row["block"]] = np.frombuffer(row["counts"], dtype=np.int32)
+        out[row["block"]] = unpacked_counts(row["counts"])
     return out.reshape(-1)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counters byte by byte of all, compressed: few have more than a byte."""
+    return zlib.compress(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_counts(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
 def ranks_of(counts: np.ndarray) -> np.ndarray:
     """The sketch in half powers of two: a byte per counter."""
     return np.minimum(2 * np.log2(counts + 1), 255).astype(np.uint8)
@@ -188,7 +199,7 @@ def sets_of(texts: DataFrame, classes: DataFrame, nodes: DataFrame, width: int)
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     found = texts.select(place.alias("place"), "text").mapInArrow(run, "digest binary, shingles array<long>")
-    return found.join(wanted.select("digest", "node"), "digest").select("node", "shingles").dropDuplicates(["node"])
+    return found.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "shingles")
 
 
 def with_both(pairs: DataFrame, sides: DataFrame, *columns: str) -> DataFrame:
@@ -223,7 +234,8 @@ def likely(pairs: DataFrame, sides: DataFrame, ranks: Broadcast, similarity: tup
                 keep.append(bottom * most >= top * (n + m - most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = with_both(pairs, sides, "n", "prefix").select("a", "b", "left_n", "left_prefix", "right_n", "right_prefix")
+    own = marked(sides.select("node", "n", "prefix"), ends_of(pairs), "node").where("found").select("row.*")
+    got = with_both(pairs, own, "n", "prefix").select("a", "b", "left_n", "left_prefix", "right_n", "right_prefix")
     return got.mapInArrow(run, "a long, b long")
 
 
@@ -296,15 +308,22 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     counts = count_sketch(texts, width)
     light_most = boundary(size_histogram(texts, width), list_length(counts), similarity)
     ranks = spark.sparkContext.broadcast(ranks_of(counts))
-    rows = written(signatures(texts, ranks, light_most, width, similarity), "signatures")
-    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-                      .withColumn("node", F.monotonically_increasing_id()), "classes")
-    sides = rows.where(F.size("prefix") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    sides = written(sides.select("node", F.col("n_shingles").alias("n"), "pairs", "prefix", "listed"), "sides")
-    postings = postings_of(sides)
+    made = signatures(texts, ranks, light_most, width, similarity)
+    rows = written(made.withColumn("node", F.monotonically_increasing_id()), "signatures")
+    # a class is its row with the smallest doc_id
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.select("digest", F.col("first.doc_id").alias("rep"), "copies", F.col("first.node").alias("node")), "classes")
+    copies = rows.where("n_shingles > 0").select("digest", F.col("node").alias("row")).join(
+        classes.where("copies > 1").select("digest", "node"), "digest").where("row <> node")
+    copies = written(copies.select(F.col("row").alias("node")), "copies")
+    sides = rows.where(F.size("prefix") > 0).select("node", F.col("n_shingles").alias("n"), "pairs", "prefix", "listed")
+    sides = unmatched(sides, copies, "node")
     # the pivot has the fewest rarer shingles: of near copies it is the one with the fewest edits
-    busy = postings.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("at"), F.count(F.lit(1)).alias("members"))
-    shared = postings.join(busy.where("members > 1"), "key").select(
+    bucket = Window.partitionBy("key")
+    shared = postings_of(sides).select("key", "place", "node", "n").repartition("key").withColumns({
+        "at": F.min(F.struct("place", "node", "n")).over(bucket), "members": F.count(F.lit(1)).over(bucket)})
+    shared = shared.where("members > 1").select(
         "key", "node", "n", "place", F.col("at.node").alias("pivot"), F.col("at.n").alias("pivot_n"), F.col("at.place").alias("pivot_place"))
     shared = written(shared, "shared")
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # finding words takes some 40 times that
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE_VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)

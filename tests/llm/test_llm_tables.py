@@ -386,6 +386,28 @@ def test_ppm_contexts_cross_words(spark, monkeypatch, part, chunk):
         assert math.isclose(got[i], plain_ppm(texts[:held], text), rel_tol=1e-9)
 
 
+def test_ppm_moves_texts_once(spark, sf_dir, monkeypatch):
+    """Counting needs no exchange; texts, words and probabilities are packed. The packing is exact."""
+    made = {}
+
+    def noted(df, label):
+        made[label] = df
+        return written(df, label)
+
+    monkeypatch.setattr(ppm, "written", noted)
+    out = ppm.ppm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert "Exchange" not in made["chunk-counts"]._jdf.queryExecution().executedPlan().toString()
+    assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(chunk#") == 1
+    rng = np.random.default_rng(3)
+    for different in (1, 70_000):
+        values = -np.log10(rng.permutation(np.arange(1.0, different + 1)).repeat(3))
+        assert np.array_equal(ppm.unpacked_values(*ppm.packed_values(values)), values)
+    few = np.log10(rng.integers(1, 50, 100_000) / 50)
+    assert sum(map(len, ppm.packed_values(few))) < 100_000
+    counts = rng.integers(0, 2**40, 1000)
+    assert np.array_equal(ppm.unpacked(ppm.packed(counts), np.int64), counts)
+
+
 def test_ppm_awkward(spark):
     rows = sorted(ppm.ppm_scores(awkward(spark)).collect(), key=repr)
     assert len(rows) == len(AWKWARD)

@@ -11,19 +11,21 @@ grams are the trie of all orders: the grams of a shorter context stand together,
 The trie grows with the corpus and stays distributed: chunks of documents count their distinct grams, which are split
 at range bounds and sent as sorted blocks; a range holds the trie of its grams, and only contexts that a bound
 falls into (prefixes of the bound) need counts of other ranges. A gram is scored once for the whole corpus; each chunk gets
-back the scores of its own grams, in their order, and sums them over the positions of its documents.
+back the scores of its own grams, in their order, and sums them over the positions of its documents. Words go the same way,
+dealt by a hash. A chunk is what one task reads in a row, so documents are moved once, compressed.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ SYMBOLS = 257
 ORDER = 7
 START_BYTE, END_BYTE = 13, 10  # in grams; neither is a byte of the stream
 CHUNK_BYTES = 24 << 20  # text that is scored together in one task
+TEXT_LEVEL = 6  # of zstd, for the texts
 PART_WORDS = 1_000_000  # grams of a range, over all chunks
 SLICE = 2 << 20  # bytes of text whose grams are made together
 BLOCK = 250_000  # grams of a written block
@@ -44,27 +47,72 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 # --- counting -------------------------------------------------------------------------------------------------------
 
-def chunked(documents: DataFrame, held_out: Column) -> DataFrame:
-    """Rows dealt to chunks of about CHUNK_BYTES of text by a hash of the row."""
+def dealt(documents: DataFrame, held_out: Column) -> tuple[DataFrame, int]:
+    """The rows, in partitions that are not much smaller than CHUNK_BYTES of text, and how many chunks their text fills."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                             held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    return rows.coalesce(max(2 * chunks, documents.sparkSession.sparkContext.defaultParallelism)), chunks
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of all, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpacked(block: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def packed_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """The different numbers of a block, and the place of each number among them: rare grams share few probabilities."""
+    different, places = np.unique(values, return_inverse=True)
+    return packed(different), packed(places.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32))
+
+
+def unpacked_values(different: bytes, places: bytes) -> np.ndarray:
+    values = unpacked(different, np.float64)
+    return values[unpacked(places, np.uint16 if len(values) <= 1 << 16 else np.uint32)]
+
+
+def packed_rows(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", TEXT_LEVEL))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(blocks: Iterable[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blocks])
+
+
+def in_buckets(words: Iterable[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """Sorted words by bucket."""
+    out: dict[int, list[bytes]] = defaultdict(list)
+    for word in sorted(words):
+        out[zlib.crc32(word) % buckets].append(word)
+    return out
+
+
+def filled(schema: pa.Schema, chunk: int, rows: int, **columns: list) -> pa.RecordBatch:
+    columns["chunk"] = [chunk] * rows
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema],
+                                      schema=schema)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """A sorted block of grams: differences, byte by byte of all, compressed."""
     if not len(keys):
         return b""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked_keys(block: bytes) -> np.ndarray:
     if not block:
         return np.zeros(0, dtype=np.uint64)
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(block), dtype=np.uint8).reshape(8, -1).T).view(
-        np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpacked(block, np.uint64), dtype=np.uint64)
 
 
 def reduced(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,33 +164,69 @@ def texts_of(docs: pa.Table) -> Iterator[tuple[list[list[bytes]], list[bool]]]:
             yield [raw[a:b].split() for a, b in zip(where, where[1:])], held[low:high]
 
 
-def chunk_counts(rows: DataFrame) -> DataFrame:
-    """Of each chunk its distinct words, the end token among them, and its distinct grams, with their counts in training
-    rows: (chunk, word, n) and sorted blocks (chunk, grams, counts, size)."""
-
-    def count(docs: pa.Table) -> pa.Table:
-        chunk, seen = docs["chunk"][0].as_py(), Counter()
-        known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        for texts, held in texts_of(docs):
-            for is_held in (False, True):
-                some = [words for words, h in zip(texts, held) if bool(h) == is_held]
-                if not some:
-                    continue
-                for words in some:
-                    words = [*words, b""]
-                    seen.update(dict.fromkeys(words, 0) if is_held else words)
-                keys, n = counted(grams_of(some)[0])
-                known, counts = merged(known, counts, keys, 0 * n if is_held else n)
-        words, grams = len(seen), range(0, len(known), BLOCK)
-        blocks = [(packed_keys(known[k:k + BLOCK]), zlib.compress(counts[k:k + BLOCK].tobytes(), 1), len(known[k:k + BLOCK])) for k in grams]
-        keys, numbers, sizes = zip(*blocks)
-        return pa.table({
-            "chunk": pa.array([chunk] * (words + len(blocks)), pa.int32()), "word": pa.array([*seen, *[None] * len(blocks)], pa.binary()),
-            "n": pa.array([*seen.values(), *[None] * len(blocks)], pa.int64()), "grams": pa.array([*[None] * words, *keys], pa.binary()),
-            "counts": pa.array([*[None] * words, *numbers], pa.binary()), "size": pa.array([*[None] * words, *sizes], pa.int64())})
-
-    return rows.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(
-        count, "chunk int, word binary, n long, grams binary, counts binary, size long")
+def chunk_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk its documents (chunk, docs), its distinct words by bucket, the end token among them (chunk, bucket, words,
+    counts), and its distinct grams in sorted blocks (chunk, grams, counts, size), with their counts in training rows."""
+    schema = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()),
+                        ("grams", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
+
+    def closed(chunk: int, seen: Counter, known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for bucket, words in in_buckets(seen, buckets).items():
+            n = np.fromiter(map(seen.__getitem__, words), dtype=np.int64, count=len(words))
+            yield filled(schema, chunk, 1, bucket=[bucket], words=[zlib.compress(b" ".join(words), 1)], counts=[packed(n)])
+        for k in range(0, len(known), BLOCK):
+            keys, n = known[k:k + BLOCK], counts[k:k + BLOCK]
+            yield filled(schema, chunk, 1, grams=[packed_keys(keys)], counts=[packed(n)], size=[len(keys)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def empty() -> tuple[Counter, np.ndarray, np.ndarray]:
+            return Counter(), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+        chunk, taken, (seen, known, counts) = TaskContext.get().partitionId() << 32, 0, empty()
+        for batch in batches:
+            for low, high, data, _ in slices(batch.column("text"), min(SLICE, CHUNK_BYTES)):
+                part = batch.slice(low, high - low)
+                yield filled(schema, chunk, 1, docs=[packed_rows(part)])
+                for texts, held in texts_of(pa.Table.from_batches([part])):
+                    for is_held in (False, True):
+                        some = [words for words, h in zip(texts, held) if bool(h) == is_held]
+                        if not some:
+                            continue
+                        for words in some:
+                            words = [*words, b""]
+                            seen.update(dict.fromkeys(words, 0) if is_held else words)
+                        keys, n = counted(grams_of(some)[0])
+                        known, counts = merged(known, counts, keys, 0 * n if is_held else n)
+                taken += len(data) + 16 * (high - low)
+                if taken >= CHUNK_BYTES:
+                    yield from closed(chunk, seen, known, counts)
+                    chunk, taken, (seen, known, counts) = chunk + 1, 0, empty()
+        if taken:
+            yield from closed(chunk, seen, known, counts)
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(
+        count, "chunk long, docs binary, bucket int, words binary, grams binary, counts binary, size long")
+
+
+def word_counts(lists: DataFrame) -> DataFrame:
+    """(chunk, bucket, c, tokens, different): of each chunk's words of a bucket the counts in all chunks, in their order; with
+    one row of a bucket the training tokens of the bucket and the different words among them."""
+
+    def look(group: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for words, counts in zip(group["words"].to_pylist(), group["counts"].to_pylist()):
+            for word, n in zip(zlib.decompress(words).split(b" "), unpacked(counts, np.int64).tolist()):
+                total[word] = total.get(word, 0) + n
+        found = []
+        for words in group["words"].to_pylist():
+            own = zlib.decompress(words).split(b" ")
+            found.append(packed(np.fromiter(map(total.__getitem__, own), dtype=np.int64, count=len(own))))
+        others = [0] * (len(found) - 1)
+        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "c": pa.array(found, pa.binary()),
+                         "tokens": pa.array([sum(total.values()), *others], pa.int64()),
+                         "different": pa.array([sum(n > 0 for n in total.values()), *others], pa.int64())})
+
+    return lists.groupBy("bucket").applyInArrow(look, "chunk long, bucket int, c binary, tokens long, different long")
 
 
 # --- the trie -------------------------------------------------------------------------------------------------------
@@ -183,7 +267,7 @@ def shared_counts(blocks: DataFrame, bounds: np.ndarray) -> DataFrame:
         edges = [np.unique(context_of(cuts.value, order)) for order in range(ORDER + 1)]
         for batch in batches:
             for block, numbers in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist()):
-                keys, n = unpacked_keys(block), np.frombuffer(zlib.decompress(numbers), dtype=np.int64)
+                keys, n = unpacked_keys(block), unpacked(numbers, np.int64)
                 keys, n = keys[n > 0], n[n > 0]
                 for order in range(ORDER, -1, -1):
                     if order < ORDER:  # a longer context that a bound falls into is part of a shorter one
@@ -249,7 +333,8 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, shared: dict[int, tu
 
 
 def scored_blocks(blocks: DataFrame) -> DataFrame:
-    """(chunk, part, lp): of each chunk and range, the log10 probabilities of the chunk's grams in the range, in order."""
+    """(chunk, first, lp, places): of each chunk and range, the different log10 probabilities of the chunk's grams in the
+    range, and which of them each gram has, in order."""
     size = blocks.agg(F.sum("size")).first()[0] or 0
     bounds = bounds_of(blocks, max(1, -(-size // PART_WORDS)), size)
     cuts = blocks.sparkSession.sparkContext.broadcast(bounds)
@@ -258,38 +343,39 @@ def scored_blocks(blocks: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, block, numbers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "grams", "counts"))):
-                keys, n = unpacked_keys(block), np.frombuffer(zlib.decompress(numbers), dtype=np.int64)
+                keys, n = unpacked_keys(block), unpacked(numbers, np.int64)
                 ends = np.searchsorted(keys, cuts.value).tolist()
                 found = [(part, a, b) for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)])) if a < b]
                 yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([x[0] for x in found], pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()),
+                    "part": pa.array([x[0] for x in found], pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int64()),
                     "first": pa.array(keys[[a for _, a, _ in found]].view(np.int64), pa.int64()),
                     "grams": pa.array([packed_keys(keys[a:b]) for _, a, b in found], pa.binary()),
-                    "counts": pa.array([zlib.compress(n[a:b].tobytes(), 1) for _, a, b in found], pa.binary())})
+                    "counts": pa.array([packed(n[a:b]) for _, a, b in found], pa.binary())})
 
     def score(group: pa.Table, nodes: pa.Table) -> pa.Table:
         keys = [unpacked_keys(x) for x in group["grams"].to_pylist()]
         if not keys:
-            return pa.table({"chunk": pa.array([], pa.int32()), "first": pa.array([], pa.int64()), "lp": pa.array([], pa.binary())})
+            return pa.table({"chunk": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "lp": pa.array([], pa.binary()),
+                             "places": pa.array([], pa.binary())})
         distinct, counts = reduced(np.concatenate(keys), np.concatenate(
-            [np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in group["counts"].to_pylist()]))
+            [unpacked(x, np.int64) for x in group["counts"].to_pylist()]))
         length, pair, n = (nodes[c].to_numpy() for c in ("length", "pair", "n"))
         whole = {int(k): reduced(pair[length == k].view(np.uint64), n[length == k]) for k in np.unique(length)}
         lp = log_probabilities(distinct, counts, whole)
-        found = [zlib.compress(lp[np.searchsorted(distinct, x)].view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x in keys]
-        return pa.table({"chunk": group["chunk"], "first": group["first"], "lp": pa.array(found, pa.binary())})
+        found = [packed_values(lp[np.searchsorted(distinct, x)]) for x in keys]
+        return pa.table({"chunk": group["chunk"], "first": group["first"], "lp": pa.array([x for x, _ in found], pa.binary()),
+                         "places": pa.array([x for _, x in found], pa.binary())})
 
-    dealt = blocks.select("chunk", "grams", "counts").mapInArrow(split, "part int, chunk int, first long, grams binary, counts binary")
-    return dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(score, "chunk int, first long, lp binary")
+    dealt = blocks.select("chunk", "grams", "counts").mapInArrow(split, "part int, chunk long, first long, grams binary, counts binary")
+    return dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(score, "chunk long, first long, lp binary, places binary")
 
 
 class Scores:
     """The log10 probabilities of a chunk's grams, found by the grams."""
 
-    def __init__(self, firsts: np.ndarray, blocks: list[bytes], keys: np.ndarray) -> None:
+    def __init__(self, firsts: np.ndarray, blocks: list[tuple[bytes, bytes]], keys: np.ndarray) -> None:
         order = np.argsort(firsts.view(np.uint64))
-        lp = [np.ascontiguousarray(np.frombuffer(zlib.decompress(blocks[k]), dtype=np.uint8).reshape(8, -1).T).view(np.float64).ravel()
-              for k in order.tolist()]
+        lp = [unpacked_values(*blocks[k]) for k in order.tolist()]
         spread = keys * SPREAD  # an odd factor: different grams stay different
         order = np.argsort(spread)
         self.spread, self.lp = spread[order], np.concatenate(lp)[order]
@@ -317,30 +403,37 @@ def ppm_scores(documents: DataFrame, held_out: Column | None = None) -> DataFram
     and bytes are uniform. An empty table gives an empty result.
     """
     held_out = held_out if held_out is not None else fold_of(F.col("doc_id"), 10) == 0
-    rows = chunked(documents, held_out)
-    found = written(chunk_counts(rows), "chunk-counts")
-    words = found.where("word is not null").select("chunk", "word", "n")
-    vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    tokens, different = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    rows, buckets = dealt(documents, held_out)
+    found = written(chunk_counts(rows, buckets), "chunk-counts")
+    words = written(word_counts(found.where("words is not null").select("chunk", "bucket", "words", "counts")), "words")
+    tokens, different = words.agg(F.sum("tokens"), F.sum("different")).first()
     tokens = tokens or 0
-    floor = tokens + 0.1 * (different + 1)
+    floor = tokens + 0.1 * ((different or 0) + 1)
     blocks = scored_blocks(found.where("grams is not null").select("chunk", "grams", "counts", "size"))
-    lists = words.select("chunk", "word").join(vocabulary, "word").select("chunk", "word", "c").unionByName(
-        blocks, allowMissingColumns=True)
+    docs = found.where("docs is not null").select("chunk", "docs")
+    parts = docs.unionByName(words.select("chunk", "bucket", "c"), allowMissingColumns=True).unionByName(blocks, allowMissingColumns=True)
 
-    def score(docs: pa.Table, lists_: pa.Table) -> pa.Table:
-        own = lists_.filter(pc.is_valid(lists_["word"]))
-        place, c = {w: k for k, w in enumerate(own["word"].to_pylist())}, own["c"].to_numpy()
-        base = np.log10((c + 0.1) / floor)
-        own = lists_.filter(pc.is_valid(lists_["lp"]))
-        keys = np.zeros(0, dtype=np.uint64)
+    def score(group: pa.Table) -> pa.Table:
+        docs = unpacked_rows(group.filter(pc.is_valid(group["docs"]))["docs"].to_pylist())
+        keys, seen = np.zeros(0, dtype=np.uint64), set()
         for texts, _ in texts_of(docs):
+            seen.update([b""], *texts)
             more = counted(grams_of(texts)[0])[0]
             at = np.searchsorted(keys, more)
             new = at == len(keys)
             new[~new] = keys[at[~new]] != more[~new]
             keys = np.insert(keys, at[new], more[new])
-        lps = Scores(own["first"].to_numpy(), own["lp"].to_pylist(), keys)
+        own = group.filter(pc.is_valid(group["c"]))
+        by_bucket = dict(zip(own["bucket"].to_pylist(), own["c"].to_pylist()))
+        place: dict[bytes, int] = {}
+        c = []
+        for bucket, words_ in in_buckets(seen, buckets).items():
+            place.update(zip(words_, range(len(place), len(place) + len(words_))))
+            c.append(unpacked(by_bucket[bucket], np.int64))
+        c, seen = np.concatenate(c), None
+        base = np.log10((c + 0.1) / floor)
+        own = group.filter(pc.is_valid(group["lp"]))
+        lps = Scores(own["first"].to_numpy(), list(zip(own["lp"].to_pylist(), own["places"].to_pylist())), keys)
         counts, known, bases, scores = [], [], [], []
         for texts, _ in texts_of(docs):
             grams, lengths = grams_of(texts)
@@ -355,7 +448,7 @@ def ppm_scores(documents: DataFrame, held_out: Column | None = None) -> DataFram
                          "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(counts), pa.int64()),
                          "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
 
-    return rows.groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(
+    return parts.groupBy("chunk").applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -399,11 +399,12 @@ def test_ppm_moves_texts_once(spark, sf_dir, monkeypatch):
     assert "Exchange" not in made["chunk-counts"]._jdf.queryExecution().executedPlan().toString()
     assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(chunk#") == 1
     rng = np.random.default_rng(3)
-    for different in (1, 70_000):
-        values = -np.log10(rng.permutation(np.arange(1.0, different + 1)).repeat(3))
-        assert np.array_equal(ppm.unpacked_values(*ppm.packed_values(values)), values)
-    few = np.log10(rng.integers(1, 50, 100_000) / 50)
-    assert sum(map(len, ppm.packed_values(few))) < 100_000
+    keys = np.unique(rng.integers(0, 1 << 24, 20_000).astype(np.uint64))
+    totals = rng.integers(1, 90, 1 << 16)[(keys >> np.uint64(8)).astype(np.int64)]
+    times = rng.integers(0, totals + 1)
+    lp = np.where(times > 0, np.log10(np.maximum(times - 0.5, 0.5) / totals), -rng.random(len(keys)))
+    block = ppm.packed_scores(keys, lp, times, np.where(times > 0, totals, 0))
+    assert np.array_equal(ppm.unpacked_scores(keys, block), lp) and len(block) < 4 * len(keys)
     counts = rng.integers(0, 2**40, 1000)
     assert np.array_equal(ppm.unpacked(ppm.packed(counts), np.int64), counts)
 

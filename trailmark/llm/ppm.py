@@ -66,15 +66,33 @@ def unpacked(block: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def packed_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """The different numbers of a block, and the place of each number among them: rare grams share few probabilities."""
-    different, places = np.unique(values, return_inverse=True)
-    return packed(different), packed(places.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32))
-
-
-def unpacked_values(different: bytes, places: bytes) -> np.ndarray:
-    values = unpacked(different, np.float64)
-    return values[unpacked(places, np.uint16 if len(values) <= 1 << 16 else np.uint32)]
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    """Which of a block's sorted grams are the first of their context."""
+    context = keys >> np.uint64(8)
+    return np.append(True, context[1:] != context[:-1])[:len(keys)]
+
+
+def packed_scores(keys: np.ndarray, lp: np.ndarray, times: np.ndarray, totals: np.ndarray) -> bytes:
+    """What tells the log10 probabilities of a block's grams: of grams seen, how often; of each context, its number; of the
+    others, the probability itself."""
+    starts = np.flatnonzero(starts_of(keys))
+    parts = packed(times), packed(np.maximum.reduceat(totals, starts)), packed(lp[times == 0])
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def unpacked_scores(keys: np.ndarray, block: bytes) -> np.ndarray:
+    """The log10 probabilities of the grams that stand first among `keys`."""
+    parts, at = [], 0
+    while at < len(block):
+        end = at + 4 + int.from_bytes(block[at:at + 4], "little")
+        parts.append(block[at + 4:end])
+        at = end
+    times = unpacked(parts[0], np.int64)
+    totals = unpacked(parts[1], np.int64)[np.cumsum(starts_of(keys[:len(times)])) - 1]
+    out, seen = np.empty(len(times)), times > 0
+    out[seen] = np.log10((times[seen] - 0.5) / totals[seen])
+    out[~seen] = unpacked(parts[2], np.float64)
+    return out
 
 
 def packed_rows(batch: pa.RecordBatch) -> bytes:
@@ -293,10 +311,11 @@ def positions(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, shared: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 probability of each of a range's sorted distinct grams; `shared`: by order, (context, symbol) and counts of
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, shared: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[
+        np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of each of a range's sorted distinct grams, how often it was seen, and its whole context; `shared`: by order, (context, symbol) and counts of
     the contexts that other ranges hold parts of."""
-    out = np.zeros(len(keys))
+    out, times, totals = np.zeros(len(keys)), np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     todo = np.arange(len(keys))
     pairs, n = keys[counts > 0], counts[counts > 0]
     symbol = keys & np.uint64(255)
@@ -323,18 +342,19 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, shared: dict[int, tu
         seen = positions(table, context << np.uint64(8) | symbol[todo])
         open_ = left > 0
         hit = open_ & (seen >= 0)
+        if order == ORDER:
+            times[todo[hit]], totals[todo[hit]] = number[seen[hit]], rest[hit]
         out[todo[hit]] += np.log10((number[seen[hit]] - 0.5) / rest[hit])
         miss = open_ & ~hit
         out[todo[miss]] += np.log10(left[miss] / (2 * rest[miss]))
         todo, at = todo[~hit], at[~hit]
         above = table, first, different, at
     out[todo] -= math.log10(SYMBOLS - len(above[0]))
-    return out
+    return out, times, totals
 
 
 def scored_blocks(blocks: DataFrame) -> DataFrame:
-    """(chunk, first, lp, places): of each chunk and range, the different log10 probabilities of the chunk's grams in the
-    range, and which of them each gram has, in order."""
+    """(chunk, first, lp): of each chunk and range, the log10 probabilities of the chunk's grams in the range, in order."""
     size = blocks.agg(F.sum("size")).first()[0] or 0
     bounds = bounds_of(blocks, max(1, -(-size // PART_WORDS)), size)
     cuts = blocks.sparkSession.sparkContext.broadcast(bounds)
@@ -355,27 +375,28 @@ def scored_blocks(blocks: DataFrame) -> DataFrame:
     def score(group: pa.Table, nodes: pa.Table) -> pa.Table:
         keys = [unpacked_keys(x) for x in group["grams"].to_pylist()]
         if not keys:
-            return pa.table({"chunk": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "lp": pa.array([], pa.binary()),
-                             "places": pa.array([], pa.binary())})
+            return pa.table({"chunk": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "lp": pa.array([], pa.binary())})
         distinct, counts = reduced(np.concatenate(keys), np.concatenate(
             [unpacked(x, np.int64) for x in group["counts"].to_pylist()]))
         length, pair, n = (nodes[c].to_numpy() for c in ("length", "pair", "n"))
         whole = {int(k): reduced(pair[length == k].view(np.uint64), n[length == k]) for k in np.unique(length)}
-        lp = log_probabilities(distinct, counts, whole)
-        found = [packed_values(lp[np.searchsorted(distinct, x)]) for x in keys]
-        return pa.table({"chunk": group["chunk"], "first": group["first"], "lp": pa.array([x for x, _ in found], pa.binary()),
-                         "places": pa.array([x for _, x in found], pa.binary())})
+        scored = log_probabilities(distinct, counts, whole)
+        found = [packed_scores(x, *(y[np.searchsorted(distinct, x)] for y in scored)) for x in keys]
+        return pa.table({"chunk": group["chunk"], "first": group["first"], "lp": pa.array(found, pa.binary())})
 
     dealt = blocks.select("chunk", "grams", "counts").mapInArrow(split, "part int, chunk long, first long, grams binary, counts binary")
-    return dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(score, "chunk long, first long, lp binary, places binary")
+    return dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(score, "chunk long, first long, lp binary")
 
 
 class Scores:
     """The log10 probabilities of a chunk's grams, found by the grams."""
 
-    def __init__(self, firsts: np.ndarray, blocks: list[tuple[bytes, bytes]], keys: np.ndarray) -> None:
+    def __init__(self, firsts: np.ndarray, blocks: list[bytes], keys: np.ndarray) -> None:
         order = np.argsort(firsts.view(np.uint64))
-        lp = [unpacked_values(*blocks[k]) for k in order.tolist()]
+        lp, at = [], 0
+        for k in order.tolist():
+            lp.append(unpacked_scores(keys[at:], blocks[k]))
+            at += len(lp[-1])
         spread = keys * SPREAD  # an odd factor: different grams stay different
         order = np.argsort(spread)
         self.spread, self.lp = spread[order], np.concatenate(lp)[order]
@@ -433,7 +454,7 @@ def ppm_scores(documents: DataFrame, held_out: Column | None = None) -> DataFram
         c, seen = np.concatenate(c), None
         base = np.log10((c + 0.1) / floor)
         own = group.filter(pc.is_valid(group["lp"]))
-        lps = Scores(own["first"].to_numpy(), list(zip(own["lp"].to_pylist(), own["places"].to_pylist())), keys)
+        lps = Scores(own["first"].to_numpy(), own["lp"].to_pylist(), keys)
         counts, known, bases, scores = [], [], [], []
         for texts, _ in texts_of(docs):
             grams, lengths = grams_of(texts)

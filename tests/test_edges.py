@@ -518,3 +518,37 @@ def test_empty_inputs(spark, inputs):
     assert conversion.conversion_steps(st, inputs.steps, DAY).agg(F.sum("users")).first()[0] == 0
     assert journeys.user_journeys(journeys.journey_steps(none, DAY), 5).count() == 0
     assert live.live_basic(st, inputs.steps, str(BASE)).where("active_users = 0").count() == 9
+
+
+def test_whole_progression(spark):
+    m = simple_state(spark, made := [
+        {"t": 0, "name": "a", "who": "a_gone"}, {"t": 60, "name": "x", "who": "a_gone"}, {"t": 100, "name": "b", "who": "a_gone"},
+        {"t": 7 * 86400, "name": "a", "who": "a_new"}, {"t": 7 * 86400 + 50, "name": "c", "who": "a_new"},
+        {"t": 7 * 86400, "name": "d", "who": "a_done"}, {"t": 9 * 86400, "name": "x", "who": "a_new"}])
+    now, steps = str(at(8 * 86400)), definitions(spark, SIMPLE).steps_of_latest()
+    st = state.abandon_users(state.funnel_user_state(m), now)
+    found = live.whole_progression(st, steps, events(spark, made), now).collect()
+    of = lambda part, who: sorted((r for r in found if (r.part, r.anonymous_id) == (part, who)), key=lambda r: r.step_order)
+    status = {r.anonymous_id: (r.conversion_status, r.step_label) for r in found if r.part == "progression"}
+    label = {r.order_index: r.step_label for r in steps.collect()}
+    assert status == {"a_gone": ("abandoned", label[1]), "a_new": ("in_progress", label[2]), "a_done": ("converted", label[3])}
+    # every step that users stand on, also those that this one did not reach
+    assert [(r.step_order, r.user_seconds, r.performance, r.percentile) for r in of("step_timing", "a_gone")] == [
+        (1, 100, "average", 50), (2, None, "average", None), (3, None, "average", None)]
+    assert [r.step_order for r in of("step_timing", "a_done")] == [1, 2, 3]
+    # every event since the entry up to the instant, whether it is of a step or not
+    assert [(r.step_order, r.step_label, r.event_name, r.time_from_start, r.time_from_previous) for r in of("journey_history", "a_gone")] == [
+        (1, label[1], "a", 0, 0), (2, label[2], "x", 60, 60), (3, label[3], "b", 100, 40)]
+    assert [r.event_name for r in of("journey_history", "a_new")] == ["a", "c"]
+    assert len(found) == 3 + 9 + 6
+
+
+def test_registered_progression_is_whole(spark, tmp_path):
+    from trailmark.plans.registry import load_all
+
+    raw = [(n, at(t), 1, name, 1.0, '{"k": 1}') for n, (t, name) in enumerate([(0, "view"), (30, "click"), (40, "view")])]
+    spark.createDataFrame(raw, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").select(
+        "event_id", F.col("ts").cast("timestamp_ntz"), "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    found = load_all()["user_progression"](spark, str(tmp_path)).collect()
+    assert {r.conversion_status for r in found if r.part == "progression"} == {"abandoned"}
+    assert {r.part for r in found} == {"progression", "step_timing", "journey_history"}

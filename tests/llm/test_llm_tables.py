@@ -151,6 +151,46 @@ def test_boundary_weighs_both_costs():
     assert ngram_join.boundary(sizes, 1.0, (90, 100)) <= ngram_join.boundary(sizes, 4.0, (90, 100)) <= ngram_join.boundary(sizes, 40.0, (90, 100))
 
 
+def test_bucket_entries_do_not_grow_with_the_lists():
+    """As a corpus grows, so do the lists of its shingles; what is moved for a document stays about the same."""
+    sizes = {22: 300, 58: 300, 122: 1000, 254: 1500, 493: 1200, 995: 500, 4846: 50}
+
+    def entries(length):
+        first = {s: s - int(ngram_join.least_shared(s, (90, 100))) + 1 for s in sizes}
+        most = ngram_join.boundary(sizes, length, (90, 100))
+        return sum(n * (first[s] * (first[s] + 1) // 2 if s <= most else first[s]) for s, n in sizes.items())
+
+    assert entries(72.0) <= 1.2 * entries(6.0)
+    assert entries(6.0) <= 1.2 * entries(1.0)
+
+
+def test_signatures_hold_no_pairs(spark):
+    texts = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(400)))], "doc_id long, text string")
+    ranks = spark.sparkContext.broadcast(np.zeros(1 << 10, dtype=np.uint8))
+    row = ngram_join.signatures(texts, ranks, 10**6, 3, (90, 100)).first()
+    assert sum(len(v) for v in row if isinstance(v, list)) == row.n_shingles - int(ngram_join.least_shared(398, (90, 100))) + 1
+    sides = ngram_join.signatures(texts, ranks, 10**6, 3, (90, 100)).selectExpr("1L as node", "n_shingles as n", "prefix", "after", "listed")
+    found = ngram_join.postings_of(sides).collect()
+    spare = len(row.prefix)
+    assert len({r.key for r in found}) == len(found) == spare * (spare + 1) // 2
+    assert sorted(r.place for r in found) == sorted(j - 1 for j in range(spare + 1) for _ in range(j))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    held = lambda: set(glob.glob(f"{folder}/*/shuffle_*.data"))
+    before, setting = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    table = written(spark.range(100000).selectExpr("id % 1000 as k", "id").groupBy("k").sum("id"), "test")
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before and table.count() == 1000 and spark.conf.get(setting) == was
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------
 
 def listed_masks(df):

@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.tables import FILTER_BITS, marked, text_rows, unmatched, written
-from trailmark.llm.words import mixed, shingle_sets, slices
+from trailmark.llm.words import shingle_sets, slices
 
 WIDTH = 3
 SIMILARITY = (90, 100)
+SCANNED = 32  # entries of a list that are looked at for the cost of moving and sorting one
 SKETCH_BITS = 20  # 2^20 counters: 4 MB as counts, 1 MB as broadcast ranks, whatever the corpus
 BLOCK = 1 << 12
 
@@ -104,14 +105,17 @@ def list_length(counts: np.ndarray) -> float:
 
 
 def boundary(histogram: dict[int, int], length: float, similarity: tuple[int, int]) -> int:
-    """Largest size that enumerates pairs of its prefix; `histogram`: sets by size (in steps of an eighth power of 2)."""
+    """Largest size that enumerates pairs of its prefix; `histogram`: sets by size (in steps of an eighth power of 2).
+
+    Costs are in entries of buckets, which are moved, sorted and held on disk. A list also has its entries looked at, at much
+    less each, so that entries do not grow with the lists as the corpus grows."""
     if not histogram:
         return 0
     sizes = np.array(sorted(histogram), dtype=np.int64)
     number = np.array([histogram[s] for s in sizes.tolist()], dtype=float)
     first = sizes - least_shared(sizes, similarity) + 1
     light = number * first * (first + 1) / 2
-    heavy = number * first * length
+    heavy = number * first * (1 + length / SCANNED)
     total = np.concatenate([[0.0], np.cumsum(light)]) + np.append(np.cumsum(heavy[::-1])[::-1], 0.0)
     best = int(np.argmin(total))
     return int(sizes[best - 1]) if best else 0
@@ -125,40 +129,35 @@ def in_order(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def prefix_of(shingles: np.ndarray, ranks: np.ndarray, light_most: int, similarity: tuple[int, int]):
-    """The buckets of a set as pairs of shingles, its prefix in the global order, whether the prefix's lists hold it."""
+    """Prefix of a set in the global order, the shingle after it if pairs of these are its buckets, whether the prefix's lists hold it."""
     size, (top, bottom) = len(shingles), similarity
     spare = size - int(least_shared(size, similarity))
     if spare == 0 and size * bottom < (size + 1) * top:
-        return (), (), False  # linked with equal sets only
-    order = in_order(shingles, ranks)
-    pairs = np.zeros(0, dtype=np.uint64)
-    if size <= light_most:
-        first = shingles[order[:spare + 2]]
-        i, j = np.triu_indices(len(first), 1)  # in the order that postings_of places them
-        pairs = mixed(mixed(first[i]) + first[j])
+        return (), None, False  # linked with equal sets only
+    first = shingles[in_order(shingles, ranks)[:spare + 2]].view(np.int64)
     listed = size > light_most or size * bottom >= (light_most + 1) * top
-    return pairs.view(np.int64), shingles[order[:spare + 1]].view(np.int64), listed
+    return first[:spare + 1], int(first[-1]) if size <= light_most else None, listed
 
 
 def signatures(texts: DataFrame, ranks: Broadcast, light_most: int, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """Of each row: doc_id, n_shingles, digest of its set, pairs and prefix, listed."""
+    """Of each row: doc_id, n_shingles, digest of its set, prefix, the shingle after it (null if not light), listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
-                sizes, digests, pairs, prefixes, listed = [], [], [], [], []
+                sizes, digests, prefixes, after, listed = [], [], [], [], []
                 for found in shingle_sets(data, offsets, width):
                     sizes.append(len(found))
                     digests.append(blake2b(found.tobytes(), digest_size=16).digest())
-                    for held, x in zip((pairs, prefixes, listed), prefix_of(found, ranks.value, light_most, similarity)):
+                    for held, x in zip((prefixes, after, listed), prefix_of(found, ranks.value, light_most, similarity)):
                         held.append(x)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(low, high - low), "n_shingles": pa.array(sizes, pa.int64()),
-                    "digest": pa.array(digests, pa.binary()), "pairs": pa.array(pairs, longs),
-                    "prefix": pa.array(prefixes, longs), "listed": pa.array(listed, pa.bool_())})
+                    "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, longs),
+                    "after": pa.array(after, pa.int64()), "listed": pa.array(listed, pa.bool_())})
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, pairs array<long>, prefix array<long>, listed boolean")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix array<long>, after long, listed boolean")
 
 
 def size_histogram(texts: DataFrame, width: int) -> dict[int, int]:
@@ -317,7 +316,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, similarity: tup
     copies = rows.where("n_shingles > 0").select("digest", F.col("node").alias("row")).join(
         classes.where("copies > 1").select("digest", "node"), "digest").where("row <> node")
     copies = written(copies.select(F.col("row").alias("node")), "copies")
-    sides = rows.where(F.size("prefix") > 0).select("node", F.col("n_shingles").alias("n"), "pairs", "prefix", "listed")
+    sides = rows.where(F.size("prefix") > 0).select("node", F.col("n_shingles").alias("n"), "prefix", "after", "listed")
     sides = unmatched(sides, copies, "node")
     # the pivot has the fewest rarer shingles: of near copies it is the one with the fewest edits
     bucket = Window.partitionBy("key")
@@ -380,11 +379,11 @@ def pairs_within(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 def postings_of(sides: DataFrame) -> DataFrame:
     """(node, n, key, place): the buckets of each set, with the shingle's place in its prefix (for pairs of shingles
-    the second's, less one: that many others may stand before a shared pair)."""
+    the second's, less one: that many others may stand before a shared pair). Pairs are made here, and never held."""
     entry = "transform(prefix, (k, i) -> struct(k as key, cast(i as bigint) as place))"
-    first = "size(prefix) + 1"  # shingles that the pairs are of
-    places = f"flatten(transform(sequence(0, {first} - 2), i -> sequence(cast(i as bigint), cast({first} - 2 as bigint))))"
-    pairs = f"if(size(pairs) > 0, zip_with(pairs, {places}, (k, p) -> struct(k as key, p as place)), array())"
+    first = "concat(prefix, array(after))"  # shingles that the pairs are of
+    pair = "struct(xxhash64(h, k) as key, cast(i + j as bigint) as place)"
+    pairs = f"if(after is null, array(), flatten(transform(prefix, (h, i) -> transform(slice({first}, i + 2, size(prefix)), (k, j) -> {pair}))))"
     entries = F.expr(f"concat({pairs}, if(listed, {entry}, array()))")
     return sides.select("node", "n", F.explode(entries).alias("e")).select("node", "n", "e.key", "e.place")
 
